@@ -13,67 +13,70 @@ whole-stage codegen:
   points are not strictly on the same side of the other's line.
 
 Only edge pairs whose closed x ranges overlap can contribute to either sum,
-so callers filter on :func:`x_overlap` first.
+so :func:`edge_pair_terms` filters on that first. The arithmetic is applied
+in a few projections, each naming its intermediate values once, so the
+fused (whole-stage) code stays under the JVM's method size limit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _lo(e: Column) -> Column:
-    return F.least(e["ax"], e["bx"])
-
-
-def _hi(e: Column) -> Column:
-    return F.greatest(e["ax"], e["bx"])
-
-
-def x_overlap(ea: Column, eb: Column) -> Column:
-    """Closed x ranges of the two edges overlap."""
-    return (_lo(ea) <= _hi(eb)) & (_lo(eb) <= _hi(ea))
-
-
-def _y_at(e: Column, x: Column, yb: Column) -> Column:
-    # Only evaluated where the common x range is non-degenerate, so the edge
-    # is not vertical; nullif keeps ANSI mode from raising elsewhere.
-    return (e["ay"] - yb) + (e["by"] - e["ay"]) * ((x - e["ax"]) / F.nullif(e["bx"] - e["ax"], F.lit(0.0)))
-
-
-def area_term(ea: Column, eb: Column, yb: Column) -> Column:
-    """Signed ``s_i s_j |T_i n T_j|`` for one edge pair (0 without x overlap)."""
-    lo = F.greatest(_lo(ea), _lo(eb))
-    hi = F.least(_hi(ea), _hi(eb))
-    yil, yih = _y_at(ea, lo, yb), _y_at(ea, hi, yb)
-    yjl, yjh = _y_at(eb, lo, yb), _y_at(eb, hi, yb)
-    dl, dh = yil - yjl, yih - yjh
-    ml, mh = F.least(yil, yjl), F.least(yih, yjh)
-    t = dl / F.nullif(dl - dh, F.lit(0.0))          # where the two lines cross
-    ym = yil + (yih - yil) * t
-    crossed = (hi - lo) * (t * (ml + ym) + (1.0 - t) * (ym + mh)) / 2.0
-    plain = (hi - lo) * (ml + mh) / 2.0
-    part = F.when(F.signum(dl) * F.signum(dh) < 0, crossed).otherwise(plain)
-    sign = F.signum(ea["ax"] - ea["bx"]) * F.signum(eb["ax"] - eb["bx"])
-    return F.when(hi > lo, sign * part).otherwise(F.lit(0.0))
+C = F.col
+
+
+def edge_pair_terms(df: DataFrame, keep: list[str], ea: str = "_ea", eb: str = "_eb",
+                    yb: str = "_yb") -> DataFrame:
+    """Per edge pair: ``_t`` (signed trapezoid overlap) and ``_m`` (segments meet).
+
+    ``df`` holds two edge structs per row plus the pair's base line ``yb``.
+    Rows whose closed x ranges do not overlap are dropped (they contribute
+    nothing to either sum).
+
+    Over the common range ``[lo, hi]`` of width ``w`` the two edge lines
+    differ by ``d``, linear with end values ``dl, dh``; then
+    ``integral of min(ya, yb) = w * mean(ya, yb) - integral |d| / 2`` and
+    ``integral |d| = w |dl + dh| / 2`` when ``dl, dh`` share a sign, else
+    ``w (dl^2 + dh^2) / (2 (|dl| + |dh|))`` (two triangles).
+    """
+    a, b = C(ea), C(eb)
+    s = df.select(*keep, C(yb).alias("_yb"), a.alias("_a"), b.alias("_b"),
+                  F.greatest(F.least(a["ax"], a["bx"]), F.least(b["ax"], b["bx"])).alias("lo"),
+                  F.least(F.greatest(a["ax"], a["bx"]), F.greatest(b["ax"], b["bx"])).alias("hi"))
+    s = s.where(C("lo") <= C("hi"))
+    a, b = C("_a"), C("_b")
+    # Heights above yb at both ends of the common range; the slope is only
+    # used where the range is non-degenerate, so neither edge is vertical
+    # there (nullif keeps ANSI mode from raising on the others).
+    ka = (a["by"] - a["ay"]) / F.nullif(a["bx"] - a["ax"], F.lit(0.0))
+    kb = (b["by"] - b["ay"]) / F.nullif(b["bx"] - b["ax"], F.lit(0.0))
+    s = s.select(*keep, "_a", "_b", "lo", "hi",
+                 (a["ay"] - C("_yb") + ka * (C("lo") - a["ax"])).alias("yal"),
+                 (a["ay"] - C("_yb") + ka * (C("hi") - a["ax"])).alias("yah"),
+                 (b["ay"] - C("_yb") + kb * (C("lo") - b["ax"])).alias("ybl"),
+                 (b["ay"] - C("_yb") + kb * (C("hi") - b["ax"])).alias("ybh"))
+    s = s.select(*keep, "_a", "_b", (C("hi") - C("lo")).alias("w"),
+                 (C("yal") + C("yah") + C("ybl") + C("ybh")).alias("ysum"),
+                 (C("yal") - C("ybl")).alias("dl"), (C("yah") - C("ybh")).alias("dh"))
+    absd = F.when(C("dl") * C("dh") >= 0, F.abs(C("dl") + C("dh")) / 2.0).otherwise(
+        (C("dl") * C("dl") + C("dh") * C("dh")) / (2.0 * (F.abs("dl") + F.abs("dh"))))
+    sign = F.signum(a["ax"] - a["bx"]) * F.signum(b["ax"] - b["bx"])
+    term = F.when(C("w") > 0, sign * C("w") * (C("ysum") / 4.0 - absd / 2.0)).otherwise(F.lit(0.0))
+    ybox = ((F.least(a["ay"], a["by"]) <= F.greatest(b["ay"], b["by"]))
+            & (F.least(b["ay"], b["by"]) <= F.greatest(a["ay"], a["by"])))
+    o1 = _orient(a["ax"], a["ay"], a["bx"], a["by"], b["ax"], b["ay"])
+    o2 = _orient(a["ax"], a["ay"], a["bx"], a["by"], b["bx"], b["by"])
+    o3 = _orient(b["ax"], b["ay"], b["bx"], b["by"], a["ax"], a["ay"])
+    o4 = _orient(b["ax"], b["ay"], b["bx"], b["by"], a["bx"], a["by"])
+    meet = ybox & (o1 * o2 <= 0) & (o3 * o4 <= 0)
+    return s.select(*keep, term.alias("_t"), meet.alias("_m"))
 
 
 def _orient(ax, ay, bx, by, cx, cy) -> Column:
     return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
 
-def segments_meet(ea: Column, eb: Column) -> Column:
-    """Closed segments share a point (crossing, touching, collinear overlap)."""
-    boxes = (x_overlap(ea, eb)
-             & (F.least(ea["ay"], ea["by"]) <= F.greatest(eb["ay"], eb["by"]))
-             & (F.least(eb["ay"], eb["by"]) <= F.greatest(ea["ay"], ea["by"])))
-    o1 = _orient(ea["ax"], ea["ay"], ea["bx"], ea["by"], eb["ax"], eb["ay"])
-    o2 = _orient(ea["ax"], ea["ay"], ea["bx"], ea["by"], eb["bx"], eb["by"])
-    o3 = _orient(eb["ax"], eb["ay"], eb["bx"], eb["by"], ea["ax"], ea["ay"])
-    o4 = _orient(eb["ax"], eb["ay"], eb["bx"], eb["by"], ea["bx"], ea["by"])
-    return boxes & (o1 * o2 <= 0) & (o3 * o4 <= 0)
-
-
 # Relative size below which an intersection area counts as rounding noise.
 # Without any boundary contact two valid shapes either share a whole part
 # (area of that part) or nothing, so this only absorbs float error.

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .geometry import RINGS
@@ -150,7 +151,7 @@ def _wkb_to_rings(wkb: pa.Array) -> pa.Array:
     return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
 
 
-@arrow_udf("binary")
+@arrow_udf(T.BinaryType())
 def _rings_to_wkb(rings: pa.Array) -> pa.Array:
     return pa.array([None if r is None else encode_rings(r) for r in _arrow_rows(rings)], pa.binary())
 

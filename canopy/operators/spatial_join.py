@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import overlay as ov
+from ..functions.overlay_arrow import pair_overlay_col
 from ..functions.geometry import SHAPE_COLUMNS
 
 _TINY = 1e-9
@@ -91,27 +92,28 @@ def with_cells(df: DataFrame, plan: GridPlan, other_levels: tuple[int, ...] | No
                keep_level: bool = True) -> DataFrame:
     """Explode each shape into ``(lvl, cx, cy)`` cells of the grid plan.
 
-    ``other_levels``: coarser levels to add (those present on the other side
-    of a join). ``floor`` (not integer division) keeps negative coordinates
-    in the right cell.
+    At its own level (and any coarser one) a box spans at most two cells per
+    axis, so the candidates are a fixed array of ``4 x levels`` structs built
+    with plain expressions (code-generated), filtered to the cells the box
+    really covers. ``other_levels``: coarser levels present on the other side
+    of a join. ``floor`` (not integer division) keeps negative coordinates in
+    the right cell.
     """
     own = _own_level(plan.k)
-    if other_levels:
-        extra = F.filter(F.array(*[F.lit(int(v)) for v in other_levels]), lambda L: L > own)
-        lv = F.concat(F.array(own), extra)
-    else:
-        lv = F.array(own)
-    cell = F.lit(plan.cell)
-
-    def cells_at(L):
-        s = cell * F.pow(F.lit(2.0), L)
-        return F.flatten(F.transform(
-            F.sequence(F.floor(F.col("x0") / s), F.floor(F.col("x1") / s)),
-            lambda cx: F.transform(F.sequence(F.floor(F.col("y0") / s), F.floor(F.col("y1") / s)),
-                                   lambda cy: F.struct(L.alias("lvl"), cx.alias("cx"), cy.alias("cy")))))
-
+    mine = set(plan.left_levels) | set(plan.right_levels) | set(other_levels or ())
+    cands = []
+    for L in sorted(mine):
+        s = F.lit(plan.cell * 2.0 ** L)
+        use = (own == L) if not other_levels or L not in other_levels else (own <= L)
+        bx0, by0 = F.floor(F.col("x0") / s), F.floor(F.col("y0") / s)
+        bx1, by1 = F.floor(F.col("x1") / s), F.floor(F.col("y1") / s)
+        for dx in (0, 1):
+            for dy in (0, 1):
+                ok = use & (bx0 + dx <= bx1) & (by0 + dy <= by1)
+                cands.append(F.when(ok, F.struct(F.lit(L).alias("lvl"), (bx0 + dx).alias("cx"),
+                                                  (by0 + dy).alias("cy"))))
     out = (df.withColumn("_own", own)
-             .withColumn("_cell", F.explode(F.flatten(F.transform(lv, cells_at))))
+             .withColumn("_cell", F.explode(F.array_compact(F.array(*cands))))
              .withColumn("lvl", F.col("_cell.lvl")).withColumn("cx", F.col("_cell.cx"))
              .withColumn("cy", F.col("_cell.cy")).drop("_cell"))
     return out if keep_level else out.drop("_own")
@@ -168,28 +170,44 @@ def pair_overlay(pairs: DataFrame, carry: list[str]) -> DataFrame:
     """Exact per-pair intersection area and boundary contact.
 
     Explodes the two edge lists of each pair (pipelined in one codegen stage
-    with the arithmetic and the partial aggregate), then sums per pair.
+    with the arithmetic and the partial hash aggregate), then sums per pair.
+    Carried attributes are grouping keys (functionally dependent on the ids),
+    which keeps the aggregate a hash aggregate with fixed-width buffers.
     """
     keys = ["lvl", "cx", "cy", "l_id", "r_id"]
+    # Pass-through values travel as one struct (fewer fused-code variables);
+    # it is a grouping key too, being a function of the ids.
+    bag = F.struct(F.col("l_area").alias("l_area"), F.col("r_area").alias("r_area"),
+                   *[F.col(c).alias(c) for c in carry]).alias("_bag")
     yb = F.least("l_y0", "r_y0")
-    e1 = pairs.select(*keys, *carry, "l_area", "r_area", yb.alias("_yb"),
-                      F.explode("l_edges").alias("_ea"), "r_edges")
-    e2 = e1.select(*keys, *carry, "l_area", "r_area", "_yb", "_ea",
-                   F.explode("r_edges").alias("_eb"))
-    e2 = e2.where(ov.x_overlap(F.col("_ea"), F.col("_eb")))
-    terms = e2.select(*keys, *carry, "l_area", "r_area",
-                      ov.area_term(F.col("_ea"), F.col("_eb"), F.col("_yb")).alias("_t"),
-                      ov.segments_meet(F.col("_ea"), F.col("_eb")).alias("_m"))
-    agg = terms.groupBy(*keys).agg(
-        F.sum("_t").alias("_sum"), F.max("_m").alias("edge_contact"),
-        F.any_value("l_area").alias("l_area"), F.any_value("r_area").alias("r_area"),
-        *[F.any_value(c).alias(c) for c in carry])
+    e1 = pairs.select(*keys, bag, yb.alias("_yb"), F.explode("l_edges").alias("_ea"), "r_edges")
+    e2 = e1.select(*keys, "_bag", "_yb", "_ea", F.explode("r_edges").alias("_eb"))
+    terms = ov.edge_pair_terms(e2, keys + ["_bag"])
+    agg = terms.groupBy(*keys, "_bag").agg(F.sum("_t").alias("_sum"), F.max("_m").alias("edge_contact"))
+    agg = agg.select(*keys, "_sum", "edge_contact", "_bag.*")
     return (agg.withColumn("inter_area", F.greatest(F.col("_sum"), F.lit(0.0)))
                .withColumn("intersects", ov.intersects(F.col("edge_contact"), F.col("inter_area"),
                                                        F.col("l_area"), F.col("r_area")))
                .drop("_sum"))
 
 
+def pair_overlay_batched(pairs: DataFrame, carry: list[str]) -> DataFrame:
+    """Same result as :func:`pair_overlay`, each pair finished in place by the
+    Arrow-batched kernel (no edge-pair rows, no regrouping shuffle)."""
+    o = pair_overlay_col(F.col("l_edges"), F.col("r_edges"), F.least("l_y0", "r_y0"))
+    out = pairs.select("lvl", "cx", "cy", "l_id", "r_id", "l_area", "r_area", *carry, o.alias("_o"))
+    out = out.select("lvl", "cx", "cy", "l_id", "r_id", "l_area", "r_area", *carry,
+                     F.col("_o.inter_area").alias("inter_area"), F.col("_o.edge_contact").alias("edge_contact"))
+    return out.withColumn("intersects", ov.intersects(F.col("edge_contact"), F.col("inter_area"),
+                                                      F.col("l_area"), F.col("r_area")))
+
+
+# "batched": Arrow/numpy per candidate pair; "exploded": edge pairs as rows,
+# summed by a hash aggregate (all JVM, but moves n x m rows per pair).
+PAIR_KERNELS = {"batched": pair_overlay_batched, "exploded": pair_overlay}
+DEFAULT_KERNEL = "batched"
+
+
 _PREDICATES = ("intersects", "within", "contains")
 
 
@@ -198,7 +216,7 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
                  left_cols: list[str] | None = None, right_cols: list[str] | None = None,
                  with_area: bool = True, cell_size: float | None = None,
                  suffixes: tuple[str, str] = ("_left", "_right"),
-                 plan: GridPlan | None = None) -> DataFrame:
+                 plan: GridPlan | None = None, kernel: str = DEFAULT_KERNEL) -> DataFrame:
     """Join two prepared shape layers on a spatial predicate.
 
     Output: ``left_id``, ``right_id``, the chosen attribute columns of both
@@ -216,8 +234,8 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
         raise ValueError("left_id and right_id must differ; rename one side first")
     plan = plan or plan_grid(left, right, cell_size)
     lkeep = [] if how == "left" else lcols
-    pairs = pair_overlay(candidate_pairs(left, right, left_id, right_id, lkeep, rcols, plan),
-                         [f"l_c_{c}" for c in lkeep] + [f"r_c_{c}" for c in rcols])
+    pairs = PAIR_KERNELS[kernel](candidate_pairs(left, right, left_id, right_id, lkeep, rcols, plan),
+                                 [f"l_c_{c}" for c in lkeep] + [f"r_c_{c}" for c in rcols])
     if predicate == "intersects":
         cond = F.col("intersects")
     elif predicate == "within":

@@ -29,15 +29,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _rings(x: Column, y: Column, w: Column, h: Column, lshape: Column | None) -> Column:
+def _corners(x: Column, y: Column, w: Column, h: Column, ell: bool) -> list[tuple[Column, Column]]:
+    """Counter-clockwise vertices of a rectangle, or of the L (upper right quarter missing)."""
+    if not ell:
+        return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    hw, hh = w / 2, h / 2
+    return [(x, y), (x + w, y), (x + w, y + hh), (x + hw, y + hh), (x + hw, y + h), (x, y + h)]
+
+
+def _native_shape(x: Column, y: Column, w: Column, h: Column, lshape: Column | None) -> dict[str, Column]:
+    """Rings plus the prepared shape columns, all as plain (code-generated)
+    expressions: the fixture vertices are known, so no array walk is needed."""
     x, y, w, h = (c.cast("double") for c in (x, y, w, h))
-    rect = F.array(ring([point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h)]))
+
+    def ring_col(ell):
+        return F.array(ring([point(px, py) for px, py in _corners(x, y, w, h, ell)]))
+
+    def edges_col(ell):
+        pts = _corners(x, y, w, h, ell)
+        pts = pts + pts[:1]
+        return F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"))
+                         for a, b in zip(pts[:-1], pts[1:])])
+
+    full = w * h
     if lshape is None:
-        return rect
-    hw, hh = w / 2, h / 2
-    ell = F.array(ring([point(x, y), point(x + w, y), point(x + w, y + hh), point(x + hw, y + hh),
-                        point(x + hw, y + h), point(x, y + h)]))
-    return F.when(lshape, ell).otherwise(rect)
+        rings, edges, area = ring_col(False), edges_col(False), full
+    else:
+        rings = F.when(lshape, ring_col(True)).otherwise(ring_col(False))
+        edges = F.when(lshape, edges_col(True)).otherwise(edges_col(False))
+        area = F.when(lshape, full - (w / 2) * (h / 2)).otherwise(full)
+    return {"rings": rings, "edges": edges, "x0": x, "y0": y, "x1": x + w, "y1": y + h, "area": area}
 
 
 def _shape(df: DataFrame, idc: str, mx: int, my: int, w0: int, wm: int, h0: int, hm: int,
@@ -47,7 +68,7 @@ def _shape(df: DataFrame, idc: str, mx: int, my: int, w0: int, wm: int, h0: int,
     y = (i * my) % PLANE
     w = F.lit(w0) + 2 * (i % wm)
     h = F.lit(h0) + 2 * (i % hm)
-    return df.withColumn("rings", _rings(x, y, w, h, (i % 3 == 0) if lshape else None))
+    return df.withColumns(_native_shape(x, y, w, h, (i % 3 == 0) if lshape else None))
 
 
 def _pick(labels: list[str], idx: Column) -> Column:
@@ -110,7 +131,7 @@ def municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").cast("long").alias("id"),
         F.when(F.col("n_nationkey") == 22, F.lit(FEIJO)).otherwise(F.col("n_name")).alias("NM_MUN"))
     i = F.col("id")
-    return n.withColumn("rings", _rings((i % 5) * 8000, F.floor(i / 5) * 8000, F.lit(8000), F.lit(8000), None))
+    return n.withColumns(_native_shape((i % 5) * 8000, F.floor(i / 5) * 8000, F.lit(8000), F.lit(8000), None))
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +139,15 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"),
                                                    F.col("r_name").alias("uf"))
     i = F.col("id")
-    return r.withColumn("rings", _rings(i * 8000, F.lit(0), F.lit(8000), F.lit(40000), None))
+    return r.withColumns(_native_shape(i * 8000, F.lit(0), F.lit(8000), F.lit(40000), None))
+
 
+def prepared(df: DataFrame, keep_rings: bool = False) -> DataFrame:
+    """Shape columns (edges, box, area), built once per layer.
 
-def prepared(df: DataFrame) -> DataFrame:
-    """Shape columns (edges, box, area) from the rings, built once per layer."""
-    return with_shape(df, "rings")
+    The fixture layers already carry them (native expressions); any other
+    layer gets them from its rings.
+    """
+    if "edges" not in df.columns:
+        return with_shape(df, "rings", drop_rings=not keep_rings)
+    return df if keep_rings else df.drop("rings")

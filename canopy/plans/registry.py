@@ -67,7 +67,7 @@ def _q11(spark, sf):
 QUERIES: dict[str, Query] = {
     "Q01": lambda s, sf: qa.area_by_subclass(_alerts(s, sf), _parcels(s, sf)),
     "Q02": lambda s, sf: qa.area_by_subclass_class(_alerts(s, sf), _parcels(s, sf)),
-    "Q03": lambda s, sf: qa.add_year_month(L.alerts(s, sf)).drop("rings"),
+    "Q03": lambda s, sf: qa.add_year_month(L.prepared(L.alerts(s, sf))).select("id", "UF", "CLASSNAME", "VIEW_DATE", "ano", "mes"),
     "Q04": lambda s, sf: qa.area_by_subclass_year(_alerts(s, sf), _parcels(s, sf)),
     "Q05": lambda s, sf: qa.monthly_area(_alerts(s, sf), view=None),
     "Q06": lambda s, sf: _round6(qa.month_over_month(qa.monthly_area(_alerts(s, sf))), "variacao_percentual"),
@@ -77,8 +77,8 @@ QUERIES: dict[str, Query] = {
     "Q10": lambda s, sf: _round6(qy.percent_of_total(_prodes(s, sf), _parcels(s, sf)), "perc_total"),
     "Q11": _q11,
     "Q12": lambda s, sf: qe.by_subclass(_embargo(s, sf), _parcels(s, sf)),
-    "Q13": lambda s, sf: qe.add_year(L.embargo(s, sf)).drop("rings"),
-    "Q14": lambda s, sf: qe.count_by_year(L.embargo(s, sf).drop("rings")),
+    "Q13": lambda s, sf: qe.add_year(L.embargo(s, sf)).select("objectid", "dat_embarg", "ano"),
+    "Q14": lambda s, sf: qe.count_by_year(L.embargo(s, sf).select("objectid", "dat_embarg")),
     "Q15": lambda s, sf: qe.by_subclass_year(_embargo(s, sf), _parcels(s, sf)),
     "Q16": lambda s, sf: qe.percent_embargoed(_alerts(s, sf), _embargo(s, sf)),
     "Q17": lambda s, sf: qe.temporal_pattern(_alerts(s, sf), _embargo(s, sf)),
