@@ -86,6 +86,12 @@ def _pair_overlay_udf(ea: pa.Array, eb: pa.Array, yb: pa.Array) -> pa.Array:
                                       names=["inter_area", "edge_contact"])
 
 
+# Marked non-deterministic only so the optimizer never duplicates it (a
+# filter on its result would otherwise re-run the kernel); it is a pure
+# function of its inputs, so task retries recompute the same values.
+_pair_overlay_udf = _pair_overlay_udf.asNondeterministic()
+
+
 def pair_overlay_col(edges_a: Column, edges_b: Column, yb: Column) -> Column:
     """``struct(inter_area, edge_contact)`` for two edge lists and a base line below both."""
     return _pair_overlay_udf(edges_a, edges_b, yb)

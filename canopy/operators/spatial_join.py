@@ -45,10 +45,12 @@ def _log2_class() -> Column:
 
 @dataclass(frozen=True)
 class GridPlan:
-    """Cell size ``2**k`` and the levels present on each side."""
+    """Cell size ``2**k``, the levels present on each side and side sizes."""
     k: int
     left_levels: tuple[int, ...]
     right_levels: tuple[int, ...]
+    left_rows: int = -1
+    right_rows: int = -1
 
     @property
     def cell(self) -> float:
@@ -66,7 +68,8 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
              .unionByName(right.select(_extent().alias("ext"), _log2_class().alias("c"), F.lit(1).alias("side")))
              .where(F.col("ext").isNotNull())
              .groupBy("side")
-             .agg(F.percentile_approx("ext", 0.5, 1000).alias("med"), F.collect_set("c").alias("classes"))
+             .agg(F.percentile_approx("ext", 0.5, 1000).alias("med"), F.collect_set("c").alias("classes"),
+                  F.count("*").alias("n"))
              .collect())
     by_side = {r["side"]: r for r in stats}
     if cell_size is None:
@@ -81,7 +84,11 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
             return (0,)
         return tuple(sorted({max(0, int(c) - k) for c in r["classes"]}))
 
-    return GridPlan(k, levels(0), levels(1))
+    def rows(side: int) -> int:
+        r = by_side.get(side)
+        return int(r["n"]) if r is not None else 0
+
+    return GridPlan(k, levels(0), levels(1), rows(0), rows(1))
 
 
 def _own_level(k: int) -> Column:
@@ -99,23 +106,32 @@ def with_cells(df: DataFrame, plan: GridPlan, other_levels: tuple[int, ...] | No
     of a join. ``floor`` (not integer division) keeps negative coordinates in
     the right cell.
     """
-    own = _own_level(plan.k)
-    mine = set(plan.left_levels) | set(plan.right_levels) | set(other_levels or ())
-    cands = []
-    for L in sorted(mine):
+    mine = sorted(set(plan.left_levels) | set(plan.right_levels) | set(other_levels or ()))
+    # First name the per-level corner cells and spans once (small code),
+    # then pick from a fixed array of at most 4 candidates per level.
+    base = {"_own": _own_level(plan.k)}
+    for L in mine:
         s = F.lit(plan.cell * 2.0 ** L)
+        base[f"_bx{L}"] = F.floor(F.col("x0") / s)
+        base[f"_by{L}"] = F.floor(F.col("y0") / s)
+    out = df.withColumns(base)
+    out = out.withColumns({f"_nx{L}": F.floor(F.col("x1") / F.lit(plan.cell * 2.0 ** L)) - F.col(f"_bx{L}")
+                           for L in mine})
+    out = out.withColumns({f"_ny{L}": F.floor(F.col("y1") / F.lit(plan.cell * 2.0 ** L)) - F.col(f"_by{L}")
+                           for L in mine})
+    own = F.col("_own")
+    cands = []
+    for L in mine:
         use = (own == L) if not other_levels or L not in other_levels else (own <= L)
-        bx0, by0 = F.floor(F.col("x0") / s), F.floor(F.col("y0") / s)
-        bx1, by1 = F.floor(F.col("x1") / s), F.floor(F.col("y1") / s)
         for dx in (0, 1):
             for dy in (0, 1):
-                ok = use & (bx0 + dx <= bx1) & (by0 + dy <= by1)
-                cands.append(F.when(ok, F.struct(F.lit(L).alias("lvl"), (bx0 + dx).alias("cx"),
-                                                  (by0 + dy).alias("cy"))))
-    out = (df.withColumn("_own", own)
-             .withColumn("_cell", F.explode(F.array_compact(F.array(*cands))))
-             .withColumn("lvl", F.col("_cell.lvl")).withColumn("cx", F.col("_cell.cx"))
-             .withColumn("cy", F.col("_cell.cy")).drop("_cell"))
+                ok = use & (F.col(f"_nx{L}") >= dx) & (F.col(f"_ny{L}") >= dy)
+                cands.append(F.when(ok, F.struct(F.lit(L).alias("lvl"), (F.col(f"_bx{L}") + dx).alias("cx"),
+                                                  (F.col(f"_by{L}") + dy).alias("cy"))))
+    tmp = [c for L in mine for c in (f"_bx{L}", f"_by{L}", f"_nx{L}", f"_ny{L}")]
+    out = (out.withColumn("_cell", F.explode(F.array(*cands))).where(F.col("_cell").isNotNull())
+              .withColumn("lvl", F.col("_cell.lvl")).withColumn("cx", F.col("_cell.cx"))
+              .withColumn("cy", F.col("_cell.cy")).drop("_cell", *tmp))
     return out if keep_level else out.drop("_own")
 
 
@@ -144,9 +160,37 @@ def _attrs(df: DataFrame, id_col: str, exclude=()) -> list[str]:
     return [c for c in df.columns if c not in SHAPE_COLUMNS and c != id_col and c not in exclude]
 
 
+# A side is broadcast only when its row count, measured by the grid-stats
+# job, proves it small (its exploded rows carry edge lists, a few hundred
+# bytes each at the fixture sizes); otherwise Spark plans a shuffle join on
+# the cell key (sort-merge, AQE skew splitting, or a runtime broadcast).
+BROADCAST_MAX_ROWS = 100_000
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Give a streamed side at least the cluster's parallelism.
+
+    Large inputs arrive split into many scan partitions already; a small
+    input (one Parquet file) would otherwise run the whole pair stage in one
+    task. Only then is it redistributed, round robin, before the explode.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, F.xxhash64(*df.columns[:1]))
+    return df
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                     left_keep: list[str], right_keep: list[str], plan: GridPlan) -> DataFrame:
     """Box-overlapping pairs, each exactly once, with both shapes' columns."""
+    small = min(plan.left_rows, plan.right_rows)
+    bcast = None
+    if 0 <= small <= BROADCAST_MAX_ROWS:
+        bcast = "right" if plan.right_rows <= plan.left_rows else "left"
+        if bcast == "right":
+            left = _spread(left)
+        else:
+            right = _spread(right)
     lp = with_cells(_rename_shape(left.where(F.col("x0").isNotNull()), "l_", left_id, left_keep)
                     .withColumnsRenamed({f"l_{c}": c for c in ("x0", "y0", "x1", "y1")}),
                     plan, plan.right_levels)
@@ -155,6 +199,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
                     .withColumnsRenamed({f"r_{c}": c for c in ("x0", "y0", "x1", "y1")}),
                     plan, plan.left_levels)
     rp = rp.withColumnsRenamed({c: f"r_{c}" for c in ("x0", "y0", "x1", "y1", "_own")})
+    if bcast == "right":
+        rp = F.broadcast(rp)
+    elif bcast == "left":
+        lp = F.broadcast(lp)
     j = lp.join(rp, ["lvl", "cx", "cy"])
     s = F.lit(plan.cell) * F.pow(F.lit(2.0), F.col("lvl"))
     ox = F.greatest("l_x0", "r_x0")

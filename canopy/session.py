@@ -25,13 +25,22 @@ RECOMMENDED_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+# JVM flag for driver and executors: let HotSpot JIT-compile generated
+# methods above 8000 bytes of bytecode. Fused overlay stages (cell explode +
+# join + projections) exceed that and otherwise run in the bytecode
+# interpreter, several times slower. Must be set when the JVMs start
+# (spark-submit --conf / cluster defaults), not on a running session.
+JIT_HUGE_METHODS = "-XX:-DontCompileHugeMethods"
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
                   app: str = "canopy") -> SparkSession:
     """A local session for tests and benchmarks (never used on a cluster)."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.driver.memory", os.environ.get("CANOPY_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("CANOPY_DRIVER_MEMORY", "16g"))
+         .config("spark.driver.extraJavaOptions", JIT_HUGE_METHODS)
+         .config("spark.executor.extraJavaOptions", JIT_HUGE_METHODS))
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
