@@ -86,22 +86,27 @@ def decode_rings(buf: bytes) -> list:
     return out
 
 
-def encode_rings(rings: list) -> bytes:
-    """2D little-endian WKB for rings ``(part, hole, xs, ys)``."""
+def encode_rings(rings: list, z: float | None = None) -> bytes:
+    """Little-endian WKB for rings ``(part, hole, xs, ys)``; 2D, or ISO
+    ``Polygon Z`` with the constant ``z`` on every vertex when given."""
     parts: dict[int, list] = {}
     for part, _hole, xs, ys in rings:
         parts.setdefault(part, []).append((xs, ys))
+    poly_t, multi_t = (3, 6) if z is None else (1003, 1006)
 
     def poly(rs):
-        chunks = [struct.pack("<BII", 1, 3, len(rs))]
+        chunks = [struct.pack("<BII", 1, poly_t, len(rs))]
         for xs, ys in rs:
+            cols = [np.asarray(xs, "<f8"), np.asarray(ys, "<f8")]
+            if z is not None:
+                cols.append(np.full(len(xs), z, "<f8"))
             chunks.append(struct.pack("<I", len(xs)))
-            chunks.append(np.column_stack([np.asarray(xs, "<f8"), np.asarray(ys, "<f8")]).tobytes())
+            chunks.append(np.column_stack(cols).tobytes())
         return b"".join(chunks)
 
     if len(parts) <= 1:
         return poly(next(iter(parts.values()), []))
-    return b"".join([struct.pack("<BII", 1, 6, len(parts))] + [poly(parts[p]) for p in sorted(parts)])
+    return b"".join([struct.pack("<BII", 1, multi_t, len(parts))] + [poly(parts[p]) for p in sorted(parts)])
 
 
 def _rings_to_arrow(rows: list) -> pa.Array:
@@ -156,14 +161,23 @@ def _rings_to_wkb(rings: pa.Array) -> pa.Array:
     return pa.array([None if r is None else encode_rings(r) for r in _arrow_rows(rings)], pa.binary())
 
 
+@arrow_udf(T.BinaryType())
+def _rings_z_to_wkb(rings: pa.Array, z: pa.Array) -> pa.Array:
+    zs = z.to_pylist()
+    return pa.array([None if r is None else encode_rings(r, zv) for r, zv in zip(_arrow_rows(rings), zs)],
+                    pa.binary())
+
+
 def rings_from_wkb(wkb: Column | str) -> Column:
     """WKB (any byte order, Z/M allowed, EWKB SRID allowed) -> 2D rings."""
     return _wkb_to_rings(F.col(wkb) if isinstance(wkb, str) else wkb)
 
 
-def wkb_from_rings(rings: Column | str) -> Column:
-    """Rings -> 2D little-endian WKB (``st_asbinary`` of the shape)."""
-    return _rings_to_wkb(F.col(rings) if isinstance(rings, str) else rings)
+def wkb_from_rings(rings: Column | str, z: Column | None = None) -> Column:
+    """Rings -> little-endian WKB (``st_asbinary`` of the shape); with ``z``
+    (a double column, NULL = 2D) writes ``Polygon Z`` for those rows."""
+    r = F.col(rings) if isinstance(rings, str) else rings
+    return _rings_to_wkb(r) if z is None else _rings_z_to_wkb(r, z)
 
 
 def force_2d(wkb: Column | str) -> Column:

@@ -39,8 +39,13 @@ def _extent() -> Column:
 
 
 def _log2_class() -> Column:
-    """ceil(log2(extent)); the same expression classifies shapes in stats and explode."""
-    return F.ceil(F.log2(F.greatest(_extent(), F.lit(_TINY)))).cast("int")
+    """Smallest integer c with 2**c >= extent (exact: the float log2 is only a
+    first guess, corrected by exact powers of two); the same expression
+    classifies shapes in the stats job and in the explode."""
+    e = F.greatest(_extent(), F.lit(_TINY))
+    c0 = F.ceil(F.log2(e)).cast("int")
+    return (c0 - F.when(F.pow(F.lit(2.0), c0 - 1) >= e, 1).otherwise(0)
+            + F.when(F.pow(F.lit(2.0), c0) < e, 1).otherwise(0))
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import point, ring, with_shape
+from ..functions.geometry import RINGS, point, ring, with_shape
 
 # Fixed values of the fixture layout (FIXTURES.md part B).
 UF_CODES = ["AC", "AM", "MT", "PA", "RO"]
@@ -142,6 +142,23 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns(_native_shape(i * 8000, F.lit(0), F.lit(8000), F.lit(40000), None))
 
 
+def parcels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels as a source file would bring them, broken on purpose
+    (FIXTURES.md part C, first match wins): ``id % 101`` bow-tie ring,
+    ``id % 103`` null geometry, ``id % 107`` empty polygon, ``id % 109`` Z = 7.
+    Columns: id, desc_subclass, sigla_uf, geometry (WKB)."""
+    from ..functions.wkb import wkb_from_rings
+    p = parcels(spark, sf_dir)
+    i = F.col("id")
+    x, y = F.col("x0"), F.col("y0")
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    bow = F.array(ring([point(x, y), point(x + w, y + h), point(x + w, y), point(x, y + h)]))
+    rings = (F.when(i % 101 == 0, bow).when(i % 103 == 0, F.lit(None).cast(RINGS))
+              .when(i % 107 == 0, F.array().cast(RINGS)).otherwise(F.col("rings")))
+    z = F.when((i % 109 == 0) & (i % 101 != 0) & (i % 103 != 0) & (i % 107 != 0), F.lit(7.0))
+    return p.select("id", "desc_subclass", "sigla_uf", wkb_from_rings(rings, z).alias("geometry"))
+
+
 def prepared(df: DataFrame, keep_rings: bool = False) -> DataFrame:
     """Shape columns (edges, box, area), built once per layer.
 

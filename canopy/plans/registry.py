@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.geometry import drop_empty
 from ..operators.relational import concat_layers
 from ..functions.scalars import replace_values
+from ..functions import projection as P
+from ..functions.wkb import rings_from_wkb, wkb_from_rings
+from ..functions.geometry import with_shape
+from ..operators.relational import value_counts
+from ..operators.spatial_join import grid_layout, spatial_join
 from . import alerts as qa
+from . import quality as qq
 from . import embargo as qe
 from . import layers as L
 from . import yearly as qy
@@ -64,6 +70,73 @@ def _q11(spark, sf):
     return out.drop("geom_malha")
 
 
+def _raw(spark, sf):
+    return L.parcels_raw(spark, sf)
+
+
+def _wkb_parcels(spark, sf):
+    """Parcels through the general path: WKB written, read back, shape columns
+    built from the decoded rings with array expressions."""
+    p = L.parcels(spark, sf).select("id", "desc_subclass", wkb_from_rings(F.col("rings")).alias("geometry"))
+    return with_shape(p.withColumn("rings", rings_from_wkb("geometry")), "rings").drop("geometry")
+
+
+def _g10(spark, sf):
+    c = L.read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        (F.lit(-74.0) + (F.col("c_custkey") % 4000) / 100.0).alias("lon"),
+        (F.lit(-34.0) + (F.col("c_custkey") * 7 % 3900) / 100.0).alias("lat"))
+    x, y = P.polyconic_xy(F.col("lon"), F.col("lat"))
+    return c.select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+def _j01(spark, sf):
+    return spatial_join(_alerts(spark, sf), _parcels(spark, sf).withColumnRenamed("id", "parcel_id"),
+                        left_id="id", right_id="parcel_id", left_cols=[], right_cols=[])
+
+
+def _j02(spark, sf):
+    """Embargoes lying within a state (before reprojection), state columns added."""
+    st = L.prepared(L.states(spark, sf)).withColumnRenamed("id", "state_id")
+    return spatial_join(_embargo(spark, sf), st, left_id="objectid", right_id="state_id",
+                        predicate="within", left_cols=[], right_cols=["uf"], with_area=False)
+
+
+def _j03(spark, sf):
+    return spatial_join(_alerts(spark, sf), _embargo(spark, sf), left_id="id", right_id="objectid",
+                        how="left", left_cols=[], right_cols=[], with_area=False)
+
+
+def _j04(spark, sf):
+    pr = _prodes(spark, sf)
+    mun = _municipalities(spark, sf).where(F.col("NM_MUN") == L.FEIJO).withColumnRenamed("id", "mun_id")
+    car = _parcels(spark, sf).where(F.col("desc_subclass") == L.CAR_LABEL).withColumnRenamed("id", "id_malha")
+    a = spatial_join(pr, mun, left_id="id", right_id="mun_id", left_cols=[], right_cols=[], with_area=False)
+    b = spatial_join(pr, car, left_id="id", right_id="id_malha", left_cols=[], right_cols=[], with_area=False)
+    return a.join(b, "id")
+
+
+def _g12(spark, sf):
+    """Intersection area of yearly polygons with municipalities (small x large shapes)."""
+    return spatial_join(_prodes(spark, sf), _municipalities(spark, sf).withColumnRenamed("id", "mun_id"),
+                        left_id="id", right_id="mun_id", left_cols=[], right_cols=[])
+
+
+def _g13(spark, sf):
+    pri = priority_layer(spark, sf).withColumnRenamed("id", "priority_id")
+    return spatial_join(_embargo(spark, sf), pri, left_id="objectid", right_id="priority_id",
+                        left_cols=[], right_cols=[], with_area=False)
+
+
+def _l01(spark, sf):
+    g = grid_layout(_parcels(spark, sf), 1024.0)
+    return g.groupBy("lvl", "cx", "cy").agg(F.count("*").alias("n"))
+
+
+def _stacked(spark, sf):
+    return concat_layers(L.priority_biomes(spark, sf))
+
+
 QUERIES: dict[str, Query] = {
     "Q01": lambda s, sf: qa.area_by_subclass(_alerts(s, sf), _parcels(s, sf)),
     "Q02": lambda s, sf: qa.area_by_subclass_class(_alerts(s, sf), _parcels(s, sf)),
@@ -83,4 +156,28 @@ QUERIES: dict[str, Query] = {
     "Q16": lambda s, sf: qe.percent_embargoed(_alerts(s, sf), _embargo(s, sf)),
     "Q17": lambda s, sf: qe.temporal_pattern(_alerts(s, sf), _embargo(s, sf)),
     "Q18": lambda s, sf: qe.by_priority(_embargo(s, sf), priority_layer(s, sf)),
+    # geometry quality on the broken parcels layer (WKB in)
+    "G01": lambda s, sf: qq.is_valid_report(_raw(s, sf)),
+    "G02": lambda s, sf: qq.reason_report(_raw(s, sf)),
+    "G03": lambda s, sf: qq.repaired_area(_raw(s, sf)),
+    "G04": lambda s, sf: qq.validate_counts(_raw(s, sf)),
+    "G05": lambda s, sf: qq.repair_preview(_raw(s, sf)),
+    "G06": lambda s, sf: qq.geometry_types(_raw(s, sf)),
+    "G07": lambda s, sf: qq.any_z(_raw(s, sf)),
+    "G08": lambda s, sf: qq.non_empty_ids(_raw(s, sf)),
+    "G09": lambda s, sf: qq.force_2d_report(_raw(s, sf)),
+    "G10": _g10,
+    "G11": lambda s, sf: _wkb_parcels(s, sf).select("id", "area"),
+    "G12": _g12,
+    "G13": _g13,
+    # joins and layout
+    "J01": _j01,
+    "J02": _j02,
+    "J03": _j03,
+    "J04": _j04,
+    "L01": _l01,
+    # layer preparation
+    "U01": lambda s, sf: _stacked(s, sf).select("id", "Import_bio"),
+    "D05": lambda s, sf: replace_values(_stacked(s, sf), "Import_bio").select("id", "Import_bio"),
+    "A06": lambda s, sf: value_counts(replace_values(_stacked(s, sf), "Import_bio"), "Import_bio"),
 }
