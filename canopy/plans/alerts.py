@@ -52,13 +52,18 @@ def area_by_subclass_year(alerts: DataFrame, parcels: DataFrame) -> DataFrame:
             .orderBy(desc_pg(AREA_KM2)))
 
 
-def monthly_area(alerts: DataFrame, view: str | None = "desmatamento_por_mes") -> DataFrame:
+def monthly_area(alerts: DataFrame, view: str | None = "desmatamento_por_mes",
+                 keep_m2: bool = False) -> DataFrame:
     """Q05: whole alert area per (ano, mes), km2; kept as a cached temp view.
 
     The result has at most 12 rows per year, so caching it is bounded.
+    ``keep_m2`` also keeps the m2 sum, from which Q06/Q07 derive their
+    ratios and means without re-rounding km2 values.
     """
     out = (add_year_month(alerts).groupBy("ano", "mes")
-           .agg(km2(F.sum("area")).alias("area_desmatada")))
+           .agg(km2(F.sum("area")).alias("area_desmatada"), F.sum("area").alias("area_m2")))
+    if not keep_m2:
+        out = out.drop("area_m2")
     if view:
         out = out.cache()
         out.createOrReplaceTempView(view)
@@ -82,6 +87,9 @@ def month_over_month(monthly: DataFrame) -> DataFrame:
 def moving_average_3(monthly: DataFrame) -> DataFrame:
     """Q07: mean of the current and two preceding rows within the year."""
     w = _by_year().rowsBetween(-2, Window.currentRow)
-    return (monthly.select("ano", "mes", "area_desmatada",
-                           F.avg("area_desmatada").over(w).alias("media_movel_3meses"))
+    src = "area_m2" if "area_m2" in monthly.columns else "area_desmatada"
+    mean = F.avg(src).over(w)
+    if src == "area_m2":
+        mean = km2(mean)
+    return (monthly.select("ano", "mes", "area_desmatada", mean.alias("media_movel_3meses"))
             .orderBy(asc_pg("ano"), asc_pg("mes")))

@@ -1,9 +1,9 @@
 """Registered queries: ``name -> f(spark, sf_dir) -> DataFrame``.
 
 Each entry builds its layers from the driver tables of ``sf_dir`` (whole
-tables, no sampling) and runs one operator or report. Ratios and averages
-are rounded to 6 digits here and in the oracle, so float summation order
-cannot flip a comparison; areas are exact (integer coordinates).
+tables, no sampling) and runs one operator or report. Areas are exact
+(integer coordinates), and ratios and means are taken from exact m2 sums,
+so Spark and the oracle agree bit for bit without rounding.
 """
 
 from __future__ import annotations
@@ -56,10 +56,6 @@ def priority_layer(spark: SparkSession, sf: str) -> DataFrame:
     return L.prepared(drop_empty(replace_values(stacked, "Import_bio")))
 
 
-def _round6(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
-
-
 def _q11(spark, sf):
     from ..functions.wkb import wkb_from_rings
     parcels = L.parcels(spark, sf)
@@ -143,11 +139,11 @@ QUERIES: dict[str, Query] = {
     "Q03": lambda s, sf: qa.add_year_month(L.prepared(L.alerts(s, sf))).select("id", "UF", "CLASSNAME", "VIEW_DATE", "ano", "mes"),
     "Q04": lambda s, sf: qa.area_by_subclass_year(_alerts(s, sf), _parcels(s, sf)),
     "Q05": lambda s, sf: qa.monthly_area(_alerts(s, sf), view=None),
-    "Q06": lambda s, sf: _round6(qa.month_over_month(qa.monthly_area(_alerts(s, sf))), "variacao_percentual"),
-    "Q07": lambda s, sf: _round6(qa.moving_average_3(qa.monthly_area(_alerts(s, sf))), "media_movel_3meses"),
+    "Q06": lambda s, sf: qa.month_over_month(qa.monthly_area(_alerts(s, sf))),
+    "Q07": lambda s, sf: qa.moving_average_3(qa.monthly_area(_alerts(s, sf), keep_m2=True)),
     "Q08": lambda s, sf: qy.by_subclass(_prodes(s, sf), _parcels(s, sf)),
     "Q09": lambda s, sf: qy.over_10km2(_prodes(s, sf), _parcels(s, sf)),
-    "Q10": lambda s, sf: _round6(qy.percent_of_total(_prodes(s, sf), _parcels(s, sf)), "perc_total"),
+    "Q10": lambda s, sf: qy.percent_of_total(_prodes(s, sf), _parcels(s, sf)),
     "Q11": _q11,
     "Q12": lambda s, sf: qe.by_subclass(_embargo(s, sf), _parcels(s, sf)),
     "Q13": lambda s, sf: qe.add_year(L.embargo(s, sf)).select("objectid", "dat_embarg", "ano"),

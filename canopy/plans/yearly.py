@@ -19,13 +19,14 @@ def by_subclass(prodes: DataFrame, parcels: DataFrame, ordered: bool = True) ->
     pairs = spatial_join(prodes, parcels.withColumnRenamed("id", "parcel_id"),
                          left_id="id", right_id="parcel_id", left_cols=[], right_cols=["desc_subclass"])
     out = pairs.groupBy("desc_subclass").agg(F.count("id").alias("num_eventos_desmatamento"),
-                                             km2(F.sum("inter_area")).alias(AREA))
-    return out.orderBy(asc_pg(AREA)) if ordered else out
+                                             km2(F.sum("inter_area")).alias(AREA),
+                                             F.sum("inter_area").alias("_m2"))
+    return out.drop("_m2").orderBy(asc_pg(AREA)) if ordered else out
 
 
 def over_10km2(prodes: DataFrame, parcels: DataFrame) -> DataFrame:
     """Q09: classes of Q08 above 10 km2 (strict), no order."""
-    return by_subclass(prodes, parcels, ordered=False).where(F.col(AREA) > 10)
+    return by_subclass(prodes, parcels, ordered=False).where(F.col(AREA) > 10).drop("_m2")
 
 
 def percent_of_total(prodes: DataFrame, parcels: DataFrame) -> DataFrame:
@@ -34,9 +35,11 @@ def percent_of_total(prodes: DataFrame, parcels: DataFrame) -> DataFrame:
 
     The window has no key and so runs in one task, over one row per class.
     """
-    kept = over_10km2(prodes, parcels)
-    total = F.sum(AREA).over(Window.partitionBy())
-    return (kept.select("desc_subclass", AREA, (F.col(AREA) / total * 100).alias("perc_total"))
+    kept = by_subclass(prodes, parcels, ordered=False).where(F.col(AREA) > 10)
+    # share from the exact m2 sums (same value as km2 / sum(km2), without
+    # the summation-order dependence of the rounded km2 values)
+    total = F.sum("_m2").over(Window.partitionBy())
+    return (kept.select("desc_subclass", AREA, (F.col("_m2") / total * 100).alias("perc_total"))
             .orderBy(desc_pg("perc_total")))
 
 
