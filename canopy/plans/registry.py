@@ -129,6 +129,31 @@ def _l01(spark, sf):
     return g.groupBy("lvl", "cx", "cy").agg(F.count("*").alias("n"))
 
 
+def _scratch(spark, name):
+    """A fresh folder for a write-then-read query, under the shared checkpoint
+    folder the session names (set only when unset, as in local runs)."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/canopy-{name}-{uuid.uuid4().hex}"
+
+
+def _s05(spark, sf):
+    """A layer written as Parquet with its CRS, read back."""
+    from ..sources.layers_io import read_layer, write_layer
+    path = _scratch(spark, "layer")
+    write_layer(_raw(spark, sf), path, srid=5880)
+    return read_layer(spark, path).select("id", "desc_subclass", "sigla_uf", "srid")
+
+
+def _l02(spark, sf):
+    """Alerts split by state on write; a state filter reads one partition."""
+    from ..sources.layers_io import export_partitioned
+    path = _scratch(spark, "alerts-by-uf")
+    export_partitioned(L.alerts(spark, sf).select("id", "UF", "CLASSNAME"), "UF", path=path)
+    return spark.read.parquet(path).where(F.col("UF") == "AC").select("id", "UF", "CLASSNAME")
+
+
 def _stacked(spark, sf):
     return concat_layers(L.priority_biomes(spark, sf))
 
@@ -172,6 +197,9 @@ QUERIES: dict[str, Query] = {
     "J03": _j03,
     "J04": _j04,
     "L01": _l01,
+    # files
+    "S05": _s05,
+    "L02": _l02,
     # layer preparation
     "U01": lambda s, sf: _stacked(s, sf).select("id", "Import_bio"),
     "D05": lambda s, sf: replace_values(_stacked(s, sf), "Import_bio").select("id", "Import_bio"),

@@ -40,7 +40,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", os.environ.get("CANOPY_DRIVER_MEMORY", "16g"))
          .config("spark.driver.extraJavaOptions", JIT_HUGE_METHODS)
-         .config("spark.executor.extraJavaOptions", JIT_HUGE_METHODS))
+         .config("spark.executor.extraJavaOptions", JIT_HUGE_METHODS)
+         # catalog tables of local runs go to a scratch folder, not the cwd
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="canopy-warehouse-")))
     for k, v in RECOMMENDED_CONF.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
