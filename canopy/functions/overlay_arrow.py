@@ -95,3 +95,55 @@ _pair_overlay_udf = _pair_overlay_udf.asNondeterministic()
 def pair_overlay_col(edges_a: Column, edges_b: Column, yb: Column) -> Column:
     """``struct(inter_area, edge_contact)`` for two edge lists and a base line below both."""
     return _pair_overlay_udf(edges_a, edges_b, yb)
+
+
+def _point_seg_d2(px, py, ax, ay, bx, by):
+    """Squared distance from points to segments (vectorised)."""
+    dx, dy = bx - ax, by - ay
+    ll = dx * dx + dy * dy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(ll > 0, ((px - ax) * dx + (py - ay) * dy) / np.where(ll > 0, ll, 1.0), 0.0)
+    t = np.clip(t, 0.0, 1.0)
+    qx, qy = ax + t * dx - px, ay + t * dy - py
+    return qx * qx + qy * qy
+
+
+def pair_min_dist2(ea_arr: pa.Array, eb_arr: pa.Array) -> np.ndarray:
+    """Least squared distance between the boundaries of each row's two edge lists."""
+    sa, na, (aax, aay, abx, aby) = _edges(ea_arr)
+    sb, nb, (bax, bay, bbx, bby) = _edges(eb_arr)
+    rows = len(na)
+    cnt = na * nb
+    total = int(cnt.sum())
+    out = np.full(rows, np.inf)
+    if total == 0:
+        return out
+    row = np.repeat(np.arange(rows), cnt)
+    local = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+    nbr = nb[row]
+    ia = sa[row] + local // nbr
+    ib = sb[row] + local % nbr
+    ax, ay, bx, by = aax[ia], aay[ia], abx[ia], aby[ia]
+    cx, cy, dx, dy = bax[ib], bay[ib], bbx[ib], bby[ib]
+    d2 = np.minimum.reduce([_point_seg_d2(ax, ay, cx, cy, dx, dy), _point_seg_d2(bx, by, cx, cy, dx, dy),
+                            _point_seg_d2(cx, cy, ax, ay, bx, by), _point_seg_d2(dx, dy, ax, ay, bx, by)])
+    ybox = (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by))
+    xbox = (np.minimum(ax, bx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(ax, bx))
+    cross = xbox & ybox & (_orient(ax, ay, bx, by, cx, cy) * _orient(ax, ay, bx, by, dx, dy) <= 0) \
+        & (_orient(cx, cy, dx, dy, ax, ay) * _orient(cx, cy, dx, dy, bx, by) <= 0)
+    d2 = np.where(cross, 0.0, d2)
+    np.minimum.at(out, row, d2)
+    return out
+
+
+@arrow_udf(T.DoubleType())
+def _pair_dist2_udf(ea: pa.Array, eb: pa.Array) -> pa.Array:
+    return pa.array(pair_min_dist2(ea, eb))
+
+
+_pair_dist2_udf = _pair_dist2_udf.asNondeterministic()
+
+
+def boundary_dist2_col(edges_a: Column, edges_b: Column) -> Column:
+    """Least squared distance between two shapes' boundaries (0 when they touch or cross)."""
+    return _pair_dist2_udf(edges_a, edges_b)

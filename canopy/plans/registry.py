@@ -154,6 +154,23 @@ def _l02(spark, sf):
     return spark.read.parquet(path).where(F.col("UF") == "AC").select("id", "UF", "CLASSNAME")
 
 
+def _x01(spark, sf):
+    from ..operators.proximity import within_distance_join
+    return within_distance_join(_embargo(spark, sf), priority_layer(spark, sf).withColumnRenamed("id", "priority_id"),
+                                250.0, left_id="objectid", right_id="priority_id")
+
+
+def _x02(spark, sf):
+    from ..operators.dissolve import dissolve_area
+    return dissolve_area(priority_layer(spark, sf), "Import_bio")
+
+
+def _x03(spark, sf):
+    from ..operators.describe import describe_layer
+    return describe_layer(_parcels(spark, sf), ["area", "x0", "y0", "x1", "y1"]).select(
+        "column", "count", "nulls", "mean", "min", "max")
+
+
 def _stacked(spark, sf):
     return concat_layers(L.priority_biomes(spark, sf))
 
@@ -197,6 +214,10 @@ QUERIES: dict[str, Query] = {
     "J03": _j03,
     "J04": _j04,
     "L01": _l01,
+    # described in prose only
+    "X01": _x01,
+    "X02": _x02,
+    "X03": _x03,
     # files
     "S05": _s05,
     "L02": _l02,

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming operator: no watermark, stream window,
+stateful operator or late-data rule exists in it, and its alerts, though
+described as near real time, are loaded as one batch file. Nothing is built
+here; the batch reports in :mod:`canopy.plans` are what a user of the
+reference runs.
+"""
