@@ -113,17 +113,15 @@ def with_cells(df: DataFrame, plan: GridPlan, other_levels: tuple[int, ...] | No
     """
     mine = sorted(set(plan.left_levels) | set(plan.right_levels) | set(other_levels or ()))
     # First name the per-level corner cells and spans once (small code),
-    # then pick from a fixed array of at most 4 candidates per level.
-    base = {"_own": _own_level(plan.k)}
+    # then pick from a fixed array of at most 4 candidates per level. Two
+    # projections in all: each DataFrame call is analysed on the driver.
+    base = [F.col(c) for c in df.columns] + [_own_level(plan.k).alias("_own")]
     for L in mine:
         s = F.lit(plan.cell * 2.0 ** L)
-        base[f"_bx{L}"] = F.floor(F.col("x0") / s)
-        base[f"_by{L}"] = F.floor(F.col("y0") / s)
-    out = df.withColumns(base)
-    out = out.withColumns({f"_nx{L}": F.floor(F.col("x1") / F.lit(plan.cell * 2.0 ** L)) - F.col(f"_bx{L}")
-                           for L in mine})
-    out = out.withColumns({f"_ny{L}": F.floor(F.col("y1") / F.lit(plan.cell * 2.0 ** L)) - F.col(f"_by{L}")
-                           for L in mine})
+        bx, by = F.floor(F.col("x0") / s), F.floor(F.col("y0") / s)
+        base += [bx.alias(f"_bx{L}"), by.alias(f"_by{L}"),
+                 (F.floor(F.col("x1") / s) - bx).alias(f"_nx{L}"), (F.floor(F.col("y1") / s) - by).alias(f"_ny{L}")]
+    out = df.select(*base)
     own = F.col("_own")
     cands = []
     for L in mine:
@@ -133,10 +131,10 @@ def with_cells(df: DataFrame, plan: GridPlan, other_levels: tuple[int, ...] | No
                 ok = use & (F.col(f"_nx{L}") >= dx) & (F.col(f"_ny{L}") >= dy)
                 cands.append(F.when(ok, F.struct(F.lit(L).alias("lvl"), (F.col(f"_bx{L}") + dx).alias("cx"),
                                                   (F.col(f"_by{L}") + dy).alias("cy"))))
-    tmp = [c for L in mine for c in (f"_bx{L}", f"_by{L}", f"_nx{L}", f"_ny{L}")]
-    out = (out.withColumn("_cell", F.explode(F.array(*cands))).where(F.col("_cell").isNotNull())
-              .withColumn("lvl", F.col("_cell.lvl")).withColumn("cx", F.col("_cell.cx"))
-              .withColumn("cy", F.col("_cell.cy")).drop("_cell", *tmp))
+    out = out.select(*df.columns, "_own", F.explode(F.array(*cands)).alias("_cell"))
+    out = out.where(F.col("_cell").isNotNull()).select(
+        *df.columns, "_own", F.col("_cell.lvl").alias("lvl"), F.col("_cell.cx").alias("cx"),
+        F.col("_cell.cy").alias("cy"))
     return out if keep_level else out.drop("_own")
 
 
@@ -154,6 +152,15 @@ def grid_layout(df: DataFrame, cell_size: float, partitions: int | None = None)
     return out.sortWithinPartitions("lvl", "cx", "cy")
 
 
+def _side(df: DataFrame, prefix: str, id_col: str, keep: list[str]) -> DataFrame:
+    """One projection: prefixed id, edges, area and kept columns; the box
+    keeps its plain names for :func:`with_cells`."""
+    cols = [F.col(id_col).alias(f"{prefix}id"), F.col("edges").alias(f"{prefix}edges"),
+            F.col("area").alias(f"{prefix}area"), "x0", "y0", "x1", "y1"]
+    cols += [F.col(f"`{c}`").alias(f"{prefix}c_{c}") for c in keep]
+    return df.where(F.col("x0").isNotNull()).select(*cols)
+
+
 def _rename_shape(df: DataFrame, prefix: str, id_col: str, keep: list[str]) -> DataFrame:
     cols = [F.col(id_col).alias(f"{prefix}id")]
     cols += [F.col(c).alias(f"{prefix}{c}") for c in SHAPE_COLUMNS]
@@ -172,7 +179,7 @@ def _attrs(df: DataFrame, id_col: str, exclude=()) -> list[str]:
 BROADCAST_MAX_ROWS = 100_000
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Give a streamed side at least the cluster's parallelism.
 
     Large inputs arrive split into many scan partitions already; a small
@@ -193,17 +200,15 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     if 0 <= small <= BROADCAST_MAX_ROWS:
         bcast = "right" if plan.right_rows <= plan.left_rows else "left"
         if bcast == "right":
-            left = _spread(left)
+            left = spread(left)
         else:
-            right = _spread(right)
-    lp = with_cells(_rename_shape(left.where(F.col("x0").isNotNull()), "l_", left_id, left_keep)
-                    .withColumnsRenamed({f"l_{c}": c for c in ("x0", "y0", "x1", "y1")}),
-                    plan, plan.right_levels)
-    lp = lp.withColumnsRenamed({c: f"l_{c}" for c in ("x0", "y0", "x1", "y1", "_own")})
-    rp = with_cells(_rename_shape(right.where(F.col("x0").isNotNull()), "r_", right_id, right_keep)
-                    .withColumnsRenamed({f"r_{c}": c for c in ("x0", "y0", "x1", "y1")}),
-                    plan, plan.left_levels)
-    rp = rp.withColumnsRenamed({c: f"r_{c}" for c in ("x0", "y0", "x1", "y1", "_own")})
+            right = spread(right)
+    lp = with_cells(_side(left, "l_", left_id, left_keep), plan, plan.right_levels)
+    rp = with_cells(_side(right, "r_", right_id, right_keep), plan, plan.left_levels)
+    lp = lp.select(*[F.col(c).alias(f"l_{c}") if c in ("x0", "y0", "x1", "y1", "_own") else F.col(c)
+                     for c in lp.columns])
+    rp = rp.select(*[F.col(c).alias(f"r_{c}") if c in ("x0", "y0", "x1", "y1", "_own") else F.col(c)
+                     for c in rp.columns])
     if bcast == "right":
         rp = F.broadcast(rp)
     elif bcast == "left":
@@ -255,10 +260,14 @@ def pair_overlay_batched(pairs: DataFrame, carry: list[str]) -> DataFrame:
                                                       F.col("l_area"), F.col("r_area")))
 
 
-# "batched": Arrow/numpy per candidate pair; "exploded": edge pairs as rows,
-# summed by a hash aggregate (all JVM, but moves n x m rows per pair).
+# "exploded" (default): edge pairs stream through one code-generated stage
+# (explode, arithmetic, partial hash aggregate) and are never materialised,
+# so memory stays flat however many vertices a pair has; one row per pair is
+# then shuffled. "batched": each pair finished in an Arrow/numpy kernel; as
+# fast on small shapes, but it builds every edge-pair combination of a batch
+# in memory, which large polygons make expensive.
 PAIR_KERNELS = {"batched": pair_overlay_batched, "exploded": pair_overlay}
-DEFAULT_KERNEL = "batched"
+DEFAULT_KERNEL = "exploded"
 
 
 _PREDICATES = ("intersects", "within", "contains")

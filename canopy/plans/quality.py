@@ -13,11 +13,16 @@ from pyspark.sql import functions as F
 from ..functions import validity as V
 from ..functions import wkb as W
 from ..functions.geometry import area, drop_empty
+from ..operators.spatial_join import spread
 
 
 def decoded(raw: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Add 2D ``rings`` decoded from the WKB column (Z and M dropped)."""
-    return raw.withColumn("rings", W.rings_from_wkb(geometry))
+    """Add 2D ``rings`` decoded from the WKB column (Z and M dropped).
+
+    The per-geometry helpers that follow run in Python workers, so a layer
+    arriving in fewer partitions than the cluster has cores is spread first.
+    """
+    return spread(raw).withColumn("rings", W.rings_from_wkb(geometry))
 
 
 def is_valid_report(raw: DataFrame) -> DataFrame:
