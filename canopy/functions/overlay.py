@@ -40,37 +40,33 @@ def edge_pair_terms(df: DataFrame, keep: list[str], ea: str = "_ea", eb: str = "
     ``integral |d| = w |dl + dh| / 2`` when ``dl, dh`` share a sign, else
     ``w (dl^2 + dh^2) / (2 (|dl| + |dh|))`` (two triangles).
     """
-    a, b = C(ea), C(eb)
-    s = df.select(*keep, C(yb).alias("_yb"), a.alias("_a"), b.alias("_b"),
-                  F.greatest(F.least(a["ax"], a["bx"]), F.least(b["ax"], b["bx"])).alias("lo"),
-                  F.least(F.greatest(a["ax"], a["bx"]), F.greatest(b["ax"], b["bx"])).alias("hi"))
-    s = s.where(C("lo") <= C("hi"))
-    a, b = C("_a"), C("_b")
+    q = lambda c: f"`{c}`"
+    kp = [q(c) for c in keep]
+    s = df.selectExpr(*kp, f"{yb} AS _yb", f"{ea} AS _a", f"{eb} AS _b",
+                      f"greatest(least({ea}.ax, {ea}.bx), least({eb}.ax, {eb}.bx)) AS lo",
+                      f"least(greatest({ea}.ax, {ea}.bx), greatest({eb}.ax, {eb}.bx)) AS hi")
+    s = s.where("lo <= hi")
     # Heights above yb at both ends of the common range; the slope is only
     # used where the range is non-degenerate, so neither edge is vertical
     # there (nullif keeps ANSI mode from raising on the others).
-    ka = (a["by"] - a["ay"]) / F.nullif(a["bx"] - a["ax"], F.lit(0.0))
-    kb = (b["by"] - b["ay"]) / F.nullif(b["bx"] - b["ax"], F.lit(0.0))
-    s = s.select(*keep, "_a", "_b", "lo", "hi",
-                 (a["ay"] - C("_yb") + ka * (C("lo") - a["ax"])).alias("yal"),
-                 (a["ay"] - C("_yb") + ka * (C("hi") - a["ax"])).alias("yah"),
-                 (b["ay"] - C("_yb") + kb * (C("lo") - b["ax"])).alias("ybl"),
-                 (b["ay"] - C("_yb") + kb * (C("hi") - b["ax"])).alias("ybh"))
-    s = s.select(*keep, "_a", "_b", (C("hi") - C("lo")).alias("w"),
-                 (C("yal") + C("yah") + C("ybl") + C("ybh")).alias("ysum"),
-                 (C("yal") - C("ybl")).alias("dl"), (C("yah") - C("ybh")).alias("dh"))
-    absd = F.when(C("dl") * C("dh") >= 0, F.abs(C("dl") + C("dh")) / 2.0).otherwise(
-        (C("dl") * C("dl") + C("dh") * C("dh")) / (2.0 * (F.abs("dl") + F.abs("dh"))))
-    sign = F.signum(a["ax"] - a["bx"]) * F.signum(b["ax"] - b["bx"])
-    term = F.when(C("w") > 0, sign * C("w") * (C("ysum") / 4.0 - absd / 2.0)).otherwise(F.lit(0.0))
-    ybox = ((F.least(a["ay"], a["by"]) <= F.greatest(b["ay"], b["by"]))
-            & (F.least(b["ay"], b["by"]) <= F.greatest(a["ay"], a["by"])))
-    o1 = _orient(a["ax"], a["ay"], a["bx"], a["by"], b["ax"], b["ay"])
-    o2 = _orient(a["ax"], a["ay"], a["bx"], a["by"], b["bx"], b["by"])
-    o3 = _orient(b["ax"], b["ay"], b["bx"], b["by"], a["ax"], a["ay"])
-    o4 = _orient(b["ax"], b["ay"], b["bx"], b["by"], a["bx"], a["by"])
-    meet = ybox & (o1 * o2 <= 0) & (o3 * o4 <= 0)
-    return s.select(*keep, term.alias("_t"), meet.alias("_m"))
+    ka = "((_a.by - _a.ay) / nullif(_a.bx - _a.ax, 0D))"
+    kb = "((_b.by - _b.ay) / nullif(_b.bx - _b.ax, 0D))"
+    s = s.selectExpr(*kp, "_a", "_b", "lo", "hi",
+                     f"_a.ay - _yb + {ka} * (lo - _a.ax) AS yal", f"_a.ay - _yb + {ka} * (hi - _a.ax) AS yah",
+                     f"_b.ay - _yb + {kb} * (lo - _b.ax) AS ybl", f"_b.ay - _yb + {kb} * (hi - _b.ax) AS ybh")
+    s = s.selectExpr(*kp, "_a", "_b", "hi - lo AS w", "yal + yah + ybl + ybh AS ysum",
+                     "yal - ybl AS dl", "yah - ybh AS dh")
+
+    def orient(p, r, c):
+        return (f"signum(({p}.bx - {p}.ax) * ({r}.{c}y - {p}.ay) - ({p}.by - {p}.ay) * ({r}.{c}x - {p}.ax))")
+    absd = ("CASE WHEN dl * dh >= 0 THEN abs(dl + dh) / 2 "
+            "ELSE (dl * dl + dh * dh) / (2 * (abs(dl) + abs(dh))) END")
+    term = (f"CASE WHEN w > 0 THEN signum(_a.ax - _a.bx) * signum(_b.ax - _b.bx) * w * (ysum / 4 - ({absd}) / 2) "
+            "ELSE 0D END")
+    meet = ("least(_a.ay, _a.by) <= greatest(_b.ay, _b.by) AND least(_b.ay, _b.by) <= greatest(_a.ay, _a.by)"
+            f" AND {orient('_a', '_b', 'a')} * {orient('_a', '_b', 'b')} <= 0"
+            f" AND {orient('_b', '_a', 'a')} * {orient('_b', '_a', 'b')} <= 0")
+    return s.selectExpr(*kp, f"{term} AS _t", f"{meet} AS _m")
 
 
 def _orient(ax, ay, bx, by, cx, cy) -> Column:

@@ -29,36 +29,43 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _corners(x: Column, y: Column, w: Column, h: Column, ell: bool) -> list[tuple[Column, Column]]:
-    """Counter-clockwise vertices of a rectangle, or of the L (upper right quarter missing)."""
+def _corners(ell: bool) -> list[tuple[str, str]]:
+    """Counter-clockwise vertices (SQL over columns _x, _y, _w, _h) of a
+    rectangle, or of the L with the upper right quarter missing."""
     if not ell:
-        return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
-    hw, hh = w / 2, h / 2
-    return [(x, y), (x + w, y), (x + w, y + hh), (x + hw, y + hh), (x + hw, y + h), (x, y + h)]
+        return [("_x", "_y"), ("_x + _w", "_y"), ("_x + _w", "_y + _h"), ("_x", "_y + _h")]
+    return [("_x", "_y"), ("_x + _w", "_y"), ("_x + _w", "_y + _h / 2"), ("_x + _w / 2", "_y + _h / 2"),
+            ("_x + _w / 2", "_y + _h"), ("_x", "_y + _h")]
 
 
-def _native_shape(x: Column, y: Column, w: Column, h: Column, lshape: Column | None) -> dict[str, Column]:
-    """Rings plus the prepared shape columns, all as plain (code-generated)
-    expressions: the fixture vertices are known, so no array walk is needed."""
-    x, y, w, h = (c.cast("double") for c in (x, y, w, h))
+def _ring_sql(ell: bool) -> str:
+    pts = _corners(ell)
+    pts = pts + pts[:1]
+    inner = ", ".join(f"named_struct('x', {x}, 'y', {y})" for x, y in pts)
+    return f"array(named_struct('part', 0, 'hole', false, 'pts', array({inner})))"
 
-    def ring_col(ell):
-        return F.array(ring([point(px, py) for px, py in _corners(x, y, w, h, ell)]))
 
-    def edges_col(ell):
-        pts = _corners(x, y, w, h, ell)
-        pts = pts + pts[:1]
-        return F.array(*[F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"))
-                         for a, b in zip(pts[:-1], pts[1:])])
+def _edges_sql(ell: bool) -> str:
+    pts = _corners(ell)
+    pts = pts + pts[:1]
+    return "array(" + ", ".join(f"named_struct('ax', {a[0]}, 'ay', {a[1]}, 'bx', {b[0]}, 'by', {b[1]})"
+                                for a, b in zip(pts[:-1], pts[1:])) + ")"
 
-    full = w * h
-    if lshape is None:
-        rings, edges, area = ring_col(False), edges_col(False), full
-    else:
-        rings = F.when(lshape, ring_col(True)).otherwise(ring_col(False))
-        edges = F.when(lshape, edges_col(True)).otherwise(edges_col(False))
-        area = F.when(lshape, full - (w / 2) * (h / 2)).otherwise(full)
-    return {"rings": rings, "edges": edges, "x0": x, "y0": y, "x1": x + w, "y1": y + h, "area": area}
+
+def _native_shape(df: DataFrame, x: Column, y: Column, w: Column, h: Column, lshape: Column | None) -> DataFrame:
+    """Rings plus the prepared shape columns as plain (code-generated)
+    expressions: the fixture vertices are known, so no array walk is needed.
+    The expressions are SQL text, parsed once on the JVM."""
+    keep = df.columns
+    df = df.select(*keep, x.cast("double").alias("_x"), y.cast("double").alias("_y"),
+                   w.cast("double").alias("_w"), h.cast("double").alias("_h"),
+                   (lshape if lshape is not None else F.lit(False)).alias("_ell"))
+    area = "CASE WHEN _ell THEN _w * _h - (_w / 2) * (_h / 2) ELSE _w * _h END"
+    return df.selectExpr(
+        *[f"`{c}`" for c in keep],
+        f"CASE WHEN _ell THEN {_ring_sql(True)} ELSE {_ring_sql(False)} END AS rings",
+        f"CASE WHEN _ell THEN {_edges_sql(True)} ELSE {_edges_sql(False)} END AS edges",
+        "_x AS x0", "_y AS y0", "_x + _w AS x1", "_y + _h AS y1", f"{area} AS area")
 
 
 def _shape(df: DataFrame, idc: str, mx: int, my: int, w0: int, wm: int, h0: int, hm: int,
@@ -68,7 +75,7 @@ def _shape(df: DataFrame, idc: str, mx: int, my: int, w0: int, wm: int, h0: int,
     y = (i * my) % PLANE
     w = F.lit(w0) + 2 * (i % wm)
     h = F.lit(h0) + 2 * (i % hm)
-    return df.withColumns(_native_shape(x, y, w, h, (i % 3 == 0) if lshape else None))
+    return _native_shape(df, x, y, w, h, (i % 3 == 0) if lshape else None)
 
 
 def _pick(labels: list[str], idx: Column) -> Column:
@@ -131,7 +138,7 @@ def municipalities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").cast("long").alias("id"),
         F.when(F.col("n_nationkey") == 22, F.lit(FEIJO)).otherwise(F.col("n_name")).alias("NM_MUN"))
     i = F.col("id")
-    return n.withColumns(_native_shape((i % 5) * 8000, F.floor(i / 5) * 8000, F.lit(8000), F.lit(8000), None))
+    return _native_shape(n, (i % 5) * 8000, F.floor(i / 5) * 8000, F.lit(8000), F.lit(8000), None)
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +146,7 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("id"),
                                                    F.col("r_name").alias("uf"))
     i = F.col("id")
-    return r.withColumns(_native_shape(i * 8000, F.lit(0), F.lit(8000), F.lit(40000), None))
+    return _native_shape(r, i * 8000, F.lit(0), F.lit(8000), F.lit(40000), None)
 
 
 def parcels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
