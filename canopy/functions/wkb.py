@@ -151,6 +151,87 @@ def _arrow_rows(arr: pa.Array):
                for k in range(ring_off[i], ring_off[i + 1])]
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Concatenation of ``arange(s, s + c)`` for every (s, c), vectorised."""
+    counts = np.asarray(counts, np.int64)
+    total = int(counts.sum())
+    if total == 0:
+        return np.zeros(0, np.int64)
+    return np.repeat(np.asarray(starts, np.int64), counts) + (
+        np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts))
+
+
+def encode_batch(arr: pa.Array, z: np.ndarray | None = None) -> pa.Array:
+    """Vectorised little-endian WKB for a whole Arrow batch of rings.
+
+    Every byte offset is computed with numpy and headers, point counts and
+    coordinates are scattered into one buffer; rows with more than one part
+    (MultiPolygon) go through :func:`encode_rings`. ``z``: per-row Z value
+    (NaN = 2D).
+    """
+    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
+    n = len(arr)
+    valid = arr.is_valid().to_numpy(zero_copy_only=False)
+    ring_off = arr.offsets.to_numpy().astype(np.int64)
+    rings = arr.values
+    parts = rings.field("part").to_numpy(zero_copy_only=False).astype(np.int64)
+    pts = rings.field("pts")
+    pt_off = pts.offsets.to_numpy().astype(np.int64)
+    xs = pts.values.field("x").to_numpy(zero_copy_only=False)
+    ys = pts.values.field("y").to_numpy(zero_copy_only=False)
+    r0 = ring_off[0]
+    row_nr = np.diff(ring_off)
+    row_nr[~valid] = 0
+    ring_row = np.repeat(np.arange(n), row_nr)
+    ring_idx = _ranges(ring_off[:-1], row_nr)
+    # rows with several parts take the general path
+    multi = np.zeros(n, bool)
+    if len(ring_idx):
+        np.logical_or.at(multi, ring_row, parts[ring_idx] != parts[ring_off[:-1][ring_row]])
+    zz = np.full(n, np.nan) if z is None else np.asarray(z, float)
+    dims = np.where(np.isnan(zz), 2, 3)
+    npts = (pt_off[ring_idx + 1] - pt_off[ring_idx]) if len(ring_idx) else np.zeros(0, np.int64)
+    psize = 8 * dims[ring_row]
+    ring_bytes = 4 + npts * psize
+    row_bytes = 9 + np.bincount(ring_row, weights=ring_bytes, minlength=n).astype(np.int64)
+    row_bytes[~valid | multi] = 0
+    out_off = np.concatenate([[0], np.cumsum(row_bytes)])
+    buf = np.zeros(int(out_off[-1]), np.uint8)
+    simple = valid & ~multi
+    hdr = np.zeros((n, 9), np.uint8)
+    hdr[:, 0] = 1
+    hdr[:, 1:5] = np.where(dims == 3, 1003, 3).astype("<u4").view(np.uint8).reshape(n, 4)
+    hdr[:, 5:9] = row_nr.astype("<u4").view(np.uint8).reshape(n, 4)
+    rows = np.nonzero(simple)[0]
+    buf[(out_off[rows][:, None] + np.arange(9)).ravel()] = hdr[rows].ravel()
+    keep = simple[ring_row]
+    if keep.any():
+        kr, ki, knp, kb, kps = ring_row[keep], ring_idx[keep], npts[keep], ring_bytes[keep], psize[keep]
+        first = np.concatenate([[True], kr[1:] != kr[:-1]])
+        csum = np.cumsum(kb) - kb
+        start_of_row = np.maximum.accumulate(np.where(first, csum, 0))
+        ring_pos = out_off[kr] + 9 + (csum - start_of_row)
+        buf[(ring_pos[:, None] + np.arange(4)).ravel()] = knp.astype("<u4").view(np.uint8).ravel()
+        pidx = _ranges(pt_off[ki], knp)
+        p_ring = np.repeat(np.arange(len(ki)), knp)
+        p_local = np.arange(len(pidx)) - np.repeat(np.cumsum(knp) - knp, knp)
+        p_size = kps[p_ring]
+        pos = ring_pos[p_ring] + 4 + p_local * p_size
+        for d, vals in enumerate((xs[pidx], ys[pidx], zz[kr][p_ring])):
+            m = p_size > 8 * d
+            b = np.ascontiguousarray(vals[m], "<f8").view(np.uint8).reshape(-1, 8)
+            buf[((pos[m] + 8 * d)[:, None] + np.arange(8)).ravel()] = b.ravel()
+    out = pa.BinaryArray.from_buffers(pa.binary(), n, [pa.py_buffer(np.packbits(valid, bitorder="little")),
+                                                       pa.py_buffer(out_off.astype(np.int32)), pa.py_buffer(buf)])
+    if multi.any():
+        vals = out.to_pylist()
+        rows_py = list(_arrow_rows(arr))
+        for i in np.nonzero(multi & valid)[0]:
+            vals[i] = encode_rings(rows_py[i], None if np.isnan(zz[i]) else float(zz[i]))
+        out = pa.array(vals, pa.binary())
+    return out
+
+
 @arrow_udf(RINGS)
 def _wkb_to_rings(wkb: pa.Array) -> pa.Array:
     return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
@@ -158,14 +239,20 @@ def _wkb_to_rings(wkb: pa.Array) -> pa.Array:
 
 @arrow_udf(T.BinaryType())
 def _rings_to_wkb(rings: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else encode_rings(r) for r in _arrow_rows(rings)], pa.binary())
+    return encode_batch(rings)
 
 
 @arrow_udf(T.BinaryType())
 def _rings_z_to_wkb(rings: pa.Array, z: pa.Array) -> pa.Array:
-    zs = z.to_pylist()
-    return pa.array([None if r is None else encode_rings(r, zv) for r, zv in zip(_arrow_rows(rings), zs)],
-                    pa.binary())
+    return encode_batch(rings, z.to_numpy(zero_copy_only=False).astype(float))
+
+
+# Pure functions, marked non-deterministic only so the optimizer never runs
+# them twice (a filter and a projection on the same result would otherwise
+# each evaluate the UDF); retried tasks recompute identical values.
+_wkb_to_rings = _wkb_to_rings.asNondeterministic()
+_rings_to_wkb = _rings_to_wkb.asNondeterministic()
+_rings_z_to_wkb = _rings_z_to_wkb.asNondeterministic()
 
 
 def rings_from_wkb(wkb: Column | str) -> Column:

@@ -155,7 +155,8 @@ def parcels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``id % 103`` null geometry, ``id % 107`` empty polygon, ``id % 109`` Z = 7.
     Columns: id, desc_subclass, sigla_uf, geometry (WKB)."""
     from ..functions.wkb import wkb_from_rings
-    p = parcels(spark, sf_dir)
+    from ..operators.spatial_join import spread
+    p = spread(parcels(spark, sf_dir))
     i = F.col("id")
     x, y = F.col("x0"), F.col("y0")
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

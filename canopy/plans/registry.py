@@ -58,9 +58,10 @@ def priority_layer(spark: SparkSession, sf: str) -> DataFrame:
 
 def _q11(spark, sf):
     from ..functions.wkb import wkb_from_rings
-    parcels = L.parcels(spark, sf)
-    parcels = L.prepared(parcels.withColumn("geometry", wkb_from_rings(F.col("rings"))))
-    out = qy.car_in_municipality(_prodes(spark, sf), _municipalities(spark, sf), parcels)
+    # only rural-registry parcels need their WKB (grouped on and returned)
+    car = L.parcels(spark, sf).where(F.col("desc_subclass") == L.CAR_LABEL)
+    car = L.prepared(car.withColumn("geometry", wkb_from_rings(F.col("rings"))))
+    out = qy.car_in_municipality(_prodes(spark, sf), _municipalities(spark, sf), car)
     # The parcel WKB is grouped on and returned by the report; the oracle has
     # no WKB writer, so it is left out of the compared columns.
     return out.drop("geom_malha")
