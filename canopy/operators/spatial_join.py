@@ -192,9 +192,38 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def _salted(lp: DataFrame, rp: DataFrame, buckets: int, hot_rows: int) -> tuple[DataFrame, DataFrame, list]:
+    """Split hot cells: a cell with more than ``hot_rows`` left rows has its
+    left rows spread over ``buckets`` salt values and its right rows copied
+    once per salt; every other cell keeps salt 0. Each pair is still found
+    exactly once (a left row has one salt, its partners are in every salt).
+
+    The hot-cell list is computed inside the plan (no driver round trip) and
+    broadcast: it holds at most ``left rows / hot_rows`` keys.
+    """
+    key = ["lvl", "cx", "cy"]
+    hot = (lp.groupBy(*key).count().where(F.col("count") > hot_rows)
+             .select(*key, F.lit(True).alias("_hot")))
+    hot = F.broadcast(hot)
+    lp = (lp.join(hot, key, "left")
+            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("l_id"), F.lit(buckets)))
+                        .otherwise(F.lit(0)).cast("int")).drop("_hot"))
+    rp = (rp.join(hot, key, "left")
+            .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
+                                           .otherwise(F.array(F.lit(0)))))
+            .drop("_hot"))
+    return lp, rp, key + ["_salt"]
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
-                    left_keep: list[str], right_keep: list[str], plan: GridPlan) -> DataFrame:
-    """Box-overlapping pairs, each exactly once, with both shapes' columns."""
+                    left_keep: list[str], right_keep: list[str], plan: GridPlan,
+                    salt_buckets: int = 0, hot_cell_rows: int | None = None) -> DataFrame:
+    """Box-overlapping pairs, each exactly once, with both shapes' columns.
+
+    ``salt_buckets > 1`` splits hot cells explicitly (see :func:`_salted`); by
+    default a hot cell is left to AQE's skew-join splitting of the
+    sort-merge partition that holds it.
+    """
     small = min(plan.left_rows, plan.right_rows)
     bcast = None
     if 0 <= small <= BROADCAST_MAX_ROWS:
@@ -209,11 +238,15 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
                      for c in lp.columns])
     rp = rp.select(*[F.col(c).alias(f"r_{c}") if c in ("x0", "y0", "x1", "y1", "_own") else F.col(c)
                      for c in rp.columns])
+    on = ["lvl", "cx", "cy"]
+    if salt_buckets and salt_buckets > 1 and bcast is None:
+        hot_rows = hot_cell_rows or max(10_000, plan.left_rows // 1000)
+        lp, rp, on = _salted(lp, rp, salt_buckets, hot_rows)
     if bcast == "right":
         rp = F.broadcast(rp)
     elif bcast == "left":
         lp = F.broadcast(lp)
-    j = lp.join(rp, ["lvl", "cx", "cy"])
+    j = lp.join(rp, on)
     s = F.lit(plan.cell) * F.pow(F.lit(2.0), F.col("lvl"))
     ox = F.greatest("l_x0", "r_x0")
     oy = F.greatest("l_y0", "r_y0")
@@ -278,7 +311,8 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
                  left_cols: list[str] | None = None, right_cols: list[str] | None = None,
                  with_area: bool = True, cell_size: float | None = None,
                  suffixes: tuple[str, str] = ("_left", "_right"),
-                 plan: GridPlan | None = None, kernel: str = DEFAULT_KERNEL) -> DataFrame:
+                 plan: GridPlan | None = None, kernel: str = DEFAULT_KERNEL,
+                 salt_buckets: int = 0, hot_cell_rows: int | None = None) -> DataFrame:
     """Join two prepared shape layers on a spatial predicate.
 
     Output: ``left_id``, ``right_id``, the chosen attribute columns of both
@@ -296,8 +330,9 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
         raise ValueError("left_id and right_id must differ; rename one side first")
     plan = plan or plan_grid(left, right, cell_size)
     lkeep = [] if how == "left" else lcols
-    pairs = PAIR_KERNELS[kernel](candidate_pairs(left, right, left_id, right_id, lkeep, rcols, plan),
-                                 [f"l_c_{c}" for c in lkeep] + [f"r_c_{c}" for c in rcols])
+    cands = candidate_pairs(left, right, left_id, right_id, lkeep, rcols, plan,
+                            salt_buckets=salt_buckets, hot_cell_rows=hot_cell_rows)
+    pairs = PAIR_KERNELS[kernel](cands, [f"l_c_{c}" for c in lkeep] + [f"r_c_{c}" for c in rcols])
     if predicate == "intersects":
         cond = F.col("intersects")
     elif predicate == "within":
