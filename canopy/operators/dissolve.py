@@ -6,8 +6,9 @@ union *inside that cell* with a vertical-slab sweep: between consecutive
 vertex / crossing abscissas no two edges cross, so the edges met by a slab
 can be ordered by height and the covered stretches read off from per-shape
 winding counts. Summing the cell pieces per key gives the union area. A key
-is never gathered in one task: its work is spread over its cells, and the
-per-cell sums are pre-aggregated before the final (small) group by key.
+is never gathered in one task: its work is spread over its cells (hot cells
+over sub-cells, exact copies merged first), and the per-cell sums are
+pre-aggregated before the final (small) group by key.
 """
 
 from __future__ import annotations
@@ -93,26 +94,54 @@ def _union_area_in_box(edges: list[np.ndarray], x0: float, y0: float, x1: float,
     return float(total)
 
 
-def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None) -> DataFrame:
-    """Union area per ``key`` (overlaps counted once) and the number of shapes merged."""
+def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
+                  max_group_rows: int = 20_000, split: int = 8) -> DataFrame:
+    """Union area per ``key`` (overlaps counted once) and the number of shapes merged.
+
+    Work is grouped by ``(key, cell)``. Exact copies of a shape are merged
+    first (a map-side distinct; copies do not change a union), and a cell
+    still holding more than ``max_group_rows`` shapes of one key is cut into
+    ``split x split`` sub-cells, found by an in-plan count whose hot list is
+    bounded by ``rows / max_group_rows``.
+    """
     if cell_size is None:
         med = layer.select(F.percentile_approx(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")),
                                                0.5, 1000)).first()[0] or 1.0
         cell_size = float(2 ** math.ceil(math.log2(max(med, 1e-9)) + 2))
-    s = F.lit(float(cell_size))
-    cells = (layer.select(key, "edges", "x0", "y0", "x1", "y1")
+    size = float(cell_size)
+    sub = size / split
+    s = F.lit(size)
+    shapes = layer.select(key, "edges", "x0", "y0", "x1", "y1").dropDuplicates([key, "edges"])
+    cells = (shapes
              .withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / s), F.floor(F.col("x1") / s))))
              .withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / s), F.floor(F.col("y1") / s)))))
-    size = float(cell_size)
+    gkey = [key, "cx", "cy"]
+    hot = F.broadcast(cells.groupBy(*gkey).count().where(F.col("count") > max_group_rows)
+                      .select(*gkey, F.lit(True).alias("_hot")))
+    cells = cells.join(hot, gkey, "left")
+
+    def sub_range(lo, hi, c):
+        first = F.greatest(F.lit(0), F.floor((F.col(lo) - F.col(c) * s) / sub))
+        last = F.least(F.lit(split - 1), F.floor((F.col(hi) - F.col(c) * s) / sub))
+        return F.when(F.col("_hot"), F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))
+
+    cells = (cells.withColumn("sx", F.explode(sub_range("x0", "x1", "cx")))
+                  .withColumn("sy", F.explode(sub_range("y0", "y1", "cy"))).drop("_hot"))
 
     def per_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         cx, cy = int(pdf["cx"].iloc[0]), int(pdf["cy"].iloc[0])
+        sx, sy = int(pdf["sx"].iloc[0]), int(pdf["sy"].iloc[0])
+        if sx < 0:
+            box = (cx * size, cy * size, (cx + 1) * size, (cy + 1) * size)
+        else:
+            bx, by = cx * size + sx * sub, cy * size + sy * sub
+            box = (bx, by, bx + sub, by + sub)
         edges = [np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in es], float).reshape(-1, 4)
                  for es in pdf["edges"]]
-        a = _union_area_in_box(edges, cx * size, cy * size, (cx + 1) * size, (cy + 1) * size)
+        a = _union_area_in_box(edges, *box)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "cell_area": [a]})
 
     kt = layer.schema[key].dataType.simpleString()
-    pieces = cells.groupBy(key, "cx", "cy").applyInPandas(per_cell, f"`{key}` {kt}, cell_area double")
+    pieces = cells.groupBy(key, "cx", "cy", "sx", "sy").applyInPandas(per_cell, f"`{key}` {kt}, cell_area double")
     counts = layer.groupBy(key).agg(F.count("*").alias("n_shapes"))
     return pieces.groupBy(key).agg(F.sum("cell_area").alias("union_area")).join(counts, key)

@@ -142,3 +142,18 @@ def test_salted_hot_cells_give_the_same_pairs(spark):
         SJ.BROADCAST_MAX_ROWS = old
     assert salted == plain
     assert set(plain) == set(_brute(a, b))
+
+
+def test_dissolve_union_area_with_copies_and_hot_cells(spark):
+    from canopy.operators.dissolve import dissolve_area
+    rows = [(1, poly(rect(0, 0, 4, 4))), (2, poly(rect(2, 2, 4, 4))), (3, poly(rect(10, 10, 2, 2)))]
+    rows += [(100 + i, poly(rect(1, 1, 2, 2))) for i in range(30)]        # copies inside shape 1
+    rows += [(200 + i, poly(rect(0.1 * i, 0.1 * i, 1, 1))) for i in range(25)]  # many distinct overlaps
+    df = layer(spark, rows).withColumn("k", F.when(F.col("id") == 3, "b").otherwise("a"))
+    for kwargs in ({}, {"cell_size": 4.0, "max_group_rows": 5, "split": 4}):
+        got = {r["k"]: (r["union_area"], r["n_shapes"]) for r in dissolve_area(df, "k", **kwargs).collect()}
+        # a: the two 4x4 squares overlap by 4 -> 28; the copies and the diagonal
+        # chain of unit squares (up to (2.4, 2.4)-(3.4, 3.4)) lie inside them
+        assert got["b"] == (pytest.approx(4.0), 1)
+        assert got["a"][1] == 57
+        assert got["a"][0] == pytest.approx(28.0)
