@@ -2,7 +2,7 @@
 
 Each function takes the raw layer (WKB ``geometry`` column, as read from a
 GeoParquet file) and returns a DataFrame; the same steps compose into the
-ingest pipeline of :mod:`canopy.plans.pipeline`.
+layer preparation flows of :mod:`canopy.plans.ingest`.
 """
 
 from __future__ import annotations
