@@ -56,6 +56,8 @@ class GridPlan:
     right_levels: tuple[int, ...]
     left_rows: int = -1
     right_rows: int = -1
+    left_edges: int = -1
+    right_edges: int = -1
 
     @property
     def cell(self) -> float:
@@ -69,12 +71,14 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
     extents (or ``cell_size`` if given). Collected values are bounded: two
     medians and two sets of integer size classes (at most ~100 values).
     """
-    stats = (left.select(_extent().alias("ext"), _log2_class().alias("c"), F.lit(0).alias("side"))
-             .unionByName(right.select(_extent().alias("ext"), _log2_class().alias("c"), F.lit(1).alias("side")))
+    def side(df, k):
+        return df.select(_extent().alias("ext"), _log2_class().alias("c"), F.size("edges").alias("ne"),
+                         F.lit(k).alias("side"))
+    stats = (side(left, 0).unionByName(side(right, 1))
              .where(F.col("ext").isNotNull())
              .groupBy("side")
              .agg(F.percentile_approx("ext", 0.5, 1000).alias("med"), F.collect_set("c").alias("classes"),
-                  F.count("*").alias("n"))
+                  F.count("*").alias("n"), F.sum("ne").alias("edges"))
              .collect())
     by_side = {r["side"]: r for r in stats}
     if cell_size is None:
@@ -89,11 +93,11 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
             return (0,)
         return tuple(sorted({max(0, int(c) - k) for c in r["classes"]}))
 
-    def rows(side: int) -> int:
+    def stat(side: int, name: str) -> int:
         r = by_side.get(side)
-        return int(r["n"]) if r is not None else 0
+        return int(r[name] or 0) if r is not None else 0
 
-    return GridPlan(k, levels(0), levels(1), rows(0), rows(1))
+    return GridPlan(k, levels(0), levels(1), stat(0, "n"), stat(1, "n"), stat(0, "edges"), stat(1, "edges"))
 
 
 def _own_level(k: int) -> Column:
@@ -172,11 +176,18 @@ def _attrs(df: DataFrame, id_col: str, exclude=()) -> list[str]:
     return [c for c in df.columns if c not in SHAPE_COLUMNS and c != id_col and c not in exclude]
 
 
-# A side is broadcast only when its row count, measured by the grid-stats
-# job, proves it small (its exploded rows carry edge lists, a few hundred
-# bytes each at the fixture sizes); otherwise Spark plans a shuffle join on
-# the cell key (sort-merge, AQE skew splitting, or a runtime broadcast).
+# A side is broadcast only when the grid-stats job proves it small: at most
+# BROADCAST_MAX_ROWS shapes and, counting its exploded rows (up to 4 cells
+# per level) with their edge lists (32 bytes per edge) and row overhead, at
+# most BROADCAST_MAX_BYTES. Otherwise Spark plans a shuffle join on the cell
+# key (sort-merge, AQE skew splitting, or a runtime broadcast).
 BROADCAST_MAX_ROWS = 100_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+
+
+def broadcast_estimate(rows: int, edges: int, levels: int = 1) -> int:
+    """Upper estimate of a side's exploded size in bytes."""
+    return 4 * max(1, levels) * (edges * 32 + rows * 96)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -224,10 +235,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     default a hot cell is left to AQE's skew-join splitting of the
     sort-merge partition that holds it.
     """
-    small = min(plan.left_rows, plan.right_rows)
     bcast = None
-    if 0 <= small <= BROADCAST_MAX_ROWS:
-        bcast = "right" if plan.right_rows <= plan.left_rows else "left"
+    side = "right" if plan.right_rows <= plan.left_rows else "left"
+    rows, edges, lv = ((plan.right_rows, plan.right_edges, len(plan.right_levels)) if side == "right"
+                       else (plan.left_rows, plan.left_edges, len(plan.left_levels)))
+    if 0 <= rows <= BROADCAST_MAX_ROWS and broadcast_estimate(rows, max(edges, 0), lv) <= BROADCAST_MAX_BYTES:
+        bcast = side
         if bcast == "right":
             left = spread(left)
         else:
