@@ -195,10 +195,16 @@ def spread(df: DataFrame) -> DataFrame:
 
     Large inputs arrive split into many scan partitions already; a small
     input (one Parquet file) would otherwise run the whole pair stage in one
-    task. Only then is it redistributed, round robin, before the explode.
+    task. Only then is it redistributed (hash of the first column, no sort)
+    before the explode. Sessions without the RDD API (Spark Connect) keep the
+    input partitioning and rely on AQE.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    if have < want:
         return df.repartition(want, F.xxhash64(*df.columns[:1]))
     return df
 
