@@ -157,3 +157,22 @@ def test_dissolve_union_area_with_copies_and_hot_cells(spark):
         assert got["b"] == (pytest.approx(4.0), 1)
         assert got["a"][1] == 57
         assert got["a"][0] == pytest.approx(28.0)
+
+
+def test_duplicated_municipality_name_doubles_rows(spark):
+    """The municipality only filters; a second municipality with the
+    same name meeting the same polygon counts the polygon's area again."""
+    from canopy.plans.yearly import car_in_municipality
+    prodes = layer(spark, [(1, poly(rect(0, 0, 200, 100)))])
+    car = layer(spark, [(10, poly(rect(0, 0, 100, 100))), (11, poly(rect(150, 0, 100, 100)))])
+    car = car.withColumn("desc_subclass", F.lit("Cadastro Ambiental Rural")).withColumn(
+        "geometry", F.lit(b"\x01"))
+    one = layer(spark, [(5, poly(rect(-10, -10, 50, 50)))]).withColumn("NM_MUN", F.lit("Feijó"))
+    two = layer(spark, [(5, poly(rect(-10, -10, 50, 50))), (6, poly(rect(190, 90, 50, 50)))]).withColumn(
+        "NM_MUN", F.lit("Feijó"))
+    other = layer(spark, [(7, poly(rect(-10, -10, 50, 50)))]).withColumn("NM_MUN", F.lit("Outro"))
+    a1 = {r["id_malha"]: r["area_desmatada_ha"] for r in car_in_municipality(prodes, one, car).collect()}
+    a2 = {r["id_malha"]: r["area_desmatada_ha"] for r in car_in_municipality(prodes, two, car).collect()}
+    assert a1 == {10: 1.0, 11: 0.5}          # m2 / 10,000, not clipped to the municipality
+    assert a2 == {10: 2.0, 11: 1.0}
+    assert car_in_municipality(prodes, other, car).count() == 0
