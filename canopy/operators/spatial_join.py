@@ -34,18 +34,25 @@ from ..functions.geometry import SHAPE_COLUMNS
 _TINY = 1e-9
 
 
+_EXTENT_SQL = "greatest(x1 - x0, y1 - y0)"
+
+
 def _extent() -> Column:
-    return F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return F.expr(_EXTENT_SQL)
 
 
-def _log2_class() -> Column:
+def _log2_class_sql() -> str:
     """Smallest integer c with 2**c >= extent (exact: the float log2 is only a
     first guess, corrected by exact powers of two); the same expression
     classifies shapes in the stats job and in the explode."""
-    e = F.greatest(_extent(), F.lit(_TINY))
-    c0 = F.ceil(F.log2(e)).cast("int")
-    return (c0 - F.when(F.pow(F.lit(2.0), c0 - 1) >= e, 1).otherwise(0)
-            + F.when(F.pow(F.lit(2.0), c0) < e, 1).otherwise(0))
+    e = f"greatest({_EXTENT_SQL}, {_TINY!r}D)"
+    c0 = f"CAST(ceil(log2({e})) AS INT)"
+    return (f"({c0} - CASE WHEN pow(2D, {c0} - 1) >= {e} THEN 1 ELSE 0 END"
+            f" + CASE WHEN pow(2D, {c0}) < {e} THEN 1 ELSE 0 END)")
+
+
+def _log2_class() -> Column:
+    return F.expr(_log2_class_sql())
 
 
 @dataclass(frozen=True)
@@ -67,18 +74,23 @@ class GridPlan:
 def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None) -> GridPlan:
     """One small aggregate job over both boxes picks the grid.
 
+    A plan computed on supersets of the two layers stays valid for them
+    (extra levels only add cell rows; larger counts only make the broadcast
+    check stricter), so a filtered or joined layer can reuse the plan of its
+    source instead of being computed once more for statistics.
+
     The cell is the power of two at or above the larger of the two median
     extents (or ``cell_size`` if given). Collected values are bounded: two
     medians and two sets of integer size classes (at most ~100 values).
     """
     def side(df, k):
-        return df.select(_extent().alias("ext"), _log2_class().alias("c"), F.size("edges").alias("ne"),
-                         F.lit(k).alias("side"))
+        # box columns only: a stored layer's edge lists are not read here
+        return df.select(_extent().alias("ext"), _log2_class().alias("c"), F.lit(k).alias("side"))
     stats = (side(left, 0).unionByName(side(right, 1))
              .where(F.col("ext").isNotNull())
              .groupBy("side")
              .agg(F.percentile_approx("ext", 0.5, 1000).alias("med"), F.collect_set("c").alias("classes"),
-                  F.count("*").alias("n"), F.sum("ne").alias("edges"))
+                  F.count("*").alias("n"))
              .collect())
     by_side = {r["side"]: r for r in stats}
     if cell_size is None:
@@ -97,11 +109,23 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
         r = by_side.get(side)
         return int(r[name] or 0) if r is not None else 0
 
-    return GridPlan(k, levels(0), levels(1), stat(0, "n"), stat(1, "n"), stat(0, "edges"), stat(1, "edges"))
+    nl, nr = stat(0, "n"), stat(1, "n")
+    # Edge lists are summed only on the side small enough to be broadcast
+    # (at most BROADCAST_MAX_ROWS rows), the one the byte check needs.
+    el = er = -1
+    if min(nl, nr) <= BROADCAST_MAX_ROWS:
+        small = right if nr <= nl else left
+        total = small.where(F.col("x0").isNotNull()).agg(F.sum(F.size("edges"))).first()[0] or 0
+        el, er = (-1, int(total)) if nr <= nl else (int(total), -1)
+    return GridPlan(k, levels(0), levels(1), nl, nr, el, er)
+
+
+def _own_level_sql(k: int) -> str:
+    return f"greatest(0, {_log2_class_sql()} - {int(k)})"
 
 
 def _own_level(k: int) -> Column:
-    return F.greatest(F.lit(0), _log2_class() - F.lit(k))
+    return F.expr(_own_level_sql(k))
 
 
 def with_cells(df: DataFrame, plan: GridPlan, other_levels: tuple[int, ...] | None = None,
@@ -117,28 +141,26 @@ def with_cells(df: DataFrame, plan: GridPlan, other_levels: tuple[int, ...] | No
     """
     mine = sorted(set(plan.left_levels) | set(plan.right_levels) | set(other_levels or ()))
     # First name the per-level corner cells and spans once (small code),
-    # then pick from a fixed array of at most 4 candidates per level. Two
-    # projections in all: each DataFrame call is analysed on the driver.
-    base = [F.col(c) for c in df.columns] + [_own_level(plan.k).alias("_own")]
+    # then pick from a fixed array of at most 4 candidates per level. SQL
+    # text, two projections: few driver round trips, small generated code.
+    cols = [f"`{c}`" for c in df.columns]
+    base = [f"{_own_level_sql(plan.k)} AS _own"]
     for L in mine:
-        s = F.lit(plan.cell * 2.0 ** L)
-        bx, by = F.floor(F.col("x0") / s), F.floor(F.col("y0") / s)
-        base += [bx.alias(f"_bx{L}"), by.alias(f"_by{L}"),
-                 (F.floor(F.col("x1") / s) - bx).alias(f"_nx{L}"), (F.floor(F.col("y1") / s) - by).alias(f"_ny{L}")]
-    out = df.select(*base)
-    own = F.col("_own")
+        size = repr(plan.cell * 2.0 ** L) + "D"
+        base += [f"floor(x0 / {size}) AS _bx{L}", f"floor(y0 / {size}) AS _by{L}",
+                 f"floor(x1 / {size}) - floor(x0 / {size}) AS _nx{L}",
+                 f"floor(y1 / {size}) - floor(y0 / {size}) AS _ny{L}"]
+    out = df.selectExpr(*cols, *base)
     cands = []
     for L in mine:
-        use = (own == L) if not other_levels or L not in other_levels else (own <= L)
+        use = f"_own = {L}" if not other_levels or L not in other_levels else f"_own <= {L}"
         for dx in (0, 1):
             for dy in (0, 1):
-                ok = use & (F.col(f"_nx{L}") >= dx) & (F.col(f"_ny{L}") >= dy)
-                cands.append(F.when(ok, F.struct(F.lit(L).alias("lvl"), (F.col(f"_bx{L}") + dx).alias("cx"),
-                                                  (F.col(f"_by{L}") + dy).alias("cy"))))
-    out = out.select(*df.columns, "_own", F.explode(F.array(*cands)).alias("_cell"))
-    out = out.where(F.col("_cell").isNotNull()).select(
-        *df.columns, "_own", F.col("_cell.lvl").alias("lvl"), F.col("_cell.cx").alias("cx"),
-        F.col("_cell.cy").alias("cy"))
+                cands.append(f"CASE WHEN {use} AND _nx{L} >= {dx} AND _ny{L} >= {dy} "
+                             f"THEN named_struct('lvl', {L}, 'cx', _bx{L} + {dx}, 'cy', _by{L} + {dy}) END")
+    out = out.selectExpr(*cols, "_own", f"explode(array({', '.join(cands)})) AS _cell")
+    out = out.where("_cell IS NOT NULL").selectExpr(*cols, "_own", "_cell.lvl AS lvl", "_cell.cx AS cx",
+                                                    "_cell.cy AS cy")
     return out if keep_level else out.drop("_own")
 
 
@@ -245,7 +267,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     side = "right" if plan.right_rows <= plan.left_rows else "left"
     rows, edges, lv = ((plan.right_rows, plan.right_edges, len(plan.right_levels)) if side == "right"
                        else (plan.left_rows, plan.left_edges, len(plan.left_levels)))
-    if 0 <= rows <= BROADCAST_MAX_ROWS and broadcast_estimate(rows, max(edges, 0), lv) <= BROADCAST_MAX_BYTES:
+    if 0 <= rows <= BROADCAST_MAX_ROWS and edges >= 0 \
+            and broadcast_estimate(rows, edges, lv) <= BROADCAST_MAX_BYTES:
         bcast = side
         if bcast == "right":
             left = spread(left)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hectares, km2
 from ..functions.scalars import size_band
 from ..operators.relational import asc_pg, desc_pg
-from ..operators.spatial_join import spatial_join
+from ..operators.spatial_join import plan_grid, spatial_join
 from .layers import CAR_LABEL, FEIJO
 
 AREA = "area_total_desmatada"
@@ -61,7 +61,11 @@ def car_in_municipality(prodes: DataFrame, municipalities: DataFrame, parcels: D
     d = prodes.join(weights, "id")
     car = parcels.where(F.col("desc_subclass") == subclass).withColumnRenamed("id", "id_malha")
     rcols = [geom] if geom else []
-    pairs = spatial_join(d, car, left_id="id", right_id="id_malha", left_cols=["_n_mun"], right_cols=rcols)
+    # Grid statistics from the unfiltered polygons: valid for any subset of
+    # them, and it avoids running the first join again just for statistics.
+    plan = plan_grid(prodes, car)
+    pairs = spatial_join(d, car, left_id="id", right_id="id_malha", left_cols=["_n_mun"], right_cols=rcols,
+                         plan=plan)
     keys = ["id_malha"] + ([F.col(geom).alias("geom_malha")] if geom else [])
     out = (pairs.groupBy(*keys)
            .agg(hectares(F.sum(F.col("inter_area") * F.col("_n_mun"))).alias("area_desmatada_ha")))
