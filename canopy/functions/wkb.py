@@ -232,9 +232,68 @@ def encode_batch(arr: pa.Array, z: np.ndarray | None = None) -> pa.Array:
     return out
 
 
+def _u32(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(buf[pos[:, None] + np.arange(4)]).view("<u4").ravel().astype(np.int64)
+
+
+def decode_batch(wkb: pa.Array) -> pa.Array:
+    """Vectorised decode of a batch of little-endian Polygon / Polygon Z WKB.
+
+    Ring headers are read for all rows at once, one ring level at a time;
+    coordinates are gathered with index arrays. Any other row (big-endian,
+    EWKB, MultiPolygon, M) sends the batch to the per-row decoder.
+    """
+    wkb = wkb.combine_chunks() if isinstance(wkb, pa.ChunkedArray) else wkb
+    n = len(wkb)
+    valid = wkb.is_valid().to_numpy(zero_copy_only=False)
+    if n == 0 or not valid.any():
+        return _rings_to_arrow([None] * n)
+    odt = np.int64 if pa.types.is_large_binary(wkb.type) else np.int32
+    off = np.frombuffer(wkb.buffers()[1], odt)[wkb.offset: wkb.offset + n + 1].astype(np.int64)
+    buf = np.frombuffer(wkb.buffers()[2], np.uint8)
+    rows = np.nonzero(valid)[0]
+    start = off[rows]
+    if ((off[rows + 1] - start) < 9).any() or (buf[start] != 1).any():
+        return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
+    typ = _u32(buf, start + 1)
+    if not np.isin(typ, (3, 1003)).all():
+        return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
+    psize = np.where(typ == 1003, 24, 16)
+    nr = _u32(buf, start + 5)
+    pos = start + 9
+    ring_row, ring_k, ring_start, ring_np, ring_ps = [], [], [], [], []
+    for k in range(int(nr.max()) if len(nr) else 0):
+        live = nr > k
+        p = pos[live]
+        npts = _u32(buf, p)
+        ring_row.append(rows[live]); ring_k.append(np.full(len(p), k)); ring_start.append(p + 4)
+        ring_np.append(npts); ring_ps.append(psize[live])
+        pos[live] = p + 4 + npts * psize[live]
+    if ring_row:
+        rr, rk, rs, rn, rp = (np.concatenate(v) for v in (ring_row, ring_k, ring_start, ring_np, ring_ps))
+        order = np.lexsort((rk, rr))
+        rr, rk, rs, rn, rp = rr[order], rk[order], rs[order], rn[order], rp[order]
+    else:
+        rr = rk = rs = rn = rp = np.zeros(0, np.int64)
+    # coordinates: x at point start, y 8 bytes later
+    p_ring = np.repeat(np.arange(len(rs)), rn)
+    p_local = np.arange(int(rn.sum())) - np.repeat(np.cumsum(rn) - rn, rn)
+    p_pos = rs[p_ring] + p_local * rp[p_ring]
+    xs = np.ascontiguousarray(buf[p_pos[:, None] + np.arange(8)]).view("<f8").ravel()
+    ys = np.ascontiguousarray(buf[(p_pos + 8)[:, None] + np.arange(8)]).view("<f8").ravel()
+    per_row = np.bincount(rr, minlength=n) if len(rr) else np.zeros(n, np.int64)
+    ring_off = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
+    pt_off = np.concatenate([[0], np.cumsum(rn)]).astype(np.int32)
+    pts = pa.StructArray.from_arrays([pa.array(xs), pa.array(ys)], names=["x", "y"])
+    ring = pa.StructArray.from_arrays(
+        [pa.array(np.zeros(len(rr), np.int32)), pa.array(rk > 0), pa.ListArray.from_arrays(pa.array(pt_off), pts)],
+        names=["part", "hole", "pts"])
+    return pa.ListArray.from_arrays(pa.array(ring_off), ring, mask=pa.array(~valid))
+
+
 @arrow_udf(RINGS)
 def _wkb_to_rings(wkb: pa.Array) -> pa.Array:
-    return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
+    return decode_batch(wkb)
 
 
 @arrow_udf(T.BinaryType())

@@ -123,3 +123,24 @@ def test_concat_relabel_value_counts(spark):
     assert s.count() == 3 and "extra" in s.columns
     vc = [(r[0], r[1]) for r in value_counts(s, "Import_bio").collect()]
     assert vc == [("Muito Alta", 2), ("Alta", 1)]
+
+
+def test_vectorised_decoder_equals_per_row_decoder():
+    import pyarrow as pa
+    from canopy.functions.wkb import _PA_RINGS, _rings_to_arrow, decode_batch, decode_rings, encode_batch
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(500):
+        if i % 7 == 0:
+            rows.append(None)
+            continue
+        rr = []
+        for k in range(1 + (i % 3 == 0)):
+            x = list(rng.random(5) * 1e6)
+            y = list(rng.random(5) * 1e7)
+            rr.append({"part": 0, "hole": k > 0, "pts": [{"x": a, "y": b} for a, b in zip(x + x[:1], y + y[:1])]})
+        rows.append(rr if i % 11 else [])
+    w = encode_batch(pa.array(rows, _PA_RINGS), np.where(np.arange(500) % 4 == 0, 7.0, np.nan))
+    for part in (w, w.slice(9, 200)):
+        ref = _rings_to_arrow([None if b is None else decode_rings(b) for b in part.to_pylist()])
+        assert decode_batch(part).to_pylist() == ref.to_pylist()
