@@ -187,13 +187,6 @@ def _side(df: DataFrame, prefix: str, id_col: str, keep: list[str]) -> DataFrame
     return df.where(F.col("x0").isNotNull()).select(*cols)
 
 
-def _rename_shape(df: DataFrame, prefix: str, id_col: str, keep: list[str]) -> DataFrame:
-    cols = [F.col(id_col).alias(f"{prefix}id")]
-    cols += [F.col(c).alias(f"{prefix}{c}") for c in SHAPE_COLUMNS]
-    cols += [F.col(f"`{c}`").alias(f"{prefix}c_{c}") for c in keep]
-    return df.select(*cols)
-
-
 def _attrs(df: DataFrame, id_col: str, exclude=()) -> list[str]:
     return [c for c in df.columns if c not in SHAPE_COLUMNS and c != id_col and c not in exclude]
 
