@@ -176,3 +176,27 @@ def test_duplicated_municipality_name_doubles_rows(spark):
     assert a1 == {10: 1.0, 11: 0.5}          # m2 / 10,000, not clipped to the municipality
     assert a2 == {10: 2.0, 11: 1.0}
     assert car_in_municipality(prodes, other, car).count() == 0
+
+
+def test_within_distance_join_hand_cases(spark):
+    from canopy.operators.proximity import within_distance_join
+    a = layer(spark, [(1, poly(rect(0, 0, 4, 4)))])
+    b = layer(spark, [(10, poly(rect(7, 0, 2, 2))),        # gap 3 along x
+                      (11, poly(rect(7, 8, 2, 2))),        # corner gap (3, 4) -> 5
+                      (12, poly(rect(2, 2, 1, 1))),        # inside -> 0
+                      (13, poly(rect(4, 0, 1, 1))),        # touching -> 0
+                      (14, poly([(10, 10), (20, 10), (10, 20)]))], "rid")
+    got = {r["rid"]: r["distance"] for r in within_distance_join(a, b, 5.0, left_id="id", right_id="rid").collect()}
+    assert got == {10: 3.0, 11: 5.0, 12: 0.0, 13: 0.0}
+    got = {r["rid"] for r in within_distance_join(a, b, 4.9, left_id="id", right_id="rid").collect()}
+    assert got == {10, 12, 13}
+
+
+def test_describe_layer(spark):
+    from canopy.operators.describe import describe_layer
+    df = spark.createDataFrame([(float(v), None if v % 4 == 0 else v) for v in range(1, 101)], "a double, b long")
+    rows = {r["column"]: r for r in describe_layer(df).collect()}
+    assert rows["a"]["count"] == 100 and rows["a"]["nulls"] == 0
+    assert rows["a"]["mean"] == pytest.approx(50.5) and rows["a"]["min"] == 1 and rows["a"]["max"] == 100
+    assert (rows["a"]["q1"], rows["a"]["median"], rows["a"]["q3"]) == (25.0, 50.0, 75.0)
+    assert rows["b"]["count"] == 75 and rows["b"]["nulls"] == 25
