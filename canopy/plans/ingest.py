@@ -39,13 +39,17 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def prepare_embargo(embargo: DataFrame, states: DataFrame, srid: int, id_col: str = "objectid",
-                    state_id: str = "state_id") -> tuple[DataFrame, DataFrame]:
+                    state_id: str = "state_id", states_srid: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Embargo flow; returns ``(layer, validation_counts)``.
 
     ``states`` is a raw states layer (WKB ``geometry`` plus attributes) in the
-    same CRS as ``embargo``; its columns are added to each embargo lying
-    within a state (a shape within k states appears k times).
+    same CRS as ``embargo`` (``srid``); its columns are added to each embargo
+    lying within a state (a shape within k states appears k times). The join
+    runs before reprojection, so a states layer in another CRS
+    (``states_srid``) raises instead of joining mismatched coordinates.
     """
+    if states_srid is not None and states_srid != srid:
+        raise ValueError(f"within-join across CRSs: embargo EPSG:{srid}, states EPSG:{states_srid}")
     clean, counts = validate_layer(_decoded(embargo))
     shaped = with_shape(clean, "rings", drop_rings=False)
     st = with_shape(_decoded(states).drop("geometry"), "rings")

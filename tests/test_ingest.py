@@ -40,3 +40,11 @@ def test_reprojection_in_flow(spark):
     corners = {(round(e["ax"], 3), round(e["ay"], 3)) for e in out["edges"]}
     assert (5000000.0, 8894145.167) in corners     # the (-54, -10) vertex, published value
     assert 3.0e9 < out["area"] < 3.2e9             # about 0.5 x 0.5 degrees near 10 S, in m2
+
+
+def test_embargo_flow_refuses_mixed_crs(spark):
+    import pytest
+    emb = _raw(L.embargo(spark, SF01))
+    st = _raw(L.states(spark, SF01)).withColumnRenamed("id", "state_id")
+    with pytest.raises(ValueError):
+        ingest.prepare_embargo(emb, st, 5880, states_srid=4674)
