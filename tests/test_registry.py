@@ -48,3 +48,27 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle_or_is_listed():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_shuffle_and_salted_paths_match_broadcast(spark):
+    """The plan that runs at scale (shuffle join on cells, optionally with hot
+    cells salted) gives the same report as the broadcast plan used locally."""
+    from conftest import SF01
+    import canopy.operators.spatial_join as SJ
+    from canopy.plans import alerts as qa
+    from canopy.plans import layers as L
+
+    def q01(**kw):
+        a, p = L.prepared(L.alerts(spark, SF01)), L.prepared(L.parcels(spark, SF01))
+        pairs = SJ.spatial_join(a, p.withColumnRenamed("id", "parcel_id"), left_id="id", right_id="parcel_id",
+                                left_cols=[], right_cols=["desc_subclass"], **kw)
+        return sorted((r[0], r[1]) for r in pairs.groupBy("desc_subclass").sum("inter_area").collect())
+
+    base = q01()
+    old = SJ.BROADCAST_MAX_ROWS
+    SJ.BROADCAST_MAX_ROWS = -1
+    try:
+        assert q01() == base
+        assert q01(salt_buckets=4, hot_cell_rows=20) == base
+    finally:
+        SJ.BROADCAST_MAX_ROWS = old
