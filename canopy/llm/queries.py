@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import ann, bpe, extract, itq, packing, quality, secrets, sharding, simhash, warc
 from .common import read_table
 
 
@@ -14,8 +15,55 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(read_table(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    import public_tokenizers
+    return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_ann": op3_ann,
+    "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
+    "op8_html_extract": op8_html_extract,
+    "op9_packing": op9_packing,
+    "op10_bpe": op10_bpe,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
