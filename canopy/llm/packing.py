@@ -34,8 +34,11 @@ import json
 import os
 import random
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +48,13 @@ from .common import ranked, slices, written
 CAP = 2048
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 4, 6
 SALTS = 32
-#: Bytes of words that a task remembers with their ids before it starts anew.
-CACHE_BYTES = 16_000_000
+#: Characters of words that a worker process remembers with their ids before it starts anew.
+CACHE_CHARS = 8_000_000
+
+#: Signs that the tokenizer parts from letters before them, whatever they are; not the apostrophe, which may belong to them.
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+WORDS_AT_ONCE = 256
 
 Bins = list[tuple[tuple[int, ...], int]]  # (piece lengths, multiplicity)
 
@@ -56,8 +64,8 @@ Bins = list[tuple[tuple[int, ...], int]]  # (piece lengths, multiplicity)
 class WordIds:
     """Token ids of whole texts, each distinct word encoded once.
 
-    For a tokenizer that drops white space and never lets a token cross it,
-    a text's ids are its words' ids in a row. ``__call__`` takes texts and gives each one's
+    For a tokenizer that drops white space, never lets a token cross it and
+    closes each word by a token on ``</w>``, a text's ids are its words' ids in a row. ``__call__`` takes texts and gives each one's
     ids as little-endian 32-bit numbers.
     """
 
@@ -68,26 +76,59 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.held > CACHE_BYTES:
+        if self.held > CACHE_CHARS:
             self.known, self.held = {}, 0
         # only these four are cut at: any other white space stays inside a word, for the tokenizer to see
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        new = set().union(*cut) - self.known.keys()
+        # letters and the signs after them are split anyway: both are looked up on their own
+        parted = {w: (base, w[len(base):]) for w in new if (base := w.rstrip(SIGNS)) and base != w and base.isalpha()}
+        whole = ((new - parted.keys()) | {p for pair in parted.values() for p in pair}) - self.known.keys()
+        self._learn_plain([w for w in whole if w.isalpha()])
+        self._learn_each([w for w in whole if not w.isalpha()])
+        known = self.known
+        for w, (base, signs) in parted.items():
+            known[w] = known[base] + known[signs]
         self.held += sum(map(len, new))
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+    def _learn_each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Words of letters only, many to a text: each ends with its one token that closes a word."""
+        groups = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group):  # lower case may turn a letter into several signs
+                self._learn_each(group)
+                continue
+            buf, begin = ids.tobytes(), 0
+            for w, end in zip(group, ends.tolist()):
+                self.known[w] = buf[4 * begin:4 * end]
+                begin = end
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker process keeps one tokenizer and the words it has met from task to task."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
            cap: int = CAP) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and a salt for ``ranked``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = WordIds(tokenizer_path), 0
+        encode, n = word_ids(tokenizer_path), 0
         for b in slices(batches):
             rows: list[tuple] = []
             ids = encode([t or "" for t in b.column(1).to_pylist()])
