@@ -41,9 +41,10 @@ from .common import slices
 # Fixed value: the pattern that splits text into words before the merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space other than these four, and a space amid or at the end of other white space: no cut before spaces then.
-UNCUT = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n\r\t] (?:[ \n\r\t]|\\Z)")
+UNCUT = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n\r\t] (?:[ \n\r\t]|\\Z)")
 #: Bounds of what a task remembers: characters of cut texts, pairs of tokens.
 CACHE_CHARS, CACHE_PAIRS = 8_000_000, 1_000_000
+NONE = 1 << 60
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,41 +73,46 @@ class ByteBpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.longest = max(map(len, self.id))
         self.words = regex.compile(SPLIT).findall
-        self.sound: dict[bytes, int | None] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        #: id of every token that merging makes of its own bytes; no other occurs in an encoding
+        self.usable = {t: i for t, i in self.id.items() if self.merge(t) == [t]}
+        self.pairs: dict[int, bool] = {}
         self.cuts: dict[str, tuple[int, str, bytes]] = {}
         self.held = 0
 
     def merge(self, raw: bytes) -> list[bytes]:
         """The encoding by definition: the lowest-ranked adjacent pair is joined, again and again."""
+        rank = self.rank.get
         parts = [raw[i:i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            r, i = min((self.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if r == 1 << 60:
-                break
+        ranks = [rank(p, NONE) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NONE:
+            i = ranks.index(least)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NONE)
         return parts
 
-    def usable(self, t: bytes) -> bool:
-        """Whether ``t`` is a token that merging can make of its own bytes."""
-        if t not in self.id:
-            return False
-        if (known := self.sound.get(t)) is None:
-            known = self.sound[t] = self.merge(t) == [t]
-        return known
-
-    def adjacent(self, a: bytes, b: bytes) -> bool:
+    def adjacent(self, a: int, b: int) -> bool:
         """Whether token ``b`` may follow token ``a`` in an encoding."""
-        if (known := self.pairs.get((a, b))) is None:
+        if (known := self.pairs.get(a << 32 | b)) is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = (a, b) not in self.rank and self.merge(a + b) == [a, b]
+            x, y = self.token[a], self.token[b]
+            known = self.pairs[a << 32 | b] = (x, y) not in self.rank and self.merge(x + y) == [x, y]
         return known
 
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[bytes]]]:
-        """(word, tokens) of distinct words, depth-first through their trie."""
-        ids, longest, usable, adjacent = self.id, self.longest, self.usable, self.adjacent
-        last: list[bytes] = []  # last[i]: the last token of the path's first i + 1 bytes
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """(word, ids) of distinct words, depth-first through their trie.
+
+        Only one token can end a prefix, so candidates may be tried in any
+        order: first the one that continues the last byte's token, then a new
+        one, then the others.
+        """
+        token, adjacent, longest = self.usable.get, self.adjacent, self.longest
+        last: list[int] = []  # last[i]: the id of the last token of the path's first i + 1 bytes
+        size: list[int] = []  # and its length
         path = b""
         for w in sorted(words):
             shared, most = 0, min(len(path), len(w))
@@ -115,12 +121,14 @@ class ByteBpe:
             else:
                 while path[shared] == w[shared]:
                     shared += 1
-            del last[shared:]
+            del last[shared:], size[shared:]
             for end in range(shared + 1, len(w) + 1):
-                for begin in range(max(0, end - longest), end):
-                    t = w[begin:end]
-                    if t in ids and usable(t) and (not begin or adjacent(last[begin - 1], t)):
+                go_on = end - 1 - size[-1] if end > 1 else 0
+                for begin in (go_on, end - 1, *range(max(0, end - longest), end - 1)):
+                    t = token(w[begin:end])
+                    if t is not None and (not begin or adjacent(last[begin - 1], t)):
                         last.append(t)
+                        size.append(end - begin)
                         break
                 else:
                     raise ValueError(f"no token for byte {w[end - 1]}")
@@ -128,7 +136,7 @@ class ByteBpe:
             out, at = [], len(w)
             while at:
                 out.append(last[at - 1])
-                at -= len(out[-1])
+                at -= size[at - 1]
             yield w, out[::-1]
 
     def learn(self, cuts: set[str]) -> None:
@@ -136,7 +144,7 @@ class ByteBpe:
         split = {c: [w.encode("utf-8") for w in self.words(c)] for c in cuts}
         ids = {w: t for w, t in self.encode_words(list({w for ws in split.values() for w in ws}))}
         for c, ws in split.items():
-            got = [self.id[t] for w in ws for t in ids[w]]
+            got = [i for w in ws for i in ids[w]]
             self.cuts[c] = len(got), ",".join(map(str, got)), self.decode_bytes(got)
         self.held += sum(map(len, cuts))
 
