@@ -37,6 +37,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: whatever they are called, they clash with no name of an operator."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches, a bounded number at a time."""
     for b in batches:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import by_place, slices
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -225,5 +225,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
               threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns unchanged."""
     model = fit(docs, labels, id_col, text_col, train_rows)
-    got = with_score(docs, model, text_col, "_quality_score")
-    return got.where(F.col("_quality_score") >= threshold).drop("_quality_score")
+    got = with_score(by_place(docs), model, f"c{docs.columns.index(text_col)}")
+    return got.where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import by_place, written
 
 # The pattern kinds in their order, their expressions, the group whose length counts, and its least length.
 KINDS = ["assign", "access", "hex", "random"]
@@ -207,8 +207,10 @@ def masked(docs: DataFrame, text_col: str = "text", q: float = Q, size_col: str
     is scanned twice (once for the class bounds), so no text is written.
     """
     steps = least_steps(scanned(docs.select(text_col), text_col).select("_tested"), q)
-    got = scanned(docs, text_col).withColumn("_spans", _all_spans(steps)).drop("_base", "_tested")
-    t = F.col(text_col)
+    own = by_place(docs)
+    place = dict(zip(docs.columns, own.columns))
+    got = scanned(own, place[text_col]).withColumn("_spans", _all_spans(steps)).drop("_base", "_tested")
+    t = F.col(place[text_col])
 
     def step(s: Column, x: Column) -> Column:
         new = x["start"] >= s["at"]
@@ -219,7 +221,8 @@ def masked(docs: DataFrame, text_col: str = "text", q: float = Q, size_col: str
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     hidden = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(t, s["at"].cast("int") + 1, F.length(t))))
     got = got.withColumn("_new", F.when(F.size("_spans") > 0, hidden).otherwise(t))
-    cols = [F.col("_new").alias(c) if c == text_col
-            else F.when(F.size("_spans") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == size_col
-            else F.col(c) for c in docs.columns]
-    return got.select(*cols)
+    changed = F.size("_spans") > 0
+    put = {text_col: F.col("_new")}
+    if size_col in place:
+        put[size_col] = F.when(changed, F.length("_new").cast(docs.schema[size_col].dataType)).otherwise(F.col(place[size_col]))
+    return got.select(*[put.get(c, F.col(place[c])).alias(c) for c in docs.columns])

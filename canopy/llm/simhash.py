@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import by_place, slices, written
 from .components import connected_components
 
 #: Fingerprints under one segment value beyond which pairs are not fetched.
@@ -146,10 +146,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     ids, one of its rows); of rows that repeat that id, one. Fingerprints and
     row numbers are written with the rows, so later reads see the same numbers.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = written(with_fingerprint(numbered, text_col, words=words), "marked")
-    narrow = marked.select(F.col(id_col).alias("id"), "_fp", "_row")
+    own, text = by_place(docs), f"c{docs.columns.index(text_col)}"
+    marked = written(with_fingerprint(own.withColumn("_row", F.monotonically_increasing_id()), text, words=words), "marked")
+    narrow = marked.select(F.col(f"c{docs.columns.index(id_col)}").alias("id"), "_fp", "_row")
     found = components(narrow, "id", hot=hot).withColumnRenamed("fp", "_fp")
     first = (narrow.join(found, "_fp").where("id <=> component_id")
              .groupBy("root").agg(F.min("_row").alias("_row")))
-    return marked.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return marked.join(first.select("_row"), "_row", "left_semi").select(*own.columns).toDF(*docs.columns)
