@@ -193,12 +193,13 @@ class Links:
 
     def compare(self) -> None:
         """The pairs of the small units that wait."""
-        if self.some:
-            first = np.cumsum([0, *(len(s[1]) for s in self.some)])
-            row, code, weight, vecs = (np.concatenate([s[c] for s in self.some]) for c in (1, 2, 3, 4))
-            i = np.concatenate([s[5] + f for s, f in zip(self.some, first)])
-            j = np.concatenate([s[6] + f for s, f in zip(self.some, first)])
-            seg = np.concatenate([np.full(len(s[5]), s[0]) for s in self.some])
+        for dim in {s[4].shape[1] for s in self.some}:
+            some = [s for s in self.some if s[4].shape[1] == dim]
+            first = np.cumsum([0, *(len(s[1]) for s in some)])
+            row, code, weight, vecs = (np.concatenate([s[c] for s in some]) for c in (1, 2, 3, 4))
+            i = np.concatenate([s[5] + f for s, f in zip(some, first)])
+            j = np.concatenate([s[6] + f for s, f in zip(some, first)])
+            seg = np.concatenate([np.full(len(s[5]), s[0]) for s in some])
             linked = (vecs[i] * vecs[j]).sum(axis=1) >= self.least
             self._keep(seg[linked], row, code, weight, i[linked], j[linked])
         self.some, self.pending = [], 0
