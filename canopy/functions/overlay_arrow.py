@@ -2,10 +2,10 @@
 
 Same sums as :func:`canopy.functions.overlay.edge_pair_terms` (trapezoid
 overlap for G12, closed-segment contact for G13), but each candidate pair is
-finished inside the task that produced it: the edge pairs of a whole batch
-of candidate rows are laid out as flat index arrays, evaluated as vectors and
-summed back per row with ``bincount``. No edge-pair rows are materialised
-and no shuffle is needed to regroup them.
+finished inside the task that produced it: the edge pairs of a batch of
+candidate rows are laid out as flat index arrays, a bounded number at a time,
+evaluated as vectors and summed back per row with ``bincount``. No edge-pair
+rows are materialised and no shuffle is needed to regroup them.
 """
 
 from __future__ import annotations
@@ -36,28 +36,58 @@ def _orient(ax, ay, bx, by, cx, cy):
     return np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
 
-def pair_sums(ea_arr: pa.Array, eb_arr: pa.Array, yb: np.ndarray):
-    """Intersection area and boundary contact for each row's two edge lists."""
-    sa, na, (aax, aay, abx, aby) = _edges(ea_arr)
-    sb, nb, (bax, bay, bbx, bby) = _edges(eb_arr)
-    rows = len(na)
-    cnt = na * nb
-    total = int(cnt.sum())
-    if total == 0:
-        return np.zeros(rows), np.zeros(rows, bool)
-    row = np.repeat(np.arange(rows), cnt)
-    local = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    nbr = nb[row]
-    ia = sa[row] + local // nbr
-    ib = sb[row] + local % nbr
-    ax, ay, bx, by = aax[ia], aay[ia], abx[ia], aby[ia]
-    cx, cy, dx, dy = bax[ib], bay[ib], bbx[ib], bby[ib]
+def _bounds(n: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Per row the least ``lo`` and greatest ``hi`` of its ``n`` values (an empty row gives an empty range)."""
+    low, high = np.full(len(n), np.inf), np.full(len(n), -np.inf)
+    some = n > 0
+    if some.any():
+        first = (np.cumsum(n) - n)[some]
+        low[some], high[some] = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+    return low, high
+
+
+def _compact(arr: pa.Array):
+    """(row, count per row, coordinates) of all edges, null lists left out."""
+    start, n, cols = _edges(arr)
+    total = int(n.sum())
+    row = np.repeat(np.arange(len(n)), n)
+    at = start[row] + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    return row, n, [c[at] for c in cols]
+
+
+def _kept(row: np.ndarray, rows: int, cols: list, keep: np.ndarray):
+    row = row[keep]
+    return np.bincount(row, minlength=rows), [c[keep] for c in cols]
+
+
+def _pair_chunks(na: np.ndarray, nb: np.ndarray, limit: int):
+    """(row, edge of a, edge of b) index arrays of all edge pairs, about ``limit`` pairs at a time.
+
+    A row with more pairs is cut along its first side, so memory stays
+    bounded however many edges one shape has.
+    """
+    step = np.maximum(1, limit // np.maximum(nb, 1))
+    cuts = np.where(nb > 0, -(-na // step), 0)
+    row = np.repeat(np.arange(len(na)), cuts)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin = k * step[row]
+    length = np.minimum(step[row], na[row] - begin)
+    a0, b0 = (np.cumsum(na) - na)[row] + begin, (np.cumsum(nb) - nb)[row]
+    size = length * nb[row]
+    chunk = np.cumsum(size) // limit
+    for c0, c1 in zip(*(lambda e: (e[:-1], e[1:]))(np.flatnonzero(np.diff(chunk, prepend=-1, append=-2)))):
+        n = size[c0:c1]
+        piece = np.repeat(np.arange(c0, c1), n)
+        local = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+        r = row[piece]
+        yield r, a0[piece] + local // nb[r], b0[piece] + local % nb[r]
+
+
+def _overlap_terms(a, b, base):
+    """Signed trapezoid overlap and contact of edge pairs whose x ranges overlap."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
     lo = np.maximum(np.minimum(ax, bx), np.minimum(cx, dx))
     hi = np.minimum(np.maximum(ax, bx), np.maximum(cx, dx))
-    keep = lo <= hi
-    row, ax, ay, bx, by, cx, cy, dx, dy, lo, hi = (
-        v[keep] for v in (row, ax, ay, bx, by, cx, cy, dx, dy, lo, hi))
-    base = yb[row]
     w = hi - lo
     with np.errstate(divide="ignore", invalid="ignore"):
         ka = np.where(bx != ax, (by - ay) / np.where(bx != ax, bx - ax, 1.0), 0.0)
@@ -71,12 +101,48 @@ def pair_sums(ea_arr: pa.Array, eb_arr: pa.Array, yb: np.ndarray):
         den = 2.0 * (np.abs(dl) + np.abs(dh))
         absd = np.where(same, np.abs(dl + dh) / 2.0, (dl * dl + dh * dh) / np.where(same, 1.0, den))
     term = np.where(w > 0, np.sign(ax - bx) * np.sign(cx - dx) * w * ((yal + yah + ybl + ybh) / 4.0 - absd / 2.0), 0.0)
-    ybox = (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by))
-    meet = ybox & (_orient(ax, ay, bx, by, cx, cy) * _orient(ax, ay, bx, by, dx, dy) <= 0) \
+    return term, _meet(a, b)
+
+
+def _meet(a, b):
+    """Whether the closed segments of edge pairs share a point."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a, b
+    box = (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by)) \
+        & (np.minimum(ax, bx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(ax, bx))
+    return box & (_orient(ax, ay, bx, by, cx, cy) * _orient(ax, ay, bx, by, dx, dy) <= 0) \
         & (_orient(cx, cy, dx, dy, ax, ay) * _orient(cx, cy, dx, dy, bx, by) <= 0)
-    area = np.bincount(row, weights=term, minlength=rows)
-    contact = np.bincount(row, weights=meet.astype(np.float64), minlength=rows) > 0
-    return area, contact
+
+
+# Edge pairs evaluated at once.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def pair_sums(ea_arr: pa.Array, eb_arr: pa.Array, yb: np.ndarray, limit: int = PAIRS_AT_ONCE):
+    """Intersection area and boundary contact for each row's two edge lists.
+
+    Edges outside the x range the two shapes share are dropped first: they
+    add to neither sum. So a large shape costs a small partner only the edges
+    above, below and inside the partner's extent.
+    """
+    ra, na, ca = _compact(ea_arr)
+    rb, nb, cb = _compact(eb_arr)
+    rows = len(na)
+    area, contact = np.zeros(rows), np.zeros(rows)
+    alo, ahi = np.minimum(ca[0], ca[2]), np.maximum(ca[0], ca[2])
+    blo, bhi = np.minimum(cb[0], cb[2]), np.maximum(cb[0], cb[2])
+    (a0, a1), (b0, b1) = _bounds(na, alo, ahi), _bounds(nb, blo, bhi)
+    lo, hi = np.maximum(a0, b0), np.minimum(a1, b1)
+    na, ca = _kept(ra, rows, ca, (ahi >= lo[ra]) & (alo <= hi[ra]))
+    nb, cb = _kept(rb, rows, cb, (bhi >= lo[rb]) & (blo <= hi[rb]))
+    for row, ia, ib in _pair_chunks(na, nb, limit):
+        lo = np.maximum(np.minimum(ca[0][ia], ca[2][ia]), np.minimum(cb[0][ib], cb[2][ib]))
+        hi = np.minimum(np.maximum(ca[0][ia], ca[2][ia]), np.maximum(cb[0][ib], cb[2][ib]))
+        keep = lo <= hi
+        row, ia, ib = row[keep], ia[keep], ib[keep]
+        term, meet = _overlap_terms([c[ia] for c in ca], [c[ib] for c in cb], yb[row])
+        area += np.bincount(row, weights=term, minlength=rows)
+        contact += np.bincount(row, weights=meet.astype(np.float64), minlength=rows)
+    return area, contact > 0
 
 
 @arrow_udf(PAIR_RESULT)
@@ -108,31 +174,16 @@ def _point_seg_d2(px, py, ax, ay, bx, by):
     return qx * qx + qy * qy
 
 
-def pair_min_dist2(ea_arr: pa.Array, eb_arr: pa.Array) -> np.ndarray:
+def pair_min_dist2(ea_arr: pa.Array, eb_arr: pa.Array, limit: int = PAIRS_AT_ONCE) -> np.ndarray:
     """Least squared distance between the boundaries of each row's two edge lists."""
-    sa, na, (aax, aay, abx, aby) = _edges(ea_arr)
-    sb, nb, (bax, bay, bbx, bby) = _edges(eb_arr)
-    rows = len(na)
-    cnt = na * nb
-    total = int(cnt.sum())
-    out = np.full(rows, np.inf)
-    if total == 0:
-        return out
-    row = np.repeat(np.arange(rows), cnt)
-    local = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-    nbr = nb[row]
-    ia = sa[row] + local // nbr
-    ib = sb[row] + local % nbr
-    ax, ay, bx, by = aax[ia], aay[ia], abx[ia], aby[ia]
-    cx, cy, dx, dy = bax[ib], bay[ib], bbx[ib], bby[ib]
-    d2 = np.minimum.reduce([_point_seg_d2(ax, ay, cx, cy, dx, dy), _point_seg_d2(bx, by, cx, cy, dx, dy),
-                            _point_seg_d2(cx, cy, ax, ay, bx, by), _point_seg_d2(dx, dy, ax, ay, bx, by)])
-    ybox = (np.minimum(ay, by) <= np.maximum(cy, dy)) & (np.minimum(cy, dy) <= np.maximum(ay, by))
-    xbox = (np.minimum(ax, bx) <= np.maximum(cx, dx)) & (np.minimum(cx, dx) <= np.maximum(ax, bx))
-    cross = xbox & ybox & (_orient(ax, ay, bx, by, cx, cy) * _orient(ax, ay, bx, by, dx, dy) <= 0) \
-        & (_orient(cx, cy, dx, dy, ax, ay) * _orient(cx, cy, dx, dy, bx, by) <= 0)
-    d2 = np.where(cross, 0.0, d2)
-    np.minimum.at(out, row, d2)
+    _ra, na, ca = _compact(ea_arr)
+    _rb, nb, cb = _compact(eb_arr)
+    out = np.full(len(na), np.inf)
+    for row, ia, ib in _pair_chunks(na, nb, limit):
+        a, b = [c[ia] for c in ca], [c[ib] for c in cb]
+        d2 = np.minimum.reduce([_point_seg_d2(a[0], a[1], *b), _point_seg_d2(a[2], a[3], *b),
+                                _point_seg_d2(b[0], b[1], *a), _point_seg_d2(b[2], b[3], *a)])
+        np.minimum.at(out, row, np.where(_meet(a, b), 0.0, d2))
     return out
 
 

@@ -69,8 +69,11 @@ def _read_polygon(r: _Reader, e, dims, part, out):
 
 
 def decode_rings(buf: bytes) -> list:
-    """Rings ``(part, hole, xs, ys)`` of a Polygon / MultiPolygon WKB."""
-    r = _Reader(buf)
+    """Rings ``(part, hole, xs, ys)`` of a geometry's polygons; points and lines have none."""
+    return _rings_at(_Reader(buf))
+
+
+def _rings_at(r: _Reader) -> list:
     e, base, dims = r.header()
     out: list = []
     if base == 3:
@@ -81,11 +84,31 @@ def decode_rings(buf: bytes) -> list:
             if b2 != 3:
                 raise ValueError(f"MultiPolygon member of type {b2}")
             _read_polygon(r, e2, d2, p, out)
+    elif base == 7:
+        for _ in range(r.uint(e)):
+            inner = _Reader(r.buf[r.pos:])
+            part = 1 + max((ring[0] for ring in out), default=-1)
+            out += [(part + p, hole, xs, ys) for p, hole, xs, ys in _rings_at(inner)]
+            r.pos += inner.pos
     else:
-        raise ValueError(f"not a polygonal geometry: type {GEOMETRY_TYPES.get(base, base)}")
+        _skip(r, e, base, dims)
     return out
 
 
+def _skip(r: _Reader, e, base: int, dims: int) -> None:
+    """Move past a geometry without area."""
+    if base == 1:
+        r.coords(e, 1, dims)
+    elif base == 2:
+        r.coords(e, r.uint(e), dims)
+    elif base in (4, 5):
+        for _ in range(r.uint(e)):
+            e2, b2, d2 = r.header()
+            _skip(r, e2, b2, d2)
+    else:
+        raise ValueError(f"unknown geometry type {base}")
+
+
 def encode_rings(rings: list, z: float | None = None) -> bytes:
     """Little-endian WKB for rings ``(part, hole, xs, ys)``; 2D, or ISO
     ``Polygon Z`` with the constant ``z`` on every vertex when given."""
@@ -236,12 +259,18 @@ def _u32(buf: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(buf[pos[:, None] + np.arange(4)]).view("<u4").ravel().astype(np.int64)
 
 
+def _mask(n: int, rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[rows] = True
+    return out
+
+
 def decode_batch(wkb: pa.Array) -> pa.Array:
     """Vectorised decode of a batch of little-endian Polygon / Polygon Z WKB.
 
     Ring headers are read for all rows at once, one ring level at a time;
-    coordinates are gathered with index arrays. Any other row (big-endian,
-    EWKB, MultiPolygon, M) sends the batch to the per-row decoder.
+    coordinates are gathered with index arrays. Other rows (big-endian, EWKB,
+    MultiPolygon, M) go through the per-row decoder, only they.
     """
     wkb = wkb.combine_chunks() if isinstance(wkb, pa.ChunkedArray) else wkb
     n = len(wkb)
@@ -252,12 +281,18 @@ def decode_batch(wkb: pa.Array) -> pa.Array:
     off = np.frombuffer(wkb.buffers()[1], odt)[wkb.offset: wkb.offset + n + 1].astype(np.int64)
     buf = np.frombuffer(wkb.buffers()[2], np.uint8)
     rows = np.nonzero(valid)[0]
-    start = off[rows]
-    if ((off[rows + 1] - start) < 9).any() or (buf[start] != 1).any():
-        return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
+    start, size = off[rows], off[rows + 1] - off[rows]
+    plain = size >= 9
+    plain[plain] &= buf[start[plain]] == 1
+    plain[plain] &= np.isin(_u32(buf, start[plain] + 1), (3, 1003))
+    if not plain.all():
+        rest = rows[~plain]
+        fast = decode_batch(pa.array([b if k else None for b, k in zip(wkb.to_pylist(), _mask(n, rows[plain]))], wkb.type))
+        slow = _rings_to_arrow([decode_rings(wkb[int(k)].as_py()) for k in rest])
+        pick = np.arange(n)
+        pick[rest] = n + np.arange(len(rest))
+        return pa.concat_arrays([fast, slow]).take(pa.array(pick))
     typ = _u32(buf, start + 1)
-    if not np.isin(typ, (3, 1003)).all():
-        return _rings_to_arrow([None if b is None else decode_rings(b) for b in wkb.to_pylist()])
     psize = np.where(typ == 1003, 24, 16)
     nr = _u32(buf, start + 5)
     pos = start + 9

@@ -1,14 +1,16 @@
 """Dissolve — union area per key, without double counting overlaps.
 
 The plane is cut into grid cells; every shape goes to each cell its box
-touches (explode), and one grouped-map task per ``(key, cell)`` measures the
-union *inside that cell* with a vertical-slab sweep: between consecutive
+touches, clipped to it, and one grouped-map task per ``(key, cell)`` measures
+the union *inside that cell* with a vertical-slab sweep: between consecutive
 vertex / crossing abscissas no two edges cross, so the edges met by a slab
 can be ordered by height and the covered stretches read off from per-shape
 winding counts. Summing the cell pieces per key gives the union area. A key
-is never gathered in one task: its work is spread over its cells (hot cells
-over sub-cells, exact copies merged first), and the per-cell sums are
-pre-aggregated before the final (small) group by key.
+is never gathered in one task: a cell that holds more than ``max_cell_edges``
+edges is cut into sub-cells, and those again, each round on what is still too
+full; edges outside a sub-cell are left behind, so the lists shrink. The
+per-cell sums are pre-aggregated before the final (small) group by key. NULL
+is a key like any other, and a key without any area gets 0.
 """
 
 from __future__ import annotations
@@ -17,9 +19,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
+from ..functions.geometry import EDGES
+from ..functions.validity import candidate_pairs
+from ..session import scratch_path
 
 
 def _union_area_in_box(edges: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> float:
@@ -40,7 +47,7 @@ def _union_area_in_box(edges: list[np.ndarray], x0: float, y0: float, x1: float,
     ax, ay, bx, by = s[:, 0], s[:, 1], s[:, 2], s[:, 3]
     n = len(s)
     if n > 1:
-        i, j = np.triu_indices(n, 1)
+        i, j = candidate_pairs(ax, bx)
         d1x, d1y, d2x, d2y = bx[i] - ax[i], by[i] - ay[i], bx[j] - ax[j], by[j] - ay[j]
         den = d1x * d2y - d1y * d2x
         ok = den != 0
@@ -94,54 +101,93 @@ def _union_area_in_box(edges: list[np.ndarray], x0: float, y0: float, x1: float,
     return float(total)
 
 
+@arrow_udf(EDGES)
+def _clip_udf(edges: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    """The edges a box needs: those that reach into its x range and are not wholly below it."""
+    edges = edges.combine_chunks() if isinstance(edges, pa.ChunkedArray) else edges
+    n = np.diff(edges.offsets.to_numpy())
+    row = np.repeat(np.arange(len(n)), n)
+    v = edges.flatten()
+    ax, ay, bx, by = (v.field(k).to_numpy(zero_copy_only=False) for k in ("ax", "ay", "bx", "by"))
+    lo, hi, low = (c.to_numpy(zero_copy_only=False)[row] for c in (x0, x1, y0))
+    keep = (np.maximum(ax, bx) > lo) & (np.minimum(ax, bx) < hi) & (ax != bx) & (np.maximum(ay, by) > low)
+    # an edge below the box counts as its shadow on the box's bottom, one above as its shadow on the top
+    below = ~keep & (np.maximum(ax, bx) > lo) & (np.minimum(ax, bx) < hi) & (ax != bx)
+    top = y1.to_numpy(zero_copy_only=False)[row]
+    ay, by = np.where(below, low, ay), np.where(below, low, by)
+    over = np.minimum(ay, by) > top
+    ay, by = np.where(over, top, ay), np.where(over, top, by)
+    keep |= below
+    out = pa.StructArray.from_arrays([pa.array(c[keep]) for c in (ax, ay, bx, by)], names=["ax", "ay", "bx", "by"])
+    counts = np.bincount(row[keep], minlength=len(n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), out)
+
+
+_clip_udf = _clip_udf.asNondeterministic()  # a pure function, never to be evaluated twice
+
+#: Rounds of cutting full cells; ``split`` to this power is the finest grid.
+MAX_ROUNDS = 8
+
+
+def _cut_cells(cells: DataFrame, size: float) -> DataFrame:
+    """(key, edges, box) rows dealt to the cells of width ``size`` (within their parent cell), clipped."""
+    dealt = (cells
+             .withColumn("cx", F.explode(F.expr(f"sequence(greatest(floor(x0 / {size!r}D), floor(px0 / {size!r}D)),"
+                                                f" least(floor(x1 / {size!r}D), ceil(px1 / {size!r}D) - 1))")))
+             .withColumn("cy", F.explode(F.expr(f"sequence(greatest(floor(y0 / {size!r}D), floor(py0 / {size!r}D)),"
+                                                f" least(floor(y1 / {size!r}D), ceil(py1 / {size!r}D) - 1))"))))
+    dealt = (dealt.withColumn("px0", F.col("cx") * F.lit(size)).withColumn("px1", (F.col("cx") + 1) * F.lit(size))
+             .withColumn("py0", F.col("cy") * F.lit(size)).withColumn("py1", (F.col("cy") + 1) * F.lit(size)))
+    return (dealt.withColumn("edges", _clip_udf("edges", "px0", "py0", "px1", "py1"))
+            .where(F.size("edges") > 0).select("key", "edges", "x0", "y0", "x1", "y1", "cx", "cy", "px0", "py0", "px1", "py1"))
+
+
 def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
-                  max_group_rows: int = 20_000, split: int = 8) -> DataFrame:
+                  max_cell_edges: int = 4000, split: int = 4) -> DataFrame:
     """Union area per ``key`` (overlaps counted once) and the number of shapes merged.
 
-    Work is grouped by ``(key, cell)``. Exact copies of a shape are merged
-    first (a map-side distinct; copies do not change a union), and a cell
-    still holding more than ``max_group_rows`` shapes of one key is cut into
-    ``split x split`` sub-cells, found by an in-plan count whose hot list is
-    bounded by ``rows / max_group_rows``.
+    Exact copies of a shape are merged first (a map-side distinct; copies do
+    not change a union). ``max_cell_edges`` bounds what one task sweeps: cells
+    beyond it are cut into ``split x split`` sub-cells, at most ``MAX_ROUNDS``
+    times (edges that all meet in one point cannot be parted further). Each
+    round's cells are written to the shared folder.
     """
+    spark = layer.sparkSession
     if cell_size is None:
         med = layer.select(F.percentile_approx(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")),
                                                0.5, 1000)).first()[0] or 1.0
         cell_size = float(2 ** math.ceil(math.log2(max(med, 1e-9)) + 2))
     size = float(cell_size)
-    sub = size / split
-    s = F.lit(size)
-    shapes = layer.select(key, "edges", "x0", "y0", "x1", "y1").dropDuplicates([key, "edges"])
-    cells = (shapes
-             .withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / s), F.floor(F.col("x1") / s))))
-             .withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / s), F.floor(F.col("y1") / s)))))
-    gkey = [key, "cx", "cy"]
-    hot = F.broadcast(cells.groupBy(*gkey).count().where(F.col("count") > max_group_rows)
-                      .select(*gkey, F.lit(True).alias("_hot")))
-    cells = cells.join(hot, gkey, "left")
-
-    def sub_range(lo, hi, c):
-        first = F.greatest(F.lit(0), F.floor((F.col(lo) - F.col(c) * s) / sub))
-        last = F.least(F.lit(split - 1), F.floor((F.col(hi) - F.col(c) * s) / sub))
-        return F.when(F.col("_hot"), F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))
-
-    cells = (cells.withColumn("sx", F.explode(sub_range("x0", "x1", "cx")))
-                  .withColumn("sy", F.explode(sub_range("y0", "y1", "cy"))).drop("_hot"))
+    shapes = (layer.select(F.col(key).alias("key"), "edges", "x0", "y0", "x1", "y1")
+              .where(F.col("x0").isNotNull()).dropDuplicates(["key", "edges"]))
+    todo = shapes.select("*", F.col("x0").alias("px0"), F.col("y0").alias("py0"),
+                         (F.floor(F.col("x1") / size) * size + size).alias("px1"), (F.floor(F.col("y1") / size) * size + size).alias("py1"))
 
     def per_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        cx, cy = int(pdf["cx"].iloc[0]), int(pdf["cy"].iloc[0])
-        sx, sy = int(pdf["sx"].iloc[0]), int(pdf["sy"].iloc[0])
-        if sx < 0:
-            box = (cx * size, cy * size, (cx + 1) * size, (cy + 1) * size)
-        else:
-            bx, by = cx * size + sx * sub, cy * size + sy * sub
-            box = (bx, by, bx + sub, by + sub)
+        box = tuple(float(pdf[c].iloc[0]) for c in ("px0", "py0", "px1", "py1"))
         edges = [np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in es], float).reshape(-1, 4)
                  for es in pdf["edges"]]
-        a = _union_area_in_box(edges, *box)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "cell_area": [a]})
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "cell_area": [_union_area_in_box(edges, *box)]})
 
     kt = layer.schema[key].dataType.simpleString()
-    pieces = cells.groupBy(key, "cx", "cy", "sx", "sy").applyInPandas(per_cell, f"`{key}` {kt}, cell_area double")
-    counts = layer.groupBy(key).agg(F.count("*").alias("n_shapes"))
-    return pieces.groupBy(key).agg(F.sum("cell_area").alias("union_area")).join(counts, key)
+    cell = ["key", "cx", "cy", "px0", "py0", "px1", "py1"]
+    measured = None
+    for r in range(MAX_ROUNDS):
+        path = scratch_path(spark, "dissolve")
+        cut = _cut_cells(todo, size)
+        cut.write.parquet(path)
+        cut = spark.read.schema(cut.schema).parquet(path)
+        held = cut.groupBy("key", "cx", "cy").agg(F.sum(F.size("edges")).alias("held"))
+        full = held.where(F.col("held") > max_cell_edges).select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
+        final = r == MAX_ROUNDS - 1 or full.isEmpty()
+        ready = cut if final else cut.join(full, same, "left_anti")
+        part = ready.groupBy(*cell).applyInPandas(per_cell, f"key {kt}, cell_area double")
+        measured = part if measured is None else measured.unionByName(part)
+        if final:
+            break
+        todo, size = cut.join(full, same, "left_semi").drop("cx", "cy"), size / split
+    areas = measured.groupBy(F.col("key").alias("k")).agg(F.sum("cell_area").alias("union_area"))
+    counts = layer.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n_shapes"))
+    return (counts.join(areas, F.col("key").eqNullSafe(F.col("k")), "left")
+            .select(F.col("key").alias(key), F.coalesce("union_area", F.lit(0.0)).alias("union_area"), "n_shapes"))

@@ -25,7 +25,7 @@ def within_distance_join(left: DataFrame, right: DataFrame, distance: float, *,
                  .withColumn("x1", F.col("x1") + d).withColumn("y1", F.col("y1") + d))
     lcols = list(left_cols or [])
     rcols = list(right_cols or [])
-    plan = plan_grid(grown, right, cell_size)
+    plan = plan_grid(grown, right, cell_size, lcols, rcols)
     pairs = candidate_pairs(grown, right, left_id, right_id, lcols, rcols, plan)
     yb = F.least(F.col("l_y0") + d, F.col("r_y0"))
     o = pair_overlay_col(F.col("l_edges"), F.col("r_edges"), yb)

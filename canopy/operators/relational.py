@@ -9,15 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def concat_layers(layers: list[DataFrame]) -> DataFrame:
+def concat_layers(layers: list[DataFrame], srids: list[int | None] | None = None) -> DataFrame:
     """Bag union by column name; columns missing on one side become null.
 
     An empty list raises ``ValueError``, as the stacking step it re-expresses
-    does. Layers that carry an ``srid`` column must agree on it (checked
-    lazily by the caller's reprojection; mixing CRSs is not detected here).
+    does. ``srids`` gives the layers' CRSs, which must be one and the same. An
+    ``srid`` column is checked too, when its rows are read: the first row that
+    differs from the layer's declared CRS fails the query.
     """
     if not layers:
         raise ValueError("The list of layers is empty.")
+    if srids is not None:
+        if len(srids) != len(layers) or len(set(srids)) != 1:
+            raise ValueError(f"layers to stack must share one CRS: {srids}")
+        want = srids[0]
+        layers = [df.withColumn("srid", F.when(F.col("srid").eqNullSafe(F.lit(want)), F.col("srid")).otherwise(
+            F.raise_error(F.concat(F.lit(f"a row of a layer in EPSG:{want} has srid "), F.coalesce(F.col("srid").cast("string"), F.lit("NULL"))))))
+            if "srid" in df.columns else df for df in layers]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), layers)
 
 

@@ -12,11 +12,15 @@ most two cells per axis. A pair is looked up at ``max(level_a, level_b)``:
 each shape is exploded at its own level and at every coarser level present
 on the other side (a literal list of at most a few dozen values).
 
-The exact test then runs per candidate pair on exploded edge pairs
-(:mod:`canopy.functions.overlay`) and one aggregate per pair sums the
-intersection area and ORs the boundary contact. Grouping keys start with the
-join keys, so after a sort-merge join the aggregate reuses the join's hash
-partitioning and adds no shuffle.
+The exact test then finishes every candidate pair in the task that found it
+(:mod:`canopy.functions.overlay_arrow`): its intersection area and whether the
+boundaries meet. Nothing is regrouped by id, so repeated and NULL ids stay
+separate rows, and since no operator above the join asks for its partitioning,
+AQE is free to split the partition of a hot cell.
+
+Shapes with very many vertices are cut first (``max_edges``, see
+:mod:`canopy.operators.subdivide`): a pair row then carries one small piece of
+each shape, and the pieces' sums are added per pair of rows.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import overlay as ov
 from ..functions.overlay_arrow import pair_overlay_col
@@ -65,13 +70,26 @@ class GridPlan:
     right_rows: int = -1
     left_edges: int = -1
     right_edges: int = -1
+    small_kept: int = -1
 
     @property
     def cell(self) -> float:
         return float(2.0 ** self.k)
 
 
-def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None) -> GridPlan:
+def _kept_bytes(df: DataFrame, cols: list[str]) -> Column:
+    """Bytes of the variable-width columns among ``cols``, summed over all rows."""
+    sizes = []
+    for c in cols:
+        t = df.schema[c].dataType
+        if not isinstance(t, _FIXED_WIDTH):
+            plain = isinstance(t, (T.StringType, T.BinaryType))
+            sizes.append(F.octet_length(F.col(c) if plain else F.to_json(F.struct(F.col(c)))))
+    return F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0)).cast("long")), F.lit(0))
+
+
+def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None,
+              left_keep: list[str] | None = None, right_keep: list[str] | None = None) -> GridPlan:
     """One small aggregate job over both boxes picks the grid.
 
     A plan computed on supersets of the two layers stays valid for them
@@ -79,8 +97,9 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
     check stricter), so a filtered or joined layer can reuse the plan of its
     source instead of being computed once more for statistics.
 
-    The cell is the power of two at or above the larger of the two median
-    extents (or ``cell_size`` if given). Collected values are bounded: two
+    The cell is the power of two at or above the smaller of the two median
+    extents (or ``cell_size`` if given), so small shapes are never piled into
+    the cells of large ones; larger shapes get a coarser level of their own. Collected values are bounded: two
     medians and two sets of integer size classes (at most ~100 values).
     """
     def side(df, k):
@@ -94,7 +113,7 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
              .collect())
     by_side = {r["side"]: r for r in stats}
     if cell_size is None:
-        med = max([float(r["med"]) for r in stats] or [1.0])
+        med = min([float(r["med"]) for r in stats] or [1.0])
         k = int(math.ceil(math.log2(max(med, _TINY))))
     else:
         k = int(math.ceil(math.log2(cell_size)))
@@ -112,12 +131,13 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None)
     nl, nr = stat(0, "n"), stat(1, "n")
     # Edge lists are summed only on the side small enough to be broadcast
     # (at most BROADCAST_MAX_ROWS rows), the one the byte check needs.
-    el = er = -1
+    el = er = kept = -1
     if min(nl, nr) <= BROADCAST_MAX_ROWS:
-        small = right if nr <= nl else left
-        total = small.where(F.col("x0").isNotNull()).agg(F.sum(F.size("edges"))).first()[0] or 0
-        el, er = (-1, int(total)) if nr <= nl else (int(total), -1)
-    return GridPlan(k, levels(0), levels(1), nl, nr, el, er)
+        small, cols = (right, right_keep) if nr <= nl else (left, left_keep)
+        total, kept = small.where(F.col("x0").isNotNull()).agg(F.sum(F.size("edges")), _kept_bytes(small, cols or [])).first()
+        total, kept = int(total or 0), -1 if cols is None else int(kept)
+        el, er = (-1, total) if nr <= nl else (total, -1)
+    return GridPlan(k, levels(0), levels(1), nl, nr, el, er, kept)
 
 
 def _own_level_sql(k: int) -> str:
@@ -173,9 +193,16 @@ def grid_layout(df: DataFrame, cell_size: float, partitions: int | None = None)
     s = F.lit(plan.cell) * F.pow(F.lit(2.0), _own_level(k))
     out = (df.withColumn("lvl", _own_level(k))
              .withColumn("cx", F.floor(F.col("x0") / s)).withColumn("cy", F.floor(F.col("y0") / s)))
-    out = out.repartitionByRange(partitions, "lvl", "cx", "cy") if partitions else \
-        out.repartitionByRange("lvl", "cx", "cy")
-    return out.sortWithinPartitions("lvl", "cx", "cy")
+    # the box is part of the key, so that one crowded cell is cut too
+    key = ["lvl", "cx", "cy", "x0", "y0"]
+    out = out.repartitionByRange(partitions, *key) if partitions else out.repartitionByRange(*key)
+    return out.sortWithinPartitions(*key)
+
+
+def in_box(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Rows whose box meets the given one; over a stored grid layout the four
+    comparisons reach the Parquet scan and skip row groups."""
+    return df.where((F.col("x0") <= x1) & (F.col("x1") >= x0) & (F.col("y0") <= y1) & (F.col("y1") >= y0))
 
 
 def _side(df: DataFrame, prefix: str, id_col: str, keep: list[str]) -> DataFrame:
@@ -200,28 +227,31 @@ BROADCAST_MAX_ROWS = 100_000
 BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
-def broadcast_estimate(rows: int, edges: int, levels: int = 1) -> int:
-    """Upper estimate of a side's exploded size in bytes."""
-    return 4 * max(1, levels) * (edges * 32 + rows * 96)
+# Carried columns of other types are measured before a side may be broadcast.
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+
+def broadcast_estimate(rows: int, edges: int, levels: int = 1, kept: int = 0) -> int:
+    """Upper estimate of a side's exploded size in bytes; ``kept``: bytes of its carried variable-width columns."""
+    return 4 * max(1, levels) * (edges * 32 + rows * 96 + kept)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a streamed side at least the cluster's parallelism.
+    """Give a small input at least the cluster's parallelism.
 
     Large inputs arrive split into many scan partitions already; a small
     input (one Parquet file) would otherwise run the whole pair stage in one
-    task. Only then is it redistributed (hash of the first column, no sort)
-    before the explode. Sessions without the RDD API (Spark Connect) keep the
-    input partitioning and rely on AQE.
+    task. Which it is follows from the plan's size estimate, so nothing runs.
+    Sessions without that estimate (Spark Connect) keep the input as it is.
     """
     try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
+        spark = df.sparkSession
+        want = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     except Exception:
         return df
-    if have < want:
-        return df.repartition(want, F.xxhash64(*df.columns[:1]))
-    return df
+    return df.repartition(want) if size < want * split else df
 
 
 def _salted(lp: DataFrame, rp: DataFrame, buckets: int, hot_rows: int) -> tuple[DataFrame, DataFrame, list]:
@@ -230,13 +260,13 @@ def _salted(lp: DataFrame, rp: DataFrame, buckets: int, hot_rows: int) -> tuple[
     once per salt; every other cell keeps salt 0. Each pair is still found
     exactly once (a left row has one salt, its partners are in every salt).
 
-    The hot-cell list is computed inside the plan (no driver round trip) and
-    broadcast: it holds at most ``left rows / hot_rows`` keys.
+    The hot-cell list is computed inside the plan (no driver round trip); it
+    holds at most ``left rows / hot_rows`` keys, and Spark's size estimates
+    decide how it is joined.
     """
     key = ["lvl", "cx", "cy"]
     hot = (lp.groupBy(*key).count().where(F.col("count") > hot_rows)
              .select(*key, F.lit(True).alias("_hot")))
-    hot = F.broadcast(hot)
     lp = (lp.join(hot, key, "left")
             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("l_id"), F.lit(buckets)))
                         .otherwise(F.lit(0)).cast("int")).drop("_hot"))
@@ -253,15 +283,17 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     """Box-overlapping pairs, each exactly once, with both shapes' columns.
 
     ``salt_buckets > 1`` splits hot cells explicitly (see :func:`_salted`); by
-    default a hot cell is left to AQE's skew-join splitting of the
-    sort-merge partition that holds it.
+    default a hot cell is left to AQE, which splits the sort-merge partition
+    that holds it (a test holds the plan to that).
     """
     bcast = None
     side = "right" if plan.right_rows <= plan.left_rows else "left"
     rows, edges, lv = ((plan.right_rows, plan.right_edges, len(plan.right_levels)) if side == "right"
                        else (plan.left_rows, plan.left_edges, len(plan.left_levels)))
-    if 0 <= rows <= BROADCAST_MAX_ROWS and edges >= 0 \
-            and broadcast_estimate(rows, edges, lv) <= BROADCAST_MAX_BYTES:
+    kept, frame = (right_keep, right) if side == "right" else (left_keep, left)
+    fixed = all(isinstance(frame.schema[c].dataType, _FIXED_WIDTH) for c in kept)
+    if 0 <= rows <= BROADCAST_MAX_ROWS and edges >= 0 and (fixed or plan.small_kept >= 0) \
+            and broadcast_estimate(rows, edges, lv, 0 if fixed else plan.small_kept) <= BROADCAST_MAX_BYTES:
         bcast = side
         if bcast == "right":
             left = spread(left)
@@ -293,49 +325,40 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
 
 def pair_overlay(pairs: DataFrame, carry: list[str]) -> DataFrame:
-    """Exact per-pair intersection area and boundary contact.
+    """Exact per-pair intersection area and boundary contact, on the JVM.
 
     Explodes the two edge lists of each pair (pipelined in one codegen stage
-    with the arithmetic and the partial hash aggregate), then sums per pair.
-    Carried attributes are grouping keys (functionally dependent on the ids),
-    which keeps the aggregate a hash aggregate with fixed-width buffers.
+    with the arithmetic and the partial hash aggregate), then sums per pair
+    row: a number given to each candidate row, so equal ids stay apart.
     """
-    keys = ["lvl", "cx", "cy", "l_id", "r_id"]
+    keys = ["lvl", "cx", "cy", "_pair"]
     # Pass-through values travel as one struct (fewer fused-code variables);
-    # it is a grouping key too, being a function of the ids.
-    bag = F.struct(F.col("l_area").alias("l_area"), F.col("r_area").alias("r_area"),
-                   *[F.col(c).alias(c) for c in carry]).alias("_bag")
+    # it is a grouping key too, being a function of the pair.
+    bag = F.struct("l_id", "r_id", "l_area", "r_area", *carry).alias("_bag")
     yb = F.least("l_y0", "r_y0")
+    pairs = pairs.withColumn("_pair", F.monotonically_increasing_id())
     e1 = pairs.select(*keys, bag, yb.alias("_yb"), F.explode("l_edges").alias("_ea"), "r_edges")
     e2 = e1.select(*keys, "_bag", "_yb", "_ea", F.explode("r_edges").alias("_eb"))
     terms = ov.edge_pair_terms(e2, keys + ["_bag"])
     agg = terms.groupBy(*keys, "_bag").agg(F.sum("_t").alias("_sum"), F.max("_m").alias("edge_contact"))
-    agg = agg.select(*keys, "_sum", "edge_contact", "_bag.*")
-    return (agg.withColumn("inter_area", F.greatest(F.col("_sum"), F.lit(0.0)))
-               .withColumn("intersects", ov.intersects(F.col("edge_contact"), F.col("inter_area"),
-                                                       F.col("l_area"), F.col("r_area")))
-               .drop("_sum"))
+    return agg.select("_bag.*", F.greatest(F.col("_sum"), F.lit(0.0)).alias("inter_area"), "edge_contact")
 
 
 def pair_overlay_batched(pairs: DataFrame, carry: list[str]) -> DataFrame:
     """Same result as :func:`pair_overlay`, each pair finished in place by the
     Arrow-batched kernel (no edge-pair rows, no regrouping shuffle)."""
     o = pair_overlay_col(F.col("l_edges"), F.col("r_edges"), F.least("l_y0", "r_y0"))
-    out = pairs.select("lvl", "cx", "cy", "l_id", "r_id", "l_area", "r_area", *carry, o.alias("_o"))
-    out = out.select("lvl", "cx", "cy", "l_id", "r_id", "l_area", "r_area", *carry,
-                     F.col("_o.inter_area").alias("inter_area"), F.col("_o.edge_contact").alias("edge_contact"))
-    return out.withColumn("intersects", ov.intersects(F.col("edge_contact"), F.col("inter_area"),
-                                                      F.col("l_area"), F.col("r_area")))
-
-
-# "exploded" (default): edge pairs stream through one code-generated stage
-# (explode, arithmetic, partial hash aggregate) and are never materialised,
-# so memory stays flat however many vertices a pair has; one row per pair is
-# then shuffled. "batched": each pair finished in an Arrow/numpy kernel; as
-# fast on small shapes, but it builds every edge-pair combination of a batch
-# in memory, which large polygons make expensive.
+    out = pairs.select("l_id", "r_id", "l_area", "r_area", *carry, o.alias("_o"))
+    return out.select("l_id", "r_id", "l_area", "r_area", *carry, "_o.inter_area", "_o.edge_contact")
+
+
+# "batched" (default): every pair is finished where it was found, a bounded
+# number of edge pairs at a time, and nothing is regrouped, so AQE may split
+# hot cells. "exploded": edge pairs stream through one code-generated stage
+# and one row per pair is shuffled for the final sum; its aggregate keeps the
+# join's partitioning, which stops AQE from splitting a hot cell.
 PAIR_KERNELS = {"batched": pair_overlay_batched, "exploded": pair_overlay}
-DEFAULT_KERNEL = "exploded"
+DEFAULT_KERNEL = "batched"
 
 
 _PREDICATES = ("intersects", "within", "contains")
@@ -347,13 +370,18 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
                  with_area: bool = True, cell_size: float | None = None,
                  suffixes: tuple[str, str] = ("_left", "_right"),
                  plan: GridPlan | None = None, kernel: str = DEFAULT_KERNEL,
-                 salt_buckets: int = 0, hot_cell_rows: int | None = None) -> DataFrame:
+                 salt_buckets: int = 0, hot_cell_rows: int | None = None,
+                 max_edges: int | None = None) -> DataFrame:
     """Join two prepared shape layers on a spatial predicate.
 
     Output: ``left_id``, ``right_id``, the chosen attribute columns of both
     sides (clashing names get ``suffixes``) and, with ``with_area``, the exact
-    ``inter_area`` of each pair. ``how="left"`` keeps unmatched left rows with
-    a null right side. Ids must be unique per side.
+    ``inter_area`` of each pair of rows. Ids need be neither unique nor
+    present: every pair of rows that meets is one output row. ``how="left"``
+    keeps unmatched left rows with a null right side; it numbers the left rows,
+    so ``left`` must give its rows in the same order each time it is read (a
+    scan or a written table does). ``max_edges`` cuts shapes with more edges
+    into pieces (:func:`canopy.operators.subdivide.subdivide`) before the join.
     """
     if predicate not in _PREDICATES:
         raise ValueError(f"predicate must be one of {_PREDICATES}")
@@ -363,13 +391,29 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     rcols = _attrs(right, right_id) if right_cols is None else list(right_cols)
     if left_id == right_id:
         raise ValueError("left_id and right_id must differ; rename one side first")
-    plan = plan or plan_grid(left, right, cell_size)
     lkeep = [] if how == "left" else lcols
-    cands = candidate_pairs(left, right, left_id, right_id, lkeep, rcols, plan,
+    carry_l, carry_r = list(lkeep), list(rcols)
+    if how == "left" or max_edges:
+        left = left.withColumn("_lrow", F.monotonically_increasing_id())
+        carry_l.append("_lrow")
+    base = left
+    if max_edges:
+        from .subdivide import subdivide
+        left, right = subdivide(left, max_edges), subdivide(right.withColumn("_rrow", F.monotonically_increasing_id()), max_edges)
+        carry_r.append("_rrow")
+    plan = plan or plan_grid(left, right, cell_size, carry_l, carry_r)
+    cands = candidate_pairs(left, right, left_id, right_id, carry_l, carry_r, plan,
                             salt_buckets=salt_buckets, hot_cell_rows=hot_cell_rows)
-    pairs = PAIR_KERNELS[kernel](cands, [f"l_c_{c}" for c in lkeep] + [f"r_c_{c}" for c in rcols])
+    carry = [f"l_c_{c}" for c in carry_l] + [f"r_c_{c}" for c in carry_r]
+    pairs = PAIR_KERNELS[kernel](cands, carry)
+    if max_edges:
+        rest = [c for c in carry if c not in ("l_c__lrow", "r_c__rrow")]
+        pairs = (pairs.groupBy("l_c__lrow", "r_c__rrow")
+                 .agg(F.sum("inter_area").alias("inter_area"), F.max("edge_contact").alias("edge_contact"),
+                      F.any_value(F.struct("l_id", "r_id", "l_area", "r_area", *rest)).alias("_bag"))
+                 .select("l_c__lrow", "inter_area", "edge_contact", "_bag.*"))
     if predicate == "intersects":
-        cond = F.col("intersects")
+        cond = ov.intersects(F.col("edge_contact"), F.col("inter_area"), F.col("l_area"), F.col("r_area"))
     elif predicate == "within":
         cond = ov.within(F.col("inter_area"), F.col("l_area"), F.col("r_area"))
     else:
@@ -382,8 +426,8 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     out_cols += [F.col(f"r_c_{c}").alias(c + suffixes[1] if c in clash else c) for c in rcols]
     if with_area:
         out_cols.append(F.col("inter_area"))
-    result = pairs.select(*out_cols)
-    if how == "left":
-        base = left.select(left_id, *[F.col(c).alias(c + suffixes[0] if c in clash else c) for c in lcols])
-        result = base.join(result, left_id, "left")
-    return result
+    if how == "inner":
+        return pairs.select(*out_cols)
+    result = pairs.select(F.col("l_c__lrow").alias("_lrow"), *out_cols[1:])
+    kept = base.select("_lrow", left_id, *[F.col(c).alias(c + suffixes[0] if c in clash else c) for c in lcols])
+    return kept.join(result, "_lrow", "left").drop("_lrow")

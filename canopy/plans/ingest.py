@@ -62,7 +62,7 @@ def prepare_embargo(embargo: DataFrame, states: DataFrame, srid: int, id_col: st
 
 def prepare_priority(biomes: list[DataFrame], srid: int, label: str = "Import_bio") -> DataFrame:
     """Priority-area flow: stack, relabel, drop empties, 2D, reproject."""
-    stacked = replace_values(concat_layers(biomes), label)
+    stacked = replace_values(concat_layers(biomes, [srid] * len(biomes)), label)
     return _finish(reproject(drop_empty(_decoded(stacked)), srid))
 
 

@@ -149,22 +149,60 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _native_shape(r, i * 8000, F.lit(0), F.lit(8000), F.lit(40000), None)
 
 
+# Which parcels parcels_raw breaks (``id`` divisible by the
+# number; the first that fits), FIXTURES.md part C.
+RAW_KINDS = [(101, "bow"), (103, "null"), (107, "empty"), (109, "z"), (113, "repeated"), (127, "nested"),
+             (131, "touching"), (137, "overlap"), (139, "twice"), (149, "crossing")]
+
+
 def parcels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parcels as a source file would bring them, broken on purpose
-    (FIXTURES.md part C, first match wins): ``id % 101`` bow-tie ring,
-    ``id % 103`` null geometry, ``id % 107`` empty polygon, ``id % 109`` Z = 7.
+    """Parcels as a source file would bring them, broken on purpose (``RAW_KINDS``):
+    bow-tie ring, null geometry, empty polygon, Z = 7, a repeated vertex (valid),
+    a shell inside another, a hole that touches its shell in one point (valid),
+    parts that overlap, a ring wound twice, a hole that leaves its shell.
     Columns: id, desc_subclass, sigla_uf, geometry (WKB)."""
     from ..functions.wkb import wkb_from_rings
     from ..operators.spatial_join import spread
     p = spread(parcels(spark, sf_dir))
     i = F.col("id")
-    x, y = F.col("x0"), F.col("y0")
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    bow = F.array(ring([point(x, y), point(x + w, y + h), point(x + w, y), point(x, y + h)]))
-    rings = (F.when(i % 101 == 0, bow).when(i % 103 == 0, F.lit(None).cast(RINGS))
-              .when(i % 107 == 0, F.array().cast(RINGS)).otherwise(F.col("rings")))
-    z = F.when((i % 109 == 0) & (i % 101 != 0) & (i % 103 != 0) & (i % 107 != 0), F.lit(7.0))
-    return p.select("id", "desc_subclass", "sigla_uf", wkb_from_rings(rings, z).alias("geometry"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    a, b, c, d = point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1)
+
+    def box(left, low, right, high, **where):
+        return ring([point(left, low), point(right, low), point(right, high), point(left, high)], **where)
+    shell = ring([a, b, c, d])
+    spur = (x1 - 2, y0 + 2, x1 + 2, y0 + 4)  # reaches over the right side
+    rings = {
+        "bow": F.array(ring([a, c, b, d])),
+        "null": F.lit(None).cast(RINGS),
+        "empty": F.array().cast(RINGS),
+        "repeated": F.array(ring([a, b, b, c, d])),
+        "nested": F.array(shell, box(x0 + 2, y0 + 2, x0 + 4, y0 + 4, part=1)),
+        "touching": F.array(shell, ring([point(x0 + 2, y0), point(x0 + 2, y0 + 2), point(x0 + 4, y0 + 2)], hole=True)),
+        "overlap": F.array(shell, box(*spur, part=1)),
+        "twice": F.array(ring([a, b, c, d, a, b, c, d])),
+        "crossing": F.array(shell, box(*spur, hole=True)),
+    }
+    kind = F.coalesce(*[F.when(i % n == 0, F.lit(k)) for n, k in RAW_KINDS], F.lit("ok"))
+    out = p.withColumn("_kind", kind)
+    chosen = F.col("rings")
+    for k, r in rings.items():
+        chosen = F.when(F.col("_kind") == k, r).otherwise(chosen)
+    z = F.when(F.col("_kind") == "z", F.lit(7.0))
+    return out.select("id", "desc_subclass", "sigla_uf", wkb_from_rings(chosen, z).alias("geometry"))
+
+
+def combs(spark: SparkSession, sf_dir: str, teeth: int = 2500) -> DataFrame:
+    """Shapes of 4 x ``teeth`` + 2 vertices from ``nation``: id; a bar of 8 x 2 km with teeth 1 m wide
+    and 2 km high every 3 m on its top (FIXTURES.md part B)."""
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    n = n.select("id", ((F.col("id") % 5) * 8000).cast("double").alias("_x"), (F.floor(F.col("id") / 5) * 8000).cast("double").alias("_y"))
+    top = f"""flatten(transform(sequence({teeth} - 1, 0, -1), t -> array(
+        named_struct('x', _x + 3 * t + 1, 'y', _y + 2000), named_struct('x', _x + 3 * t + 1, 'y', _y + 4000),
+        named_struct('x', _x + 3 * t, 'y', _y + 4000), named_struct('x', _x + 3 * t, 'y', _y + 2000))))"""
+    pts = f"""concat(array(named_struct('x', _x, 'y', _y), named_struct('x', _x + 8000, 'y', _y), named_struct('x', _x + 8000, 'y', _y + 2000)),
+        {top}, array(named_struct('x', _x, 'y', _y)))"""
+    return with_shape(n.selectExpr("id", f"array(named_struct('part', 0, 'hole', false, 'pts', {pts})) AS rings"), "rings")
 
 
 def prepared(df: DataFrame, keep_rings: bool = False) -> DataFrame:

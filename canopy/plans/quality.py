@@ -68,6 +68,7 @@ def non_empty_ids(raw: DataFrame) -> DataFrame:
 
 
 def force_2d_report(raw: DataFrame) -> DataFrame:
-    """Z flag before and after writing the WKB in two dimensions."""
-    return raw.select("id", W.has_z("geometry").alias("has_z_before"),
-                      W.has_z(W.force_2d("geometry")).alias("has_z_after"))
+    """Z flag before and after writing the WKB in two dimensions, and the vertices read back from it."""
+    flat = raw.select("id", "geometry", W.force_2d("geometry").alias("_flat"))
+    points = F.aggregate(W.rings_from_wkb("_flat"), F.lit(0), lambda n, r: n + F.size(r["pts"]))
+    return flat.select("id", W.has_z("geometry").alias("has_z_before"), W.has_z("_flat").alias("has_z_after"), points.alias("points"))

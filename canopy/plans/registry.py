@@ -8,14 +8,15 @@ so Spark and the oracle agree bit for bit without rounding.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import drop_empty
+from ..functions.geometry import area, drop_empty
 from ..operators.relational import concat_layers
-from ..functions.scalars import replace_values
+from ..functions.scalars import replace_values, size_band, table_name
 from ..functions import projection as P
 from ..functions.wkb import rings_from_wkb, wkb_from_rings
 from ..functions.geometry import with_shape
@@ -26,6 +27,7 @@ from . import quality as qq
 from . import embargo as qe
 from . import layers as L
 from . import yearly as qy
+from ..session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,27 +132,157 @@ def _l01(spark, sf):
     return g.groupBy("lvl", "cx", "cy").agg(F.count("*").alias("n"))
 
 
-def _scratch(spark, name):
-    """A fresh folder for a write-then-read query, under the shared checkpoint
-    folder the session names (set only when unset, as in local runs)."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/canopy-{name}-{uuid.uuid4().hex}"
+# Parcels in one file of the queries that write files first.
+FILE_ROWS = 500
+
+
+def _parcel_files(spark, sf, folder, kind):
+    """Sound parcels as files of at most ``FILE_ROWS`` rows, written by tasks into the shared folder."""
+    from ..sources.writers import write_files
+    p = L.parcels(spark, sf)
+    p = p.select("id", "desc_subclass", F.col("sigla_uf").alias("source"), wkb_from_rings(F.col("rings")).alias("geometry"))
+    return write_files(p, F.concat(F.lit("parcels_"), F.floor(F.col("id") / FILE_ROWS).cast("string")), folder, kind)
+
+
+def _s01(spark, sf):
+    """Archives written by tasks, extracted one by one; a status row per entry."""
+    from ..sources.archives import extract_archives
+    folder = scratch_path(spark, "zips")
+    _parcel_files(spark, sf, folder, "zip")
+    done = extract_archives(spark, folder, scratch_path(spark, "unzipped"))
+    return done.select("entry", "status")
+
+
+def _read_files(spark, folder):
+    from functools import reduce
+
+    from ..sources.layers_io import find_layers, read_source
+    from ..sources.writers import local_path
+    layers = [read_source(spark, path, name) for _n, path, name in find_layers(local_path(folder))]
+    read = reduce(DataFrame.unionByName, layers).withColumn("rings", rings_from_wkb("geometry"))
+    return read.select(*[c for c in ("id", "ID") if c in read.columns][:1], "desc_subclass" if "desc_subclass" in read.columns else "desc_subcl",
+                       "source", "srid", "_layer", area(F.col("rings")).alias("area")).toDF("id", "desc_subclass", "source", "srid", "layer", "area")
+
+
+def _s02(spark, sf):
+    """Shapefiles (with an attribute named ``source``) read back."""
+    folder = scratch_path(spark, "shp")
+    _parcel_files(spark, sf, folder, "shp")
+    return _read_files(spark, folder)
+
+
+def _s03(spark, sf):
+    """GeoPackages read back."""
+    folder = scratch_path(spark, "gpkg")
+    _parcel_files(spark, sf, folder, "gpkg")
+    return _read_files(spark, folder)
+
+
+def _s04(spark, sf):
+    """Every layer under a folder as Parquet, then read by name; rows and CRS of each."""
+    from functools import reduce
+
+    from ..sources.layers_io import convert_to_parquet, read_layer
+    from ..sources.writers import local_path
+    folder, out = scratch_path(spark, "gpkg"), scratch_path(spark, "layers")
+    _parcel_files(spark, sf, folder, "gpkg")
+    names = convert_to_parquet(spark, local_path(folder), local_path(out))
+    layers = [read_layer(spark, f"{local_path(out)}/{n}.parquet").select(F.lit(n).alias("layer"), "srid") for n in names]
+    return reduce(DataFrame.unionByName, layers).groupBy("layer", "srid").agg(F.count("*").alias("rows"))
 
 
 def _s05(spark, sf):
     """A layer written as Parquet with its CRS, read back."""
     from ..sources.layers_io import read_layer, write_layer
-    path = _scratch(spark, "layer")
+    path = scratch_path(spark, "layer")
     write_layer(_raw(spark, sf), path, srid=5880)
-    return read_layer(spark, path).select("id", "desc_subclass", "sigla_uf", "srid")
+    read = read_layer(spark, path).withColumn("rings", rings_from_wkb("geometry"))
+    return read.select("id", "desc_subclass", "sigla_uf", "srid", area(F.col("rings")).alias("area"))
+
+
+def _s06(spark, sf):
+    """Alerts as a catalog table, read back by name."""
+    from ..sources.layers_io import export_table
+    table = f"canopy_alerts_{uuid.uuid4().hex}"
+    export_table(L.alerts(spark, sf).select("id", "UF", "CLASSNAME"), table)
+    return spark.table(table)
+
+
+def _s08(spark, sf):
+    """One schema for each state that has alerts (at most 5 names)."""
+    from ..sources.layers_io import create_schemas
+    names = [r[0] for r in L.alerts(spark, sf).select(F.lower(F.concat(F.lit("canopy_"), "UF"))).distinct().collect()]
+    return spark.createDataFrame(create_schemas(spark, sorted(names)), "name string, status string")
+
+
+def _s09(spark, sf):
+    """The geometry column of the parcels as a source file brings them."""
+    from ..sources.layers_io import geometry_columns
+    return geometry_columns(_raw(spark, sf), "parcels", srid=5880)
+
+
+def _s10(spark, sf):
+    """Column names and types of the alerts."""
+    from ..sources.layers_io import column_types
+    return column_types(L.alerts(spark, sf).select("id", "UF", "CLASSNAME", "VIEW_DATE"))
+
+
+def _d04(spark, sf):
+    """Bands of areas that lie on every boundary, between them and outside."""
+    p = L.read_table(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), size_band((F.col("p_partkey") % 2400) / F.lit(2.0)).alias("band"))
+
+
+def _d11(spark, sf):
+    """The table name of each state's alerts."""
+    return L.alerts(spark, sf).select(table_name("alerts", F.col("UF")).alias("table_name")).distinct()
+
+
+def _g10r(spark, sf):
+    """G10 on a layer: embargo areas read as degrees, projected; the left and lower ends of their boxes."""
+    e = L.embargo(spark, sf).select("objectid", F.transform("rings", lambda r: F.struct(
+        r["part"].alias("part"), r["hole"].alias("hole"), F.transform(r["pts"], lambda p: F.struct(
+            (F.lit(-60.0) + p["x"] / 4000.0).alias("x"), (F.lit(-20.0) + p["y"] / 4000.0).alias("y"))).alias("pts"))).alias("rings"))
+    done = with_shape(P.reproject(e, 4674), "rings")
+    return done.select("objectid", "srid", F.round("x0", 2).alias("x0"), F.round("y0", 2).alias("y0"))
+
+
+def _g12l(spark, sf):
+    """G12 with shapes of 10,002 vertices, cut into pieces first."""
+    return spatial_join(_alerts(spark, sf), L.combs(spark, sf).withColumnRenamed("id", "comb_id"),
+                        left_id="id", right_id="comb_id", left_cols=[], right_cols=[], max_edges=256)
+
+
+def _vague_ids(df):
+    """Ids that repeat (50 values) and some that are NULL."""
+    return df.withColumn("objectid", F.when(F.col("objectid") % 7 != 0, F.col("objectid") % 50))
+
+
+def _j01d(spark, sf):
+    """J01 with every left row twice under ids that repeat or are NULL: each pair of rows counts."""
+    e = _embargo(spark, sf)
+    return spatial_join(_vague_ids(e.unionByName(e)), priority_layer(spark, sf).withColumnRenamed("id", "priority_id"),
+                        left_id="objectid", right_id="priority_id", left_cols=[], right_cols=[])
+
+
+def _j03d(spark, sf):
+    """J03 with ids that repeat or are NULL: every left row keeps its own partners, or none."""
+    return spatial_join(_vague_ids(_embargo(spark, sf)), priority_layer(spark, sf).withColumnRenamed("id", "priority_id"),
+                        left_id="objectid", right_id="priority_id", how="left", left_cols=[], right_cols=[], with_area=False)
+
+
+def _x02n(spark, sf):
+    """X02 with a NULL key and cells that are cut again and again."""
+    from ..operators.dissolve import dissolve_area
+    p = priority_layer(spark, sf)
+    band = F.when(F.col("id") % 3 == 1, "most").when(F.col("id") % 3 == 2, "rest")
+    return dissolve_area(p.withColumn("band", band), "band", max_cell_edges=60)
 
 
 def _l02(spark, sf):
     """Alerts split by state on write; a state filter reads one partition."""
     from ..sources.layers_io import export_partitioned
-    path = _scratch(spark, "alerts-by-uf")
+    path = scratch_path(spark, "alerts-by-uf")
     export_partitioned(L.alerts(spark, sf).select("id", "UF", "CLASSNAME"), "UF", path=path)
     return spark.read.parquet(path).where(F.col("UF") == "AC").select("id", "UF", "CLASSNAME")
 
@@ -168,8 +300,7 @@ def _x02(spark, sf):
 
 def _x03(spark, sf):
     from ..operators.describe import describe_layer
-    return describe_layer(_parcels(spark, sf), ["area", "x0", "y0", "x1", "y1"]).select(
-        "column", "count", "nulls", "mean", "min", "max")
+    return describe_layer(_parcels(spark, sf), ["area", "x0", "y0", "x1", "y1"]).withColumn("stddev", F.round("stddev", 3))
 
 
 def _stacked(spark, sf):
@@ -206,23 +337,38 @@ QUERIES: dict[str, Query] = {
     "G08": lambda s, sf: qq.non_empty_ids(_raw(s, sf)),
     "G09": lambda s, sf: qq.force_2d_report(_raw(s, sf)),
     "G10": _g10,
+    "G10R": _g10r,
     "G11": lambda s, sf: _wkb_parcels(s, sf).select("id", "area"),
     "G12": _g12,
+    "G12L": _g12l,
     "G13": _g13,
     # joins and layout
     "J01": _j01,
+    "J01D": _j01d,
     "J02": _j02,
     "J03": _j03,
+    "J03D": _j03d,
     "J04": _j04,
     "L01": _l01,
     # described in prose only
     "X01": _x01,
     "X02": _x02,
+    "X02N": _x02n,
     "X03": _x03,
     # files
+    "S01": _s01,
+    "S02": _s02,
+    "S03": _s03,
+    "S04": _s04,
     "S05": _s05,
+    "S06": _s06,
+    "S08": _s08,
+    "S09": _s09,
+    "S10": _s10,
     "L02": _l02,
     # layer preparation
+    "D04": _d04,
+    "D11": _d11,
     "U01": lambda s, sf: _stacked(s, sf).select("id", "Import_bio"),
     "D05": lambda s, sf: replace_values(_stacked(s, sf), "Import_bio").select("id", "Import_bio"),
     "A06": lambda s, sf: value_counts(replace_values(_stacked(s, sf), "Import_bio"), "Import_bio"),

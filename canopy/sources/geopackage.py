@@ -13,10 +13,13 @@ import sqlite3
 import struct
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType,
-                               StructField, StructType)
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
+
+from .layer_columns import BATCH_ROWS, layer_schema, record_batch
 
 ROWS_PER_PARTITION = 50_000
+# Partitions of one layer at most; sparse row ids make ranges wider, not more.
+MAX_PARTITIONS = 10_000
 
 # envelope size in bytes by the header's envelope indicator
 _ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
@@ -38,8 +41,8 @@ def layer_info(path: str, layer: str):
         gcol, srs = c.execute("SELECT column_name, srs_id FROM gpkg_geometry_columns WHERE table_name = ?",
                               (layer,)).fetchone()
         cols = [(r[1], (r[2] or "").upper()) for r in c.execute(f'PRAGMA table_info("{layer}")')]
-        lo, hi = c.execute(f'SELECT min(rowid), max(rowid) FROM "{layer}"').fetchone()
-    return gcol, srs, cols, lo, hi
+        lo, hi, n = c.execute(f'SELECT min(rowid), max(rowid), count(*) FROM "{layer}"').fetchone()
+    return gcol, srs, cols, lo, hi, n
 
 
 def gpkg_to_wkb(blob: bytes | None) -> bytes | None:
@@ -71,15 +74,16 @@ class _Rows(InputPartition):
 
 
 class GeoPackageReader(DataSourceReader):
-    def __init__(self, path: str, layer: str):
-        self.path, self.layer = path, layer
-        self.gcol, self.srs, self.cols, self.lo, self.hi = layer_info(path, layer)
+    def __init__(self, path: str, layer: str, schema: StructType):
+        self.path, self.layer, self.schema = path, layer, schema
+        self.gcol, self.srs, self.cols, self.lo, self.hi, self.n = layer_info(path, layer)
 
     def partitions(self):
         if self.lo is None:
             return [_Rows(1, 0)]
-        return [_Rows(a, min(a + ROWS_PER_PARTITION - 1, self.hi))
-                for a in range(self.lo, self.hi + 1, ROWS_PER_PARTITION)]
+        parts = min(MAX_PARTITIONS, -(-self.n // ROWS_PER_PARTITION))
+        step = -(-(self.hi - self.lo + 1) // parts)
+        return [_Rows(a, min(a + step - 1, self.hi)) for a in range(self.lo, self.hi + 1, step)]
 
     def read(self, partition: _Rows):
         names = [n for n, _t in self.cols]
@@ -87,11 +91,11 @@ class GeoPackageReader(DataSourceReader):
         gi = names.index(self.gcol)
         with _connect(self.path) as c:
             q = f'SELECT {sel} FROM "{self.layer}" WHERE rowid BETWEEN ? AND ? ORDER BY rowid'
-            for row in c.execute(q, (partition.lo, partition.hi)):
-                vals = list(row)
-                vals[gi] = gpkg_to_wkb(vals[gi])
-                geom = vals.pop(gi)
-                yield (*vals, geom, self.srs, self.layer)
+            cursor = c.execute(q, (partition.lo, partition.hi))
+            while rows := cursor.fetchmany(BATCH_ROWS):
+                cols = [list(v) for v in zip(*rows)]
+                geom = [gpkg_to_wkb(b) for b in cols.pop(gi)]
+                yield record_batch(self.schema, [*cols, geom, [self.srs] * len(rows), [self.layer] * len(rows)])
 
 
 class GeoPackageDataSource(DataSource):
@@ -113,12 +117,10 @@ class GeoPackageDataSource(DataSource):
 
     def schema(self):
         path, layer = self._target()
-        gcol, _srs, cols, _lo, _hi = layer_info(path, layer)
+        gcol, _srs, cols, *_range = layer_info(path, layer)
         fields = [StructField(n, _spark_type(t)) for n, t in cols if n != gcol]
-        fields += [StructField("geometry", BinaryType()), StructField("srid", IntegerType()),
-                   StructField("source", StringType())]
-        return StructType(fields)
+        return layer_schema(fields)
 
     def reader(self, schema: StructType):
         path, layer = self._target()
-        return GeoPackageReader(path, layer)
+        return GeoPackageReader(path, layer, schema)

@@ -156,9 +156,12 @@ def export_partitioned(df: DataFrame, column: str, path: str | None = None, tabl
     """One dataset split by ``column`` (a directory per value).
 
     Queries filtering on ``column`` then read only the matching directories.
-    Rows with a NULL key are kept (in Spark's default partition).
+    Rows with a NULL key are kept (in Spark's default partition). Rows are
+    brought together by key only as far as their size allows: Spark rebalances
+    the partitions, so a hot key is written by several tasks and small keys
+    share one.
     """
-    w = df.repartition(column).write.mode("overwrite").partitionBy(column)
+    w = df.hint("rebalance", column).write.mode("overwrite").partitionBy(column)
     if table:
         w.saveAsTable(table)
     else:

@@ -16,8 +16,9 @@ import struct
 
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import (BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType,
-                               StructField, StructType)
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+
+from .layer_columns import BATCH_ROWS, layer_schema, record_batch
 
 RECORDS_PER_PARTITION = 50_000
 
@@ -151,6 +152,7 @@ class ShapefileReader(DataSourceReader):
             idx = fx.read(8 * (partition.stop - partition.start))
         with open(shp, "rb") as fs, open(dbf, "rb") as fd:
             fd.seek(hlen + rlen * partition.start)
+            rows = []
             for k in range(partition.stop - partition.start):
                 off, length = struct.unpack_from(">ii", idx, 8 * k)
                 fs.seek(2 * off + 8)
@@ -163,7 +165,12 @@ class ShapefileReader(DataSourceReader):
                     raw = rec[pos:pos + flen]
                     pos += flen
                     vals.append(_convert(raw, ftype, dec, enc))
-                yield (*vals, geom, srid, os.path.basename(shp)[:-4])
+                rows.append((*vals, geom, srid, os.path.basename(shp)[:-4]))
+                if len(rows) == BATCH_ROWS:
+                    yield record_batch(self.schema, [list(c) for c in zip(*rows)])
+                    rows = []
+            if rows:
+                yield record_batch(self.schema, [list(c) for c in zip(*rows)])
 
 
 def _convert(raw: bytes, ftype: str, dec: int, enc: str):
@@ -196,9 +203,7 @@ class ShapefileDataSource(DataSource):
     def schema(self):
         _n, _h, _r, fields = read_dbf_header(_sidecar(self._path(), ".dbf"))
         cols = [StructField(f[0], _spark_type(f[1], f[2], f[3])) for f in fields]
-        cols += [StructField("geometry", BinaryType()), StructField("srid", IntegerType()),
-                 StructField("source", StringType())]
-        return StructType(cols)
+        return layer_schema(cols)
 
     def reader(self, schema: StructType):
         return ShapefileReader(self._path(), schema, self.options.get("encoding"))

@@ -34,7 +34,7 @@ def test_shapefile_source(spark, workdir):
     write_shapefile(base, RECORDS, FIELDS)
     IO.register_sources(spark)
     df = spark.read.format("shapefile").load(base + ".shp")
-    assert df.columns == ["ID", "NM_MUN", "VAL", "geometry", "srid", "source"]
+    assert df.columns == ["ID", "NM_MUN", "VAL", "geometry", "srid", "_layer"]
     rows = sorted(df.collect(), key=lambda r: r["ID"])
     assert [(r["ID"], r["NM_MUN"], r["VAL"], r["srid"]) for r in rows] == [
         (1, "Feijó", 1.5, 5880), (2, "Rio Branco", None, 5880), (3, "Sem forma", 2.0, 5880)]
@@ -51,7 +51,7 @@ def test_geopackage_source_two_layers(spark, workdir):
     with pytest.raises(Exception):
         spark.read.format("gpkg").load(path).collect()     # two layers: the layer must be named
     est = spark.read.format("gpkg").option("layer", "estados").load(path)
-    assert [(r["fid"], r["nome"], r["srid"], r["source"]) for r in est.orderBy("fid").collect()] == [
+    assert [(r["fid"], r["nome"], r["srid"], r["_layer"]) for r in est.orderBy("fid").collect()] == [
         (1, "AC", 5880, "estados"), (2, "AM", 5880, "estados")]
     assert _areas(est) == {1: 4.0, 2: None}
 
