@@ -46,13 +46,15 @@ def test_round_trip_of_awkward_pages(pages):
     assert sorted((tuple(r[c] for c in COLS) for r in got), key=str) == plain(PAGES)
 
 
-def test_query(spark):
+def test_query_and_global_order(spark):
     import __spark_entry__ as E
     got = E.queries()["op6_warc"](spark, SF001).collect()
-    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF001}/pages.parquet").collect()]
+    table = spark.read.parquet(f"{SF001}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in table.collect()]
     assert sorted((tuple(r[c] for c in COLS) for r in got), key=str) == plain(rows)
-    order = [(r.url_key, r.captured, r.page_id) for r in sorted(got, key=lambda r: (r.merge_part, r.merge_pos))]
-    assert order == sorted(order)
+    index = warc.archive_and_index(table).collect()
+    order = [(r.url_key, r.captured, r.page_id) for r in sorted(index, key=lambda r: (r.merge_part, r.merge_pos))]
+    assert order == sorted(order) and len(order) == len(rows)
 
 
 def test_archives_hold_whole_records(spark, pages, tmp_path):
