@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from canopy.plans.oracle_sql import ORACLE
 from conftest import SF001
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "events"]
@@ -29,7 +30,7 @@ def _norm(rows, cols):
     return sorted((tuple(repr(v(r[i])) for i in order) for r in rows))
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF001)
     got = df.collect()
