@@ -139,16 +139,19 @@ def _cut_cells(cells: DataFrame, size: float) -> DataFrame:
     dealt = (dealt.withColumn("px0", F.col("cx") * F.lit(size)).withColumn("px1", (F.col("cx") + 1) * F.lit(size))
              .withColumn("py0", F.col("cy") * F.lit(size)).withColumn("py1", (F.col("cy") + 1) * F.lit(size)))
     return (dealt.withColumn("edges", _clip_udf("edges", "px0", "py0", "px1", "py1"))
-            .where(F.size("edges") > 0).select("key", "edges", "x0", "y0", "x1", "y1", "cx", "cy", "px0", "py0", "px1", "py1"))
+            .where(F.size("edges") > 0)
+            .withColumn("inner", F.expr("size(filter(edges, e -> greatest(e.ay, e.by) > py0 AND least(e.ay, e.by) < py1))"))
+            .select("key", "edges", "inner", "x0", "y0", "x1", "y1", "cx", "cy", "px0", "py0", "px1", "py1"))
 
 
 def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
-                  max_cell_edges: int = 4000, split: int = 4) -> DataFrame:
+                  max_cell_edges: int = 4000, max_group_rows: int = 1000, split: int = 4) -> DataFrame:
     """Union area per ``key`` (overlaps counted once) and the number of shapes merged.
 
     Exact copies of a shape are merged first (a map-side distinct; copies do
-    not change a union). ``max_cell_edges`` bounds what one task sweeps: cells
-    beyond it are cut into ``split x split`` sub-cells, at most ``MAX_ROUNDS``
+    not change a union). ``max_cell_edges`` and ``max_group_rows`` (shapes) bound
+    the edges that pass through a cell and the shapes they belong to (what
+    covers a cell whole needs no cutting): cells beyond either are cut into ``split x split`` sub-cells, at most ``MAX_ROUNDS``
     times (edges that all meet in one point cannot be parted further). Each
     round's cells are written to the shared folder.
     """
@@ -177,8 +180,8 @@ def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
         cut = _cut_cells(todo, size)
         cut.write.parquet(path)
         cut = spark.read.schema(cut.schema).parquet(path)
-        held = cut.groupBy("key", "cx", "cy").agg(F.sum(F.size("edges")).alias("held"))
-        full = held.where(F.col("held") > max_cell_edges).select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+        held = cut.groupBy("key", "cx", "cy").agg(F.sum("inner").alias("held"), F.count_if(F.col("inner") > 0).alias("rows"))
+        full = held.where((F.col("held") > max_cell_edges) | (F.col("rows") > max_group_rows)).select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y"))
         same = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
         final = r == MAX_ROUNDS - 1 or full.isEmpty()
         ready = cut if final else cut.join(full, same, "left_anti")
@@ -186,7 +189,7 @@ def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
         measured = part if measured is None else measured.unionByName(part)
         if final:
             break
-        todo, size = cut.join(full, same, "left_semi").drop("cx", "cy"), size / split
+        todo, size = cut.join(full, same, "left_semi").drop("cx", "cy", "inner"), size / split
     areas = measured.groupBy(F.col("key").alias("k")).agg(F.sum("cell_area").alias("union_area"))
     counts = layer.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n_shapes"))
     return (counts.join(areas, F.col("key").eqNullSafe(F.col("k")), "left")
