@@ -51,7 +51,7 @@ SALTS = 32
 #: Characters of words that a worker process remembers with their ids before it starts anew.
 CACHE_CHARS = 8_000_000
 
-#: Signs that the tokenizer parts from letters before them, whatever they are; not the apostrophe, which may belong to them.
+#: Signs that the tokenizer parts from a letter before them (not from a mark); not the apostrophe, which may belong to it.
 SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 WORDS_AT_ONCE = 256
@@ -81,6 +81,14 @@ class WordIds:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.held = 0
+        self.last: dict[str, bool] = {}
+
+    def _parts(self, letter: str) -> bool:
+        """Whether signs after ``letter`` are a word part of their own: not if it is normalised to a letter and marks, which join the signs."""
+        if letter not in self.last:
+            text = self.tokenizer.normalizer.normalize_str(letter + ".") if self.tokenizer.normalizer else letter + "."
+            self.last[letter] = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][1] == (len(text) - 1, len(text))
+        return self.last[letter]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHE_CHARS:
@@ -89,7 +97,8 @@ class WordIds:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*cut) - self.known.keys()
         # letters and the signs after them are split anyway: both are looked up on their own
-        parted = {w: (base, w[len(base):]) for w in new if (base := w.rstrip(SIGNS)) and base != w and base.isalpha()}
+        parted = {w: (base, w[len(base):]) for w in new
+                  if (base := w.rstrip(SIGNS)) and base != w and base.isalpha() and (base[-1].isascii() or self._parts(base[-1]))}
         whole = ((new - parted.keys()) | {p for pair in parted.values() for p in pair}) - self.known.keys()
         self._learn_plain([w for w in whole if w.isalpha()])
         self._learn_each([w for w in whole if not w.isalpha()])

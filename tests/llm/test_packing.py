@@ -44,6 +44,15 @@ def test_word_ids_are_the_tokenizers(documents):
         assert [list(np.frombuffer(b, "<u4")) for b in words(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letters_that_become_letter_and_mark():
+    """Signs after them stay with the mark; every letter that Python knows, with a sign after it."""
+    texts = ["İ.", "Kİ!", "\u09b9\u09df,", "\u0915\u0958)", "İ İ. İ.. İİ a.", "\ufb1d:"]
+    texts += [f"{c}. a{c}!" for c in map(chr, range(128, 0x32000)) if c.isalpha() and not "\u4e00" <= c <= "\ud7a3"]
+    words, tk = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    for t, b in zip(texts, words(texts)):
+        assert list(np.frombuffer(b, "<u4")) == tk.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_query(spark):
     import __spark_entry__ as E
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
