@@ -1,11 +1,14 @@
 """Main text of web pages by composite text density.
 
 **DOM.** A page is read by one pass of a tag pattern: comments, declarations and raw-text
-elements are skipped, void elements hold nothing, a block that starts closes an open paragraph, items close items,
+elements are skipped, ``svg`` and ``math`` end where HTML elements start (the text of ``math`` is text of what holds it), void elements hold nothing, a block that starts closes an open paragraph, items close items,
 an end tag closes all that was opened inside it.
 
-**Noise.** Elements that never hold an article (``NOISE_TAGS``) and those whose class, id or role has a
-word of ``NOISE_WORDS`` are taken out with all they hold; a ``header`` inside an article stays, as it holds its title.
+**Noise.** Elements that hardly ever hold an article (``NOISE_TAGS``) and those whose class, id or role has a
+name made of ``NOISE_WORDS`` (and ``PLAIN_WORDS``) only are candidates; a ``header`` inside an article is none, as it holds its title. When
+the whole page is read, a candidate is taken out with all it holds if it holds no article or main with text, and not most of the page's characters
+outside links, and is not an element of blocks whose end tag is missing. If there is just one innermost article or main, candidates outside it go
+whatever their size. The rest is left to the densities.
 
 **Composite text density.** Elements that mark phrases (``PHRASE``) count as text. For every other node, with C characters, T tags, LC characters in links and LT link tags in its
 subtree (each at least 1), and LCb, Cb of the body:
@@ -29,6 +32,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +49,12 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
             "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul "
             "caption button select head".split())
 CLOSES_P = BLOCK - set("li dd dt td th tr tbody thead tfoot option optgroup caption legend summary figcaption button select".split())
+#: Content of another kind, the elements in it that hold HTML again, and the HTML elements whose start ends it elsewhere.
+FOREIGN = {"svg", "math"}
+INTEGRATION = set("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+LEAVES_FOREIGN = BLOCK | set("b big br code em embed i img meta nobr ruby s small span strong strike sub sup tt u var".split())
+#: Elements that may be left without an end tag.
+MAY_END = set("html head body p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption rp rt".split())
 #: Elements that mark phrases of a text; they are no nodes of the tree and no tags of a density.
 PHRASE = set("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup "
              "time tt u var wbr".split())
@@ -58,17 +68,27 @@ NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor spons
                   "sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login share sharing social "
                   "related recommended comment comments respond replies disqus widget toolbar pagination pager skip complementary contentinfo "
                   "search form".split())
-MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: Words that may stand with those in a name without a change of its sense; any other word ("content-sidebar-wrap", "has-sidebar") makes it another name.
+PLAIN_WORDS = set("container wrapper wrap holder box block area section list item items inner outer left right top bottom main site page global primary "
+                  "secondary slot unit bar panel links icons buttons".split())
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def noisy(name: str, more: str, inside: set[str]) -> bool:
-    """Whether an element with attributes ``more`` inside these elements is taken out."""
-    if name in NOISE_TAGS or name == "header" and not inside & {"article", "main"}:
+@lru_cache(maxsize=4096)
+def noisy(name: str, more: str) -> bool:
+    """Whether an element with attributes ``more`` is one that could be taken out."""
+    if name in NOISE_TAGS:
         return True
     if not more or name in ("html", "body", "article", "main"):
         return False
-    return any(w.lower() in NOISE_WORDS for m in MARK.finditer(more) for w in WORD.findall(m[1]))
+    for m in ATTRIBUTE.finditer(more):
+        if m[1].lower() in ("class", "id", "role") and m[2]:
+            for token in m[2].strip("\"'").split():
+                words = {w.lower() for w in WORD.findall(token)}
+                if words & NOISE_WORDS and words <= NOISE_WORDS | PLAIN_WORDS:
+                    return True
+    return False
 
 
 class Page:
@@ -76,14 +96,19 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.name, self.parent, self.chars, self.tags, self.link_chars, self.link_tags = ["#"], [-1], [0], [0], [0], [0]
+        self.noise, self.phrase, self.closed = [False], [False], [True]  # could be taken out; marks a phrase; ended where it should
         self.texts: list[tuple[int, int, str]] = []  # (element, block, text)
-        stack, block, quiet, links = [(0, "#", False)], 0, 0, 0  # quiet, links: open noise, open links
-        at, end = 0, len(source)
+        self.stack, self.links, self.foreign = [(0, "#", False)], 0, 0  # (element, name, own element); open links, open svg and math
+        self._read(source)
+        self._take_noise_out()
+
+    def _read(self, source: str) -> None:
+        stack, block, at, end = self.stack, 0, 0, len(source)
         while at < end:
             m = TAG.search(source, at)
             stop = m.start() if m else end
-            if stop > at and not quiet:
-                self._text(stack[-1][0], block, source[at:stop], links)
+            if stop > at:
+                self._text(stack[-1][0], block, source[at:stop])
             if not m:
                 break
             at = m.end()
@@ -92,57 +117,104 @@ class Page:
                 continue
             block += name in BLOCK
             if m["end"] or m["end2"]:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][1] == name), 0)
-                if depth:
-                    quiet, links = self._close(stack, depth, quiet, links)
+                if depth := self._open({name}):
+                    self._close(depth, stack[depth][1] == name)
                 continue
+            if self.foreign and name in LEAVES_FOREIGN:
+                # html inside an integration point stays there; elsewhere it ends svg and math
+                while (depth := self._open(FOREIGN | INTEGRATION)) and stack[depth][1] in FOREIGN:
+                    self._close(depth, True)
             if name in CLOSES_P:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][1] in ("p", "td", "th", "li", "button", "table")), 0)
+                depth = self._open({"p", "td", "th", "li", "button", "table"})
                 if depth and stack[depth][1] == "p":
-                    quiet, links = self._close(stack, depth, quiet, links)
+                    self._close(depth, True)
+            if name == "body" and (depth := self._open({"head"})):
+                self._close(depth, True)
             if name in SIBLINGS:
                 closes, until = SIBLINGS[name]
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][1] in closes | until), 0)
+                depth = self._open(closes | until)
                 if depth and stack[depth][1] in closes:
-                    quiet, links = self._close(stack, depth, quiet, links)
+                    self._close(depth, True)
             more = m["more"] or m["more2"] or ""
+            alone = name in VOID or self.foreign > 0 and more.endswith("/")
             if name in RAW and not more.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = close.end() if close else end
                 continue
-            if name == "br" and not quiet:
+            if name == "br":
                 self.texts.append((stack[-1][0], block, " "))
-            noise = noisy(name, more, {s[1] for s in stack})
-            if quiet or noise:
-                if name not in VOID:
-                    stack.append((stack[-1][0], name, True))
-                    quiet += 1
-                continue
-            if name in PHRASE:
-                if name not in VOID:
+            noise = noisy(name, more) or name == "header" and not self._open({"article", "main"})
+            phrase = name in PHRASE or name == "math" or self.foreign > 0 and self._open({"math"}) > 0 and name not in BLOCK
+            if phrase and not noise:
+                if not alone:
                     stack.append((stack[-1][0], name, False))
+                    self.foreign += name in FOREIGN
                 continue
             node = len(self.name)
-            for values, v in ((self.name, name), (self.parent, stack[-1][0]), (self.chars, 0), (self.tags, 0), (self.link_chars, 0), (self.link_tags, 0)):
+            for values, v in ((self.name, name), (self.parent, stack[-1][0]), (self.chars, 0), (self.tags, 0), (self.link_chars, 0), (self.link_tags, 0),
+                              (self.noise, noise), (self.phrase, phrase), (self.closed, alone or name in MAY_END)):
                 values.append(v)
-            if name not in VOID:
-                stack.append((node, name, False))
-                links += name == "a"
-
-    @staticmethod
-    def _close(stack: list, depth: int, quiet: int, links: int) -> tuple[int, int]:
-        for _, name, noise in stack[depth:]:
-            quiet -= noise
-            links -= name == "a" and not noise
-        del stack[depth:]
-        return quiet, links
-
-    def _text(self, node: int, block: int, raw: str, links: int) -> None:
+            if not alone:
+                stack.append((node, name, True))
+                self.links += name == "a"
+                self.foreign += name in FOREIGN
+
+    def _open(self, names: set[str]) -> int:
+        """Depth of the innermost open element with one of these names, 0 if there is none."""
+        return next((d for d in range(len(self.stack) - 1, 0, -1) if self.stack[d][1] in names), 0)
+
+    def _close(self, depth: int, own: bool) -> None:
+        node, _, itself = self.stack[depth]
+        if own and itself:
+            self.closed[node] = True
+        for _, name, _ in self.stack[depth:]:
+            self.links -= name == "a"
+            self.foreign -= name in FOREIGN
+        del self.stack[depth:]
+
+    def _text(self, node: int, block: int, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self.texts.append((node, block, text))
         n = len(text.strip())
         self.chars[node] += n
-        self.link_chars[node] += n if links else 0
+        self.link_chars[node] += n if self.links else 0
+
+    def _take_noise_out(self) -> None:
+        """Leave only the elements that count: not the noise, and phrases as a part of what holds them."""
+        if not any(self.noise):
+            return
+        n, name, parent = len(self.name), self.name, self.parent
+        plain = [c - lc for c, lc in zip(self.chars, self.link_chars)]  # characters outside links in each subtree
+        single, blocks = [0] * n, [False] * n  # innermost article and main elements with text; whether a block is inside
+        innermost = [False] * n
+        for i in range(n - 1, 0, -1):
+            p = parent[i]
+            if name[i] in ("article", "main") and plain[i] and not single[i]:
+                single[i], innermost[i] = 1, True
+            plain[p] += plain[i]
+            single[p] += single[i]
+            blocks[p] |= blocks[i] or name[i] in BLOCK
+        out, within, at = [False] * n, [False] * n, [0] * n
+        kept = [0]
+        for i in range(1, n):
+            p = parent[i]
+            within[i] = within[p] or innermost[i]
+            out[i] = out[p] or self.noise[i] and not single[i] and (
+                single[0] == 1 and not within[p] or 2 * plain[i] <= plain[0] and (self.closed[i] or not blocks[i]))
+            if out[i] or self.phrase[i]:
+                at[i] = at[p]
+            else:
+                at[i] = len(kept)
+                kept.append(i)
+        self.texts = [(at[i], block, text) for i, block, text in self.texts if not out[i]]
+        chars, link_chars = [0] * len(kept), [0] * len(kept)
+        for i in range(n):
+            if not out[i]:
+                chars[at[i]] += self.chars[i]
+                link_chars[at[i]] += self.link_chars[i]
+        self.parent = [-1, *(at[parent[i]] for i in kept[1:])]
+        self.name, self.chars, self.link_chars = [name[i] for i in kept], chars, link_chars
+        self.tags, self.link_tags = [0] * len(kept), [0] * len(kept)
 
 
 def density(c: int, t: int, lc: int, lt: int, body_c: int, body_lc: int) -> float:

@@ -28,6 +28,30 @@ def test_article_is_found(page):
     assert extract.main_text(page) == "\n".join(["Head", *P])
 
 
+MENU, AD = f"<nav>{LINKS}</nav>", "<div class='ad'><p>Buy our things now.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    *(f"<body>{MENU}<div class='{c}'><h1>Head</h1>{BODY}{AD}</div><footer>end</footer></body>"
+      for c in ("content has-sidebar", "content-sidebar-wrap", "post no-comments", "content", "sidebar")),
+    f"<body><div data-id='menu' title='x class=ad'><h1>Head</h1>{BODY}</div></body>",
+    f"<body><form id=all action='/'>{MENU}<div><h1>Head</h1>{BODY}</div>{AD}<input></form></body>",
+    f"<body><form><article><h1>Head</h1>{BODY}</article><div class='related'>{BODY}{BODY}</div></form></body>",
+    f"<body>{MENU}<div class='ad'>Buy our things now.<article><h1>Head</h1>{BODY}</article></body>",
+    f"<body>{MENU}<div class='ad'>Buy our things now.<div id='text'><h1>Head</h1>{BODY}</div></body>",
+    f"<head><meta charset=utf-8><body><h1>Head</h1>{BODY}</body>",
+    f"<body><article><h1>Head</h1>{BODY}</article><section id='comments'>{BODY * 5}</section></body>",
+    f"<body><article><h1>Head</h1>{BODY}<div class='sidebar-left'><p>Buy now.</p></div></article></body>",
+])
+def test_article_in_or_beside_what_looks_like_noise(page):
+    assert extract.main_text(page) == "\n".join(["Head", *P])
+
+
+def test_layout_names_in_several_parts():
+    page = f"<body><div class='no-comments'><p>{P[0]}</p></div><div class='has-sidebar'><p>{P[1]}</p></div><div id='content-menu'><p>{P[2]}</p></div></body>"
+    assert extract.main_text(page) == "\n".join(P)
+
+
 def test_references_and_white_space():
     page = "<article><p>Fish &amp; chips&nbsp;&nbsp;at \n\t noon &#8212; &lt;b&gt; &eacute;t&#xe9; &unknown; </p><p> <b>so</b> it<i>al</i>ic<br>is </p><p> </p></article>"
     assert extract.main_text(page) == "Fish & chips at noon — <b> été &unknown;\nso italic is"
