@@ -44,7 +44,7 @@ TAG = re.compile(
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<more2>[^>]*+)>""", re.S)
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe noframes xmp template svg math object".split())
+RAW = set("script style textarea title noscript iframe noframes xmp".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
             "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul "
             "caption button select head".split())
@@ -63,7 +63,7 @@ SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-NOISE_TAGS = set("head nav menu footer aside form script style noscript iframe button select textarea input dialog template svg math object title".split())
+NOISE_TAGS = set("head nav menu footer aside form script style noscript iframe button select textarea input dialog template svg object title".split())
 NOISE_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
                   "sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login share sharing social "
                   "related recommended comment comments respond replies disqus widget toolbar pagination pager skip complementary contentinfo "

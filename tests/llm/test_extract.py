@@ -47,6 +47,22 @@ def test_article_in_or_beside_what_looks_like_noise(page):
     assert extract.main_text(page) == "\n".join(["Head", *P])
 
 
+@pytest.mark.parametrize("page", [
+    *(f"<body>{MENU}<div><{t} width=1>{{}}<p>{P[0]}</p><p>{P[1]}</p><p>{P[2]}</p></div></body>" for t in ("svg", "math", "object", "template")),
+    *(f"<body><article><p>{P[0]}</p><{t} width=1>{{}}<p>{P[1]}</p><p>{P[2]}</p></article></body>" for t in ("svg", "math", "object", "template")),
+    f"<body><article><p>{P[0]}<svg><g><path d=''/><text>{{}}</p><div>{P[1]}</div><p>{P[2]}</p></article></body>",
+    f"<body><article><p>{P[0]}</p><svg><title>a</title><desc><p>no</p></desc><text>no</text></svg><p>{P[1]}</p><object><p>no</p></object>"
+    f"<template><p>no</p></template><p>{P[2]}</p></article></body>",
+])
+def test_svg_math_object_template_are_elements(page):
+    assert extract.main_text(page.replace("{}", "")) == "\n".join(P)
+
+
+def test_text_of_math_is_kept():
+    page = f"<article><p>So <math><mrow><mi>e</mi><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup></mrow></math> holds.</p>{BODY}</article>"
+    assert extract.main_text(page) == "\n".join(["So e=m2 holds.", *P])
+
+
 def test_layout_names_in_several_parts():
     page = f"<body><div class='no-comments'><p>{P[0]}</p></div><div class='has-sidebar'><p>{P[1]}</p></div><div id='content-menu'><p>{P[2]}</p></div></body>"
     assert extract.main_text(page) == "\n".join(P)
