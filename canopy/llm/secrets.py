@@ -8,8 +8,12 @@ code points, the end exclusive.
 
 **Randomness battery.** Other candidates are runs of 24 or more characters of
 the base64 alphabets that overlap no pattern span. Each one's encoding is
-inferred from the characters it uses (``ENCODINGS``, the first that fits; a word
-without digits fits none). Against the hypothesis that its characters were
+inferred from the characters it uses (``ENCODINGS``, the first that fits). A run
+that fits none (no digit, or separators beside letters of one case, or of both
+base64 alphabets) is tested by its parts between separators that are long enough
+to be candidates themselves, and by all its letters and digits without the separators
+(the run as it is, if they are too few), each with the encoding of ``PART_ENCODINGS`` that fits; it is cleared if all of
+these are. Against the hypothesis that its characters were
 drawn independently and uniformly from that alphabet, three tests are made:
 
 * chi-squared: the sum of squared character counts, standardised by its exact
@@ -72,6 +76,17 @@ ENCODINGS = [
     ("base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 ]
+#: Of the parts of runs that fit none of these; classes of their own. One fits always.
+PART_ENCODINGS = [
+    ("decimal", r"^[0-9]+$", DIGITS),
+    *ENCODINGS[:6],
+    ("lower", r"^[a-z]+$", LOWER),
+    ("UPPER", r"^[A-Z]+$", UPPER),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER),
+    ("lower, separators", r"^[0-9a-z+/_-]+$", DIGITS + LOWER + "+/-_"),
+    ("UPPER, separators", r"^[0-9A-Z+/_-]+$", DIGITS + UPPER + "+/-_"),
+    ("separators", r"^", UPPER + LOWER + DIGITS + "+/-_"),
+]
 Q = 0.05
 STEPS, LAST_STEP = 20, 600
 MASK = "[SECRET]"
@@ -108,17 +123,28 @@ def _tail(z: Column) -> Column:
 
 
 def _tested(found: Column) -> Column:
-    """Candidates (start, end, value) as (start, end, class, step); those of no encoding go."""
+    """Candidates (start, end, value) as (start, end, class, step), one for each part that is tested."""
     body = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
                                                  F.regexp_replace(x["value"], "=+$", "").alias("body")))
-    fits = F.lit(None).cast("int")
-    known = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
-
-    def infer(x: Column) -> Column:
-        e = fits
-        for i in reversed(range(len(ENCODINGS))):
-            e = F.when(x["body"].rlike(ENCODINGS[i][1]), i).otherwise(e)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["body"].alias("body"), e.alias("enc"))
+    known = F.array(*[F.lit(a) for _, _, a in ENCODINGS + PART_ENCODINGS])
+    least = PATTERNS["random"][2]
+
+    def encoding(text: Column, encodings: list, first: int) -> Column:
+        e = F.lit(None).cast("int")
+        for i in reversed(range(len(encodings))):
+            e = F.when(text.rlike(encodings[i][1]), first + i).otherwise(e)
+        return e
+
+    def unit(x: Column, text: Column, enc: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), text.alias("body"), enc.alias("enc"))
+
+    def units(x: Column) -> Column:
+        enc = encoding(x["body"], ENCODINGS, 0)
+        joined = F.regexp_replace(x["body"], "[+/_-]", "")
+        long = F.filter(F.split(x["body"], "[+/_-]", -1), lambda p: F.length(p) >= least)
+        parts = F.array_distinct(F.concat(long, F.array(F.when(F.length(joined) >= least, joined).otherwise(x["body"]))))
+        return F.when(enc.isNotNull(), F.array(unit(x, x["body"], enc))).otherwise(
+            F.transform(parts, lambda p: unit(x, p, encoding(p, PART_ENCODINGS, len(ENCODINGS)))))
 
     def values(x: Column) -> Column:
         letters = F.filter(F.split(x["body"], "", -1), lambda c: c != "")
@@ -143,7 +169,7 @@ def _tested(found: Column) -> Column:
         size = F.floor(F.log2(n)).cast("int")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["enc"] * 64 + size).alias("class"), step.alias("step"))
 
-    out = F.filter(F.transform(body, infer), lambda x: x["enc"].isNotNull() & (F.length(x["body"]) >= PATTERNS["random"][2]))
+    out = F.flatten(F.transform(F.filter(body, lambda x: F.length(x["body"]) >= least), units))
     return F.transform(F.transform(out, values), scores)
 
 
@@ -162,7 +188,7 @@ def scanned(df: DataFrame, text_col: str = "text") -> DataFrame:
 def least_steps(tested: DataFrame, q: float = Q) -> dict[int, int]:
     """class -> least p-value step at which a candidate is cleared (classes in which none is are absent).
 
-    The counts have at most 8 encodings x 64 lengths x 601 steps, the result one row a class.
+    The counts have at most 21 encodings x 64 lengths x 601 steps, the result one row a class.
     """
     counts = (tested.select(F.explode("_tested").alias("x")).groupBy(F.col("x.class").alias("class"), F.col("x.step").alias("step"))
               .agg(F.count("*").alias("n")))
@@ -173,11 +199,11 @@ def least_steps(tested: DataFrame, q: float = Q) -> dict[int, int]:
 
 
 def _all_spans(steps: dict[int, int]) -> Column:
-    """``_base`` and the candidates that were not cleared, in order."""
+    """``_base`` and the candidates of which not all parts were cleared, in order."""
     bound = F.create_map(*[F.lit(v) for kv in steps.items() for v in kv]) if steps else F.expr("cast(map() as map<int,int>)")
     kept = F.filter(F.col("_tested"), lambda x: x["step"] < F.coalesce(F.element_at(bound, x["class"]), F.lit(LAST_STEP + 1)))
     extra = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["end"].alias("end")))
-    return F.array_sort(F.concat("_base", extra)).cast(_SPAN)
+    return F.array_sort(F.concat("_base", F.array_distinct(extra))).cast(_SPAN)
 
 
 def _listed(spans: Column) -> Column:

@@ -75,6 +75,25 @@ def test_random_runs_are_found_and_structured_ones_cleared(spark):
     assert got[first] == f"random:{at}:{at + len(keys[first])}"
 
 
+def test_keys_of_any_letters_and_separators(spark):
+    rng = random.Random(3)
+    low, up, both = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    makers = [lambda: f"xoxb-{draw(low[26:], 12)}-{draw(low[26:], 13)}-{draw(low, 32)}", lambda: f"sk_live_{draw(low, 40)}", lambda: draw(both, 30),
+              lambda: "-".join(draw(up, 5) for _ in range(6)), lambda: f"{draw(low + both, 20)}/{draw(low + both, 20)}-{draw(low + both, 9)}_x"]
+    keys = [make() for make in makers for _ in range(40)]
+    dull = ["a-well-known-state-of-the-art-thing-to-see", "usr/local/share/some-library/file_name/and/other_names", "-" * 40, "_" * 20 + "page-3" + "-" * 30,
+            "getElementsByNameAndThenAllTheOthersInIt", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "1234-1234-1234-1234-1234-1234-1234-1234"]
+    rows = [(i, f"see {w} end") for i, w in enumerate(keys + dull)]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k in range(len(makers)):
+        some = range(40 * k, 40 * k + 40)
+        assert sum(got[i] == f"random:4:{4 + len(keys[i])}" for i in some) >= 36, k
+    assert not [w for i, w in enumerate(dull, len(keys)) if got[i]]
+    r = secrets.masked(spark.createDataFrame(rows[:1], "doc_id long, text string")).first()
+    assert r.text == "see [SECRET] end"
+
+
 @pytest.mark.parametrize("enc,size", [("hex", 48), ("base64", 44), ("base36", 30)])
 def test_p_values_hold_under_uniformity(spark, enc, size):
     """The share of uniform runs below p is at most about p."""
