@@ -1,9 +1,10 @@
 """Embedding near-duplicates by iterative quantisation.
 
-**Codes.** On a bounded sample (``SAMPLE`` vectors, those of the smallest hash) the mean and the principal axes of the unit vectors
+**Codes.** On a bounded sample (``SAMPLE`` distinct vectors, those of the smallest hash) the mean and the principal axes of the unit vectors
 are taken, and a rotation is learnt that brings the rotated vectors near the corners of the cube: in turn the codes are set to the signs
 and the rotation to the best one for these codes (an orthogonal Procrustes problem). Every vector then gets its ``bits`` signs, balanced bits
-that differ more the wider the angle.
+that differ more the wider the angle. If the codes find too few of the links within the sample (near copies of one vector are most of it, so
+that the mean takes away what they have in common), a random rotation without a mean is taken instead.
 
 **Multi-index Hamming tables.** The code is cut into ``TABLES`` segments, each the key of a table; a vector fetches the vectors of its label
 whose segment differs in at most one bit in some table. In each table the side whose bit is 0 asks for the
@@ -39,6 +40,8 @@ from .vectors import by_length, rotation, unit, usable
 
 SAMPLE, ROUNDS, TABLES, BITS, LEAST = 20_000, 30, 4, 64, 0.98
 BLOCK = 512
+#: A fitted quantisation that finds less than this share of the links among so many vectors of its sample gives way to a random rotation that finds more.
+TRIED, LEAST_FOUND = 2_000, 0.99
 #: Pairs compared one by one at once, and links held before they are summed up.
 PAIRS_AT_ONCE = 1 << 17
 
@@ -80,10 +83,31 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
 
 
 def fit(vectors: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """One quantisation for each vector length in a sample of at most ``sample`` of ``vectors``."""
-    got = [np.frombuffer(r.vec) for r in vectors.where("vec IS NOT NULL").orderBy(F.xxhash64("vec"), "row").select("vec").limit(sample).collect()]
-    return {len(got[same[0]]): learn(unit(np.stack([got[i] for i in same])), bits)
-            for same in by_length(np.array([len(v) for v in got], np.int64))}
+    """One quantisation for each vector length in a sample of at most ``sample`` distinct ones of ``vectors``; copies count once."""
+    some = vectors.where("vec IS NOT NULL").select(F.xxhash64("vec").alias("order"), F.md5("vec").alias("hash"), "vec")
+    keys = some.select("order", "hash").distinct().orderBy("order", "hash").limit(sample)
+    rows = some.join(F.broadcast(keys), ["order", "hash"]).groupBy("order", "hash").agg(F.first("vec").alias("vec")).collect()
+    got = [np.frombuffer(r.vec) for r in sorted(rows, key=lambda r: (r.order, r.hash))]
+    model = {}
+    for same in by_length(np.array([len(v) for v in got], np.int64)):
+        x = unit(np.stack([got[i] for i in same]))
+        dim = x.shape[1]
+        # where near copies of one vector are most of the sample, its mean is that vector and their codes are noise
+        choices = [learn(x, bits), (np.zeros(dim), rotation(dim)[:, :bits])]
+        shares = [found_share(x[:TRIED], m, bits) for m in choices]
+        model[dim] = choices[shares[1] > shares[0] and shares[0] < LEAST_FOUND]
+    return model
+
+
+def found_share(x: np.ndarray, model: tuple[np.ndarray, np.ndarray], bits: int, least: float = LEAST) -> float:
+    """The share of the links among the unit vectors ``x`` that the tables of their codes find, 1 if there are none."""
+    i, j = np.nonzero(np.triu(x @ x.T >= least, 1))
+    code = encode(x, model)
+    differ = (code[i] ^ code[j]).view(np.uint64)
+    found = np.zeros(len(i), bool)
+    for low, width in _segments(bits):
+        found |= np.bitwise_count((differ >> np.uint64(low)) & np.uint64((1 << width) - 1)) <= 1
+    return float(found.mean()) if len(i) else 1.0
 
 
 def with_code(classes: DataFrame, model: Model, bits: int = BITS) -> DataFrame:

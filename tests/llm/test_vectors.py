@@ -131,6 +131,32 @@ def test_near_duplicates_match_all_pairs(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_more_copies_of_one_vector_than_the_sample_holds(spark):
+    """The fitting sample takes them as one, also if their hash comes first."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 64)).astype(np.float32)
+    df = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]).selectExpr("vec_id AS row", "vec_id AS id", "string(label)", "embedding")
+    hot = x[itq._vectors(df, "id", "embedding", "label").orderBy(F.xxhash64("vec")).first().row]
+    near = [unit(hot) + unit(rng.standard_normal(64)) * 0.1 for _ in range(60)]
+    rows = [(i, list(map(float, v)), 0) for i, v in enumerate([*x, *near, *[hot] * 500])]
+    got = itq.near_duplicates(table(spark, rows), sample=200).collect()
+    found, there = sum(r.n_links for r in got), sum(w[1] for w in plain_links(rows))
+    assert 0.97 * there <= found <= there
+    # the copies' links with each other need no code: count those of the near copies
+    assert sum(r.n_links for r in got if 300 <= r.vec_id < 360) >= 0.97 * sum(w[1] for w in plain_links(rows) if 300 <= w[0] < 360)
+
+
+@pytest.mark.parametrize("others", [0, 20])
+def test_nearly_all_vectors_near_one(spark, others):
+    """Copies and near copies of one vector, and few others: the sample's mean is that vector."""
+    rng = np.random.default_rng(7)
+    hot = unit(rng.standard_normal(64))
+    x = [hot] * 50 + [hot + unit(rng.standard_normal(64)) * 0.1 for _ in range(400)] + list(rng.standard_normal((others, 64)))
+    rows = [(i, list(map(float, v)), 0) for i, v in enumerate(np.array(x, np.float32))]
+    found, there = (sum(n) for n in ([r.n_links for r in itq.near_duplicates(table(spark, rows)).collect()], [w[1] for w in plain_links(rows)]))
+    assert 0.97 * there <= found <= there
+
+
 def test_near_duplicates_query_recall(spark):
     import __spark_entry__ as E
     from conftest import SF001
