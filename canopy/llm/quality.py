@@ -5,7 +5,7 @@ line shapes, shares of character classes, repetition, byte entropy and
 compressed size. No label, language, source or id is among them.
 
 **Training.** At most ``train_rows`` labelled texts (a documented bound; the
-ids with the smallest hash, so a fixed sample at any size) give a feature
+ids with the smallest hash, so a fixed sample at any size, and of each id the text with the smallest hash) give a feature
 matrix that the driver holds whole. Features are cut at quantiles into at
 most ``bins`` bins; trees grow level by level on gradient and hessian
 histograms of the logistic loss, with L2-regularised gains.
@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from .common import by_place, slices
 
 TRAIN_ROWS = 20_000
+#: Tasks that take the features of the training texts.
+TRAIN_TASKS = 32
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
@@ -177,7 +179,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         train_rows: int = TRAIN_ROWS) -> Trees:
-    """Train on at most ``train_rows`` labelled rows outside the held-out fold.
+    """Train on one text each of at most ``train_rows`` labelled ids outside the held-out fold.
 
     The chosen labels are the broadcast side of the join with the texts, a
     table of at most ``train_rows`` rows of 16 bytes.
@@ -187,6 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out("_id"))
               .groupBy("_id").agg(F.avg("_y").alias("_y")).orderBy(order, "_id").limit(train_rows))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    # an id with many rows counts once, by its text of the smallest hash; the few texts left are dealt out anew
+    first = F.min(F.struct(F.xxhash64("_text").alias("hash"), F.col("_text"))).alias("_first")
+    texts = texts.groupBy("_id", "_y").agg(first).select("_id", "_y", "_first._text").repartition(TRAIN_TASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -195,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     out = pa.schema([("_id", pa.int64()), ("_y", pa.float64()), ("_x", pa.list_(pa.float64()))])
     got = (texts.select(F.col("_id").cast("long"), "_y", "_text").mapInArrow(run, "_id long, _y double, _x array<double>")
-           .orderBy(F.xxhash64("_id"), "_id", "_x").limit(train_rows).select("_y", "_x").toArrow())
+           .orderBy(F.xxhash64("_id"), "_id").select("_y", "_x").toArrow())
     x = np.array(got.column("_x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return train(x, got.column("_y").to_numpy())
 

@@ -2,6 +2,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from canopy.llm import quality
 from llm_tables import SF01, documents, no_documents  # noqa: F401
@@ -84,6 +85,22 @@ def test_training_rows_are_bounded(spark):
     assert seen and max(seen) <= 50
 
 
+def test_an_id_of_many_rows_counts_once(spark, monkeypatch):
+    ids = spark.range(200).where(~quality.held_out("id"))
+    hot = ids.orderBy(F.xxhash64("id")).first().id
+    rows = [(i, f"text {i} " * (1 + i % 7)) for i in range(200)] + [(hot, f"copy {k % 5}") for k in range(400)]
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append((x, y)) or train(x, y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i == hot or i % 2 == 0)) for i in range(200)], "doc_id long, quality int")
+    for _ in range(2):
+        quality.fit(docs, labels, train_rows=60)
+    x, y = seen[0]
+    assert x.shape[0] == len(y) == 60 and 10 < y.sum() < 50
+    assert (x == seen[1][0]).all() and (y == seen[1][1]).all()
+
+
 def test_statistics_are_finite():
     for t in [None, "", " ", "\n\n", "a", "é" * 10, "word " * 5000, "|||", "A\nA\nA"]:
         assert len(quality.statistics(t)) == len(quality.FEATURES) and np.isfinite(quality.statistics(t)).all()
