@@ -101,4 +101,48 @@ SELECT doc_id, COALESCE(n0, 0) AS n_assign, COALESCE(n1, 0) AS n_access, COALESC
        sha256(COALESCE(b, '')) AS base_sha256, COALESCE(a, '') AS spans FROM d LEFT JOIN told USING (rid)"""
 
 
-ORACLE: dict[str, str] = {"op4_embedding_dedup": OP4, "op5_secret_scan": _op5(), "op6_warc": OP6}
+def _op11() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(COALESCE(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS words FROM documents),
+i AS (SELECT row_number() OVER () AS iid, item_id, {words} AS words FROM benchmark),
+total AS (SELECT COUNT(*) FILTER (len(words) > 0) AS n_docs, SUM(len(words)) AS n_terms FROM d),
+tf AS (SELECT rid, term, COUNT(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM d) GROUP BY rid, term),
+weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * COUNT(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+           FROM tf, total GROUP BY term),
+size AS (SELECT rid, doc_id, 25 + (75 * len(words) * n_docs) // CAST(n_terms AS BIGINT) AS m FROM d, total WHERE len(words) > 0),
+wanted AS (SELECT iid, term, COUNT(*) AS repeats FROM (SELECT iid, unnest(words) AS term FROM i) GROUP BY iid, term),
+scored AS (SELECT iid, rid, doc_id, CAST(SUM(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM wanted JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (rid) GROUP BY iid, rid, doc_id),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed JOIN i USING (iid) WHERE rank <= 10"""
+
+
+_WHOLE = """
+whole AS (SELECT row_number() OVER () AS rid, *, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+OP12 = f"""
+WITH {_WHOLE},
+named AS (SELECT rid, vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label FROM whole WHERE label IS NOT NULL),
+scored AS (SELECT a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+           FROM named a JOIN named b ON a.vec_id IS DISTINCT FROM b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+positive AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) AS place FROM scored WHERE same),
+pair AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.place, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY n.score DESC, n.vec_id NULLS LAST) AS rank
+         FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+         WHERE p.place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM pair WHERE rank <= 5"""
+
+OP13 = f"""
+WITH {_WHOLE},
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+           FROM whole a JOIN whole b ON a.vec_id IS DISTINCT FROM b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5"""
+
+
+ORACLE: dict[str, str] = {"op4_embedding_dedup": OP4, "op5_secret_scan": _op5(), "op6_warc": OP6, "op11_lexical_search": _op11(),
+                          "op12_hard_negatives": OP12, "op13_exact_search": OP13}

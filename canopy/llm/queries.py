@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, extract, itq, packing, quality, secrets, sharding, simhash, warc
+from . import ann, balltree, bpe, extract, itq, lexical, negatives, packing, quality, secrets, sharding, simhash, warc
 from .common import read_table
 from .oracle_sql import ORACLE  # noqa: F401
 
@@ -56,6 +56,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = "byte_bpe_50k.js
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label).drop("positive_rank")
+
+
+def op13_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_sharding": op2_sharding,
@@ -67,4 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_search": op13_exact_search,
 }
