@@ -1,136 +1,101 @@
 """Dissolve — union area per key, without double counting overlaps.
 
-The plane is cut into grid cells; every shape goes to each cell its box
-touches, clipped to it, and one grouped-map task per ``(key, cell)`` measures
-the union *inside that cell* with a vertical-slab sweep: between consecutive
-vertex / crossing abscissas no two edges cross, so the edges met by a slab
-can be ordered by height and the covered stretches read off from per-shape
-winding counts. Summing the cell pieces per key gives the union area. A key
-is never gathered in one task: a cell that holds more than ``max_cell_edges``
-edges is cut into sub-cells, and those again, each round on what is still too
-full; edges outside a sub-cell are left behind, so the lists shrink. The
-per-cell sums are pre-aggregated before the final (small) group by key. NULL
-is a key like any other, and a key without any area gets 0.
+The plane is cut into square cells, coarse ones first. A shape goes to each
+cell its box touches as the edges that pass through the cell, and what lies below
+it only as the net cover of the cell's bottom. A shape that covers a cell whole
+is one row without edges, and settles the cell. A cell that
+holds too many edges or shapes is cut into ``split x split`` sub-cells, those again, each
+round on what is still too full. So neither a large shape among small ones
+nor a crowded place is dealt to more cells than it needs, and a key is never gathered in one
+task; shapes with very many edges are cut into pieces first.
+
+One grouped-map task per ``(key, cell)`` measures what is covered inside that cell
+(:mod:`canopy.functions.arrangement`), and the per-cell sums are
+pre-aggregated before the final (small) group by key. NULL is a key like any
+other, and a key without any area gets 0. The same cells give the outline of
+the union (:mod:`canopy.operators.outline`).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ..functions.arrangement import bands, net_cover
 from ..functions.geometry import EDGES
-from ..functions.validity import candidate_pairs
 from ..session import scratch_path
+from .subdivide import subdivide
 
+_CLIPPED = T.StructType([T.StructField("edges", EDGES), T.StructField("inner", T.IntegerType()), T.StructField("cover", T.IntegerType())])
+_EDGE_NAMES = ("ax", "ay", "bx", "by")
 
-def _union_area_in_box(edges: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of the union of shapes (each an (n, 4) array of oriented edges) within a box."""
-    segs = []
-    for sid, e in enumerate(edges):
-        if len(e):
-            segs.append(np.column_stack([e, np.full(len(e), sid)]))
-    if not segs:
-        return 0.0
-    s = np.concatenate(segs)
-    s = s[s[:, 0] != s[:, 2]]                         # vertical edges bound no slab
-    s = s[(np.minimum(s[:, 0], s[:, 2]) < x1) & (np.maximum(s[:, 0], s[:, 2]) > x0)]
-    if not len(s):
-        return 0.0
-    xs = set(np.clip(np.concatenate([s[:, 0], s[:, 2]]), x0, x1).tolist()) | {x0, x1}
-    # abscissas where two edges cross
-    ax, ay, bx, by = s[:, 0], s[:, 1], s[:, 2], s[:, 3]
-    n = len(s)
-    if n > 1:
-        i, j = candidate_pairs(ax, bx)
-        d1x, d1y, d2x, d2y = bx[i] - ax[i], by[i] - ay[i], bx[j] - ax[j], by[j] - ay[j]
-        den = d1x * d2y - d1y * d2x
-        ok = den != 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((ax[j] - ax[i]) * d2y - (ay[j] - ay[i]) * d2x) / np.where(ok, den, 1.0)
-            u = ((ax[j] - ax[i]) * d1y - (ay[j] - ay[i]) * d1x) / np.where(ok, den, 1.0)
-        hit = ok & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        xs |= set(np.clip(ax[i][hit] + t[hit] * d1x[hit], x0, x1).tolist())
-    # abscissas where edges cross the box's bottom and top, so clipping in y
-    # stays linear within every slab
-    for yc in (y0, y1):
-        cut = (np.minimum(ay, by) < yc) & (np.maximum(ay, by) > yc)
-        xs |= set(np.clip(ax[cut] + (yc - ay[cut]) * (bx[cut] - ax[cut]) / (by[cut] - ay[cut]), x0, x1).tolist())
-    xs = np.array(sorted(xs))
-    total = 0.0
-    lo_x, hi_x = np.minimum(ax, bx), np.maximum(ax, bx)
-    sign = np.where(ax > bx, 1, -1)                  # top of a shell (right to left) counts +1 upward
-    slope = (by - ay) / (bx - ax)
-    for xa, xb in zip(xs[:-1], xs[1:]):
-        if xb <= xa:
-            continue
-        xm = (xa + xb) / 2
-        m = (lo_x < xm) & (hi_x > xm)
-        if not m.any():
-            continue
-        ya = ay[m] + slope[m] * (xa - ax[m])
-        yb_ = ay[m] + slope[m] * (xb - ax[m])
-        ym = (ya + yb_) / 2
-        order = np.argsort(ym, kind="stable")
-        sid = s[m, 4][order].astype(int)
-        sg = sign[m][order]
-        ya, yb_ = ya[order], yb_[order]
-        wind: dict[int, int] = {}
-        covered = 0
-        # Below the lowest edge no shape winds; moving up across an edge of a
-        # shape changes its winding by -sign (a bottom edge, left to right,
-        # enters the shape). ``covered`` counts shapes with non-zero winding.
-        for k in range(len(sid)):
-            before = covered
-            w_old = wind.get(sid[k], 0)
-            w_new = w_old - sg[k]
-            wind[sid[k]] = w_new
-            covered += int(w_new != 0) - int(w_old != 0)
-            if before == 0 and covered > 0:
-                start_a, start_b = ya[k], yb_[k]
-            elif before > 0 and covered == 0:
-                # clip the covered band to the box in y, trapezoid over [xa, xb]
-                lo_a, lo_b = np.clip(start_a, y0, y1), np.clip(start_b, y0, y1)
-                hi_a, hi_b = np.clip(ya[k], y0, y1), np.clip(yb_[k], y0, y1)
-                total += (xb - xa) * ((hi_a - lo_a) + (hi_b - lo_b)) / 2
-    return float(total)
-
-
-@arrow_udf(EDGES)
-def _clip_udf(edges: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
-    """The edges a box needs: those that reach into its x range and are not wholly below it."""
+#: Rounds of cutting full cells; ``split`` to this power is the finest grid.
+MAX_ROUNDS = 8
+#: Shapes of more edges are cut into pieces first.
+PIECE_EDGES = 1024
+#: The first cells are at most so many times wider than most shapes.
+COARSEST = 64
+
+
+def edge_arrays(edges: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """((n, 4) edges of all rows, number of edges per row) of a column of edge lists."""
     edges = edges.combine_chunks() if isinstance(edges, pa.ChunkedArray) else edges
-    n = np.diff(edges.offsets.to_numpy())
-    row = np.repeat(np.arange(len(n)), n)
+    count = np.diff(edges.offsets.to_numpy())
     v = edges.flatten()
-    ax, ay, bx, by = (v.field(k).to_numpy(zero_copy_only=False) for k in ("ax", "ay", "bx", "by"))
-    lo, hi, low = (c.to_numpy(zero_copy_only=False)[row] for c in (x0, x1, y0))
-    keep = (np.maximum(ax, bx) > lo) & (np.minimum(ax, bx) < hi) & (ax != bx) & (np.maximum(ay, by) > low)
-    # an edge below the box counts as its shadow on the box's bottom, one above as its shadow on the top
-    below = ~keep & (np.maximum(ax, bx) > lo) & (np.minimum(ax, bx) < hi) & (ax != bx)
-    top = y1.to_numpy(zero_copy_only=False)[row]
-    ay, by = np.where(below, low, ay), np.where(below, low, by)
-    over = np.minimum(ay, by) > top
-    ay, by = np.where(over, top, ay), np.where(over, top, by)
-    keep |= below
-    out = pa.StructArray.from_arrays([pa.array(c[keep]) for c in (ax, ay, bx, by)], names=["ax", "ay", "bx", "by"])
-    counts = np.bincount(row[keep], minlength=len(n))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), out)
+    return np.column_stack([v.field(k).to_numpy(zero_copy_only=False) for k in _EDGE_NAMES]).reshape(-1, 4), count
+
+
+@arrow_udf(_CLIPPED)
+def _clip_udf(edges: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+    """What a box needs of a shape: the edges through it, the net cover of its bottom, or the cover of the whole box."""
+    e, count = edge_arrays(edges)
+    rows = len(count)
+    row = np.repeat(np.arange(rows), count)
+    left, low, right, top = (c.to_numpy(zero_copy_only=False) for c in (x0, y0, x1, y1))
+    a, b = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+    passes = (b > left[row]) & (a < right[row]) & (a != b)
+    above = np.minimum(e[:, 1], e[:, 3]) >= top[row]
+    below = np.maximum(e[:, 1], e[:, 3]) <= low[row]
+    inner, shadow = passes & ~above & ~below, passes & below
+    own = row[shadow]
+    at, start, end, net = net_cover(own, np.maximum(a[shadow], left[own]), np.minimum(b[shadow], right[own]),
+                                    np.where(e[shadow, 0] < e[shadow, 2], 1, -1))
+    inners = np.bincount(row[inner], minlength=rows)
+    whole = (inners[at] == 0) & (start == left[at]) & (end == right[at])
+    cover = np.zeros(rows, np.int32)
+    cover[at[whole]] = net[whole]
+    at, start, end, net = (v[~whole] for v in (at, start, end, net))
+    times = np.abs(net)
+    at, start, end, way = (np.repeat(v, times) for v in (at, start, end, net > 0))
+    floor = np.column_stack([np.where(way, start, end), low[at], np.where(way, end, start), low[at]]).reshape(-1, 4)
+    out, of = np.concatenate([e[inner], floor]), np.concatenate([row[inner], at])
+    order = np.argsort(of, kind="stable")
+    out = out[order]
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)),
+                                     pa.StructArray.from_arrays([pa.array(out[:, c]) for c in range(4)], names=list(_EDGE_NAMES)))
+    held = inners + np.bincount(at, minlength=rows)
+    return pa.StructArray.from_arrays([lists, pa.array(held.astype(np.int32)), pa.array(cover)], names=["edges", "inner", "cover"])
 
 
 _clip_udf = _clip_udf.asNondeterministic()  # a pure function, never to be evaluated twice
 
-#: Rounds of cutting full cells; ``split`` to this power is the finest grid.
-MAX_ROUNDS = 8
+CELL = ["k", "cx", "cy", "px0", "py0", "px1", "py1"]
+
+
+def key_code(key: Column) -> Column:
+    """A key as a string that is never null, different for different keys."""
+    return F.when(key.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), key.cast("string")))
 
 
 def _cut_cells(cells: DataFrame, size: float) -> DataFrame:
-    """(key, edges, box) rows dealt to the cells of width ``size`` (within their parent cell), clipped."""
+    """(k, edges, box) rows dealt to the cells of width ``size`` (within their parent cell), clipped."""
     dealt = (cells
              .withColumn("cx", F.explode(F.expr(f"sequence(greatest(floor(x0 / {size!r}D), floor(px0 / {size!r}D)),"
                                                 f" least(floor(x1 / {size!r}D), ceil(px1 / {size!r}D) - 1))")))
@@ -138,10 +103,65 @@ def _cut_cells(cells: DataFrame, size: float) -> DataFrame:
                                                 f" least(floor(y1 / {size!r}D), ceil(py1 / {size!r}D) - 1))"))))
     dealt = (dealt.withColumn("px0", F.col("cx") * F.lit(size)).withColumn("px1", (F.col("cx") + 1) * F.lit(size))
              .withColumn("py0", F.col("cy") * F.lit(size)).withColumn("py1", (F.col("cy") + 1) * F.lit(size)))
-    return (dealt.withColumn("edges", _clip_udf("edges", "px0", "py0", "px1", "py1"))
-            .where(F.size("edges") > 0)
-            .withColumn("inner", F.expr("size(filter(edges, e -> greatest(e.ay, e.by) > py0 AND least(e.ay, e.by) < py1))"))
-            .select("key", "edges", "inner", "x0", "y0", "x1", "y1", "cx", "cy", "px0", "py0", "px1", "py1"))
+    # a shape that covers the parent whole covers this cell too
+    clipped = dealt.withColumn("_c", _clip_udf("edges", "px0", "py0", "px1", "py1"))
+    return (clipped.select("k", F.col("_c.edges").alias("edges"), F.col("_c.inner").alias("inner"), (F.col("cover") + F.col("_c.cover")).alias("cover"),
+                           "x0", "y0", "x1", "y1", "cx", "cy", "px0", "py0", "px1", "py1")
+            .where((F.size("edges") > 0) | (F.col("cover") != 0)))
+
+
+def first_cells(layer: DataFrame) -> float:
+    """Width of the first cells: a power of two that holds the largest shape, at most ``COARSEST`` times most shapes."""
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    med, most = layer.select(F.percentile_approx(span, 0.5, 1000), F.max(span)).first()
+    med, most = max(med or 1.0, 1e-9), max(most or 1.0, 1e-9)
+    return float(2 ** math.ceil(math.log2(min(max(most, 4 * med), COARSEST * med))))
+
+
+def measured_cells(shapes: DataFrame, per_cell: Callable[[str, tuple, np.ndarray, np.ndarray, int], pa.Table], schema: str, *, odd: bool = False,
+                   cell_size: float | None = None, max_cell_edges: int = 4000, max_group_rows: int = 1000, split: int = 4) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ``per_cell`` over all cells, cells that one shape covers whole as CELL, or None).
+
+    ``shapes`` are (k, edges, x0, y0, x1, y1) with a non-null ``k``. ``per_cell`` gets the key, the box, the edges with the number of
+    their shape, and how many times shapes cover the box beside them. Cells are not covered whole where ``odd``.
+    """
+    spark = shapes.sparkSession
+    shapes = subdivide(shapes.where(F.col("x0").isNotNull()), PIECE_EDGES)
+    size = float(cell_size) if cell_size is not None else first_cells(shapes)
+    todo = shapes.select("*", F.lit(0).alias("cover"), F.col("x0").alias("px0"), F.col("y0").alias("py0"),
+                         (F.floor(F.col("x1") / size) * size + size).alias("px1"), (F.floor(F.col("y1") / size) * size + size).alias("py1"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        box = tuple(float(table[c][0].as_py()) for c in ("px0", "py0", "px1", "py1"))
+        e, count = edge_arrays(table["edges"])
+        return per_cell(key[0].as_py(), box, e, np.repeat(np.arange(len(count)), count), int(sum(table["cover"].to_pylist())))
+
+    done = covered = None
+    for r in range(MAX_ROUNDS):
+        path = scratch_path(spark, "dissolve")
+        _cut_cells(todo, size).write.parquet(path)
+        cut = spark.read.parquet(path)
+        held = cut.groupBy(*CELL).agg(F.sum("inner").alias("held"), F.count_if(F.col("inner") > 0).alias("rows"), F.count_if(F.col("cover") != 0).alias("covers"))
+        whole = held.where("covers > 0") if not odd else held.where("false")
+        full = held.where(((F.col("held") > max_cell_edges) | (F.col("rows") > max_group_rows)) & (F.lit(odd) | (F.col("covers") == 0)))
+        at = ["k", "cx", "cy"]
+        final = r == MAX_ROUNDS - 1 or full.isEmpty()
+        settled = whole if final else whole.unionByName(full)
+        ready = cut.join(settled.select(*at), at, "left_anti")
+        part = ready.select(*CELL, "edges", "cover").groupBy(*CELL).applyInArrow(run, schema)
+        done = part if done is None else done.unionByName(part)
+        if not odd:
+            covered = whole.select(*CELL) if covered is None else covered.unionByName(whole.select(*CELL))
+        if final:
+            break
+        todo, size = cut.join(full.select(*at), at, "left_semi").drop("cx", "cy", "inner"), size / split
+    return done, covered
+
+
+def coded_shapes(layer: DataFrame, key: str) -> DataFrame:
+    """(k, edges, box) of a layer; exact copies of a shape are merged (they do not change a union)."""
+    return (layer.select(key_code(F.col(key)).alias("k"), "edges", "x0", "y0", "x1", "y1")
+            .where(F.col("x0").isNotNull()).dropDuplicates(["k", "edges"]))
 
 
 def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
@@ -155,42 +175,12 @@ def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
     times (edges that all meet in one point cannot be parted further). Each
     round's cells are written to the shared folder.
     """
-    spark = layer.sparkSession
-    if cell_size is None:
-        med = layer.select(F.percentile_approx(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")),
-                                               0.5, 1000)).first()[0] or 1.0
-        cell_size = float(2 ** math.ceil(math.log2(max(med, 1e-9)) + 2))
-    size = float(cell_size)
-    shapes = (layer.select(F.col(key).alias("key"), "edges", "x0", "y0", "x1", "y1")
-              .where(F.col("x0").isNotNull()).dropDuplicates(["key", "edges"]))
-    todo = shapes.select("*", F.col("x0").alias("px0"), F.col("y0").alias("py0"),
-                         (F.floor(F.col("x1") / size) * size + size).alias("px1"), (F.floor(F.col("y1") / size) * size + size).alias("py1"))
-
-    def per_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        box = tuple(float(pdf[c].iloc[0]) for c in ("px0", "py0", "px1", "py1"))
-        edges = [np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in es], float).reshape(-1, 4)
-                 for es in pdf["edges"]]
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "cell_area": [_union_area_in_box(edges, *box)]})
-
-    kt = layer.schema[key].dataType.simpleString()
-    cell = ["key", "cx", "cy", "px0", "py0", "px1", "py1"]
-    measured = None
-    for r in range(MAX_ROUNDS):
-        path = scratch_path(spark, "dissolve")
-        cut = _cut_cells(todo, size)
-        cut.write.parquet(path)
-        cut = spark.read.schema(cut.schema).parquet(path)
-        held = cut.groupBy("key", "cx", "cy").agg(F.sum("inner").alias("held"), F.count_if(F.col("inner") > 0).alias("rows"))
-        full = held.where((F.col("held") > max_cell_edges) | (F.col("rows") > max_group_rows)).select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-        same = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
-        final = r == MAX_ROUNDS - 1 or full.isEmpty()
-        ready = cut if final else cut.join(full, same, "left_anti")
-        part = ready.groupBy(*cell).applyInPandas(per_cell, f"key {kt}, cell_area double")
-        measured = part if measured is None else measured.unionByName(part)
-        if final:
-            break
-        todo, size = cut.join(full, same, "left_semi").drop("cx", "cy", "inner"), size / split
-    areas = measured.groupBy(F.col("key").alias("k")).agg(F.sum("cell_area").alias("union_area"))
-    counts = layer.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n_shapes"))
-    return (counts.join(areas, F.col("key").eqNullSafe(F.col("k")), "left")
-            .select(F.col("key").alias(key), F.coalesce("union_area", F.lit(0.0)).alias("union_area"), "n_shapes"))
+    def per_cell(k: str, box: tuple, edges: np.ndarray, shape: np.ndarray, _cover: int) -> pa.Table:
+        return pa.table({"k": [k], "cell_area": [bands(edges, shape, box).area()]})
+
+    measured, covered = measured_cells(coded_shapes(layer, key), per_cell, "k string, cell_area double", cell_size=cell_size,
+                                       max_cell_edges=max_cell_edges, max_group_rows=max_group_rows, split=split)
+    whole = covered.select("k", ((F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0"))).alias("cell_area"))
+    areas = measured.unionByName(whole).groupBy("k").agg(F.sum("cell_area").alias("union_area"))
+    counts = layer.groupBy(F.col(key).alias("_value")).agg(F.count("*").alias("n_shapes")).withColumn("k", key_code(F.col("_value")))
+    return (counts.join(areas, "k", "left").select(F.col("_value").alias(key), F.coalesce("union_area", F.lit(0.0)).alias("union_area"), "n_shapes"))
