@@ -110,24 +110,27 @@ def _cut_cells(cells: DataFrame, size: float) -> DataFrame:
             .where((F.size("edges") > 0) | (F.col("cover") != 0)))
 
 
-def first_cells(layer: DataFrame) -> float:
-    """Width of the first cells: a power of two that holds the largest shape, at most ``COARSEST`` times most shapes."""
+def first_cells(layer: DataFrame) -> tuple[float, int]:
+    """(width of the first cells, edges of the largest shape): a power of two that holds the largest shape, at most ``COARSEST`` times most shapes."""
     span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    med, most = layer.select(F.percentile_approx(span, 0.5, 1000), F.max(span)).first()
+    med, most, edges = layer.select(F.percentile_approx(span, 0.5, 1000), F.max(span), F.max(F.size("edges"))).first()
     med, most = max(med or 1.0, 1e-9), max(most or 1.0, 1e-9)
-    return float(2 ** math.ceil(math.log2(min(max(most, 4 * med), COARSEST * med))))
+    return float(2 ** math.ceil(math.log2(min(max(most, 4 * med), COARSEST * med)))), edges or 0
 
 
-def measured_cells(shapes: DataFrame, per_cell: Callable[[str, tuple, np.ndarray, np.ndarray, int], pa.Table], schema: str, *, odd: bool = False,
+def measured_cells(shapes: DataFrame, per_cell: Callable[[str, tuple, np.ndarray, np.ndarray, int], pa.Table], schema: str, *, layer: DataFrame, odd: bool = False,
                    cell_size: float | None = None, max_cell_edges: int = 4000, max_group_rows: int = 1000, split: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ``per_cell`` over all cells, cells that one shape covers whole as CELL, or None).
 
-    ``shapes`` are (k, edges, x0, y0, x1, y1) with a non-null ``k``. ``per_cell`` gets the key, the box, the edges with the number of
+    ``shapes`` are (k, edges, x0, y0, x1, y1) with a non-null ``k``, ``layer`` what they were made from. ``per_cell`` gets the key, the box, the edges with the number of
     their shape, and how many times shapes cover the box beside them. Cells are not covered whole where ``odd``.
     """
     spark = shapes.sparkSession
-    shapes = subdivide(shapes.where(F.col("x0").isNotNull()), PIECE_EDGES)
-    size = float(cell_size) if cell_size is not None else first_cells(shapes)
+    size, most = first_cells(layer)
+    size = float(cell_size) if cell_size is not None else size
+    shapes = shapes.where(F.col("x0").isNotNull())
+    if most > PIECE_EDGES:
+        shapes = subdivide(shapes, PIECE_EDGES)
     todo = shapes.select("*", F.lit(0).alias("cover"), F.col("x0").alias("px0"), F.col("y0").alias("py0"),
                          (F.floor(F.col("x1") / size) * size + size).alias("px1"), (F.floor(F.col("y1") / size) * size + size).alias("py1"))
 
@@ -178,7 +181,7 @@ def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
     def per_cell(k: str, box: tuple, edges: np.ndarray, shape: np.ndarray, _cover: int) -> pa.Table:
         return pa.table({"k": [k], "cell_area": [bands(edges, shape, box).area()]})
 
-    measured, covered = measured_cells(coded_shapes(layer, key), per_cell, "k string, cell_area double", cell_size=cell_size,
+    measured, covered = measured_cells(coded_shapes(layer, key), per_cell, "k string, cell_area double", layer=layer, cell_size=cell_size,
                                        max_cell_edges=max_cell_edges, max_group_rows=max_group_rows, split=split)
     whole = covered.select("k", ((F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0"))).alias("cell_area"))
     areas = measured.unionByName(whole).groupBy("k").agg(F.sum("cell_area").alias("union_area"))

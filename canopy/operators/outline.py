@@ -180,13 +180,13 @@ def _polygons(loops: DataFrame) -> DataFrame:
                     F.concat(shell, F.coalesce("inner", F.array().cast(RINGS))).alias("rings")))
 
 
-def outlined(shapes: DataFrame, odd: bool = False, **cells) -> DataFrame:
+def outlined(shapes: DataFrame, odd: bool = False, layer: DataFrame | None = None, **cells) -> DataFrame:
     """(k, area, rings): the polygons of what the shapes (k, edges, x0, y0, x1, y1) of each k cover, a row each.
 
     Polygons of a key don't overlap and touch in points only. ``odd`` takes the area that an odd number of all edges' rings wind
     round, else the union of the shapes. ``cells`` are passed to :func:`measured_cells`.
     """
-    found, covered = measured_cells(shapes, _cell_outline(odd), PIECES, odd=odd, **cells)
+    found, covered = measured_cells(shapes, _cell_outline(odd), PIECES, layer=shapes if layer is None else layer, odd=odd, **cells)
     found = _written(found, "pieces")
     sides = found.where("kind = 'side'").select("k", "axis", "line", "lo", "hi", "side")
     if covered is not None:
@@ -208,6 +208,6 @@ def outlined(shapes: DataFrame, odd: bool = False, **cells) -> DataFrame:
 def dissolve_outline(layer: DataFrame, key: str, **cells) -> DataFrame:
     """(key, area, rings): the union of each key's shapes as polygons, a row per polygon. NULL is a key like any other."""
     cells = {"max_cell_edges": 1000, **cells}
-    found = outlined(coded_shapes(layer, key), **cells)
+    found = outlined(coded_shapes(layer, key), layer=layer, **cells)
     names = layer.select(F.col(key).alias("_value")).distinct().withColumn("_k", key_code(F.col("_value")))
     return found.join(names, F.col("k") == F.col("_k")).select(F.col("_value").alias(key), "area", "rings")

@@ -298,6 +298,19 @@ def _x02(spark, sf):
     return dissolve_area(priority_layer(spark, sf), "Import_bio")
 
 
+def _x02o(spark, sf):
+    """X02's outline: area, perimeter, corners, shells less holes, and whether all polygons are valid (G01), per key."""
+    from ..functions.validity import is_valid
+    from ..operators.outline import dissolve_outline
+    found = dissolve_outline(priority_layer(spark, sf), "Import_bio").withColumn("ok", is_valid("rings"))
+    sides = F.expr("aggregate(rings, 0D, (s, r) -> s + aggregate(sequence(0, size(r.pts) - 2), 0D, (t, i) -> t +"
+                   " sqrt(pow(r.pts[i + 1].x - r.pts[i].x, 2) + pow(r.pts[i + 1].y - r.pts[i].y, 2))))")
+    corners = F.aggregate("rings", F.lit(0).cast("long"), lambda n, r: n + F.size(r["pts"]) - 1)
+    euler = F.aggregate("rings", F.lit(0).cast("long"), lambda n, r: n + F.when(r["hole"], -1).otherwise(1))
+    return found.groupBy("Import_bio").agg(F.sum("area").alias("union_area"), F.sum(sides).alias("perimeter"), F.sum(corners).alias("corners"),
+                                           F.sum(euler).alias("shells_less_holes"), F.bool_and("ok").alias("all_valid"))
+
+
 def _x03(spark, sf):
     from ..operators.describe import describe_layer
     return describe_layer(_parcels(spark, sf), ["area", "x0", "y0", "x1", "y1"]).withColumn("stddev", F.round("stddev", 3))
@@ -354,6 +367,7 @@ QUERIES: dict[str, Query] = {
     "X01": _x01,
     "X02": _x02,
     "X02N": _x02n,
+    "X02O": _x02o,
     "X03": _x03,
     # files
     "S01": _s01,
