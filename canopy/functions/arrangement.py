@@ -186,7 +186,7 @@ class Outline:
 
     ``pieces`` (n, 4) lie inside the box, with ``source`` telling which line each is of.
     ``sides`` are stretches of the box's own sides that the area touches: (axis, line, from, to, side),
-    axis 0 for an upright line; side 1 if the area lies left of or below the line, else -1.
+    axis 0 for an upright line; side 1 if the area lies left of or below the line, else -1. One without length is a point to cut at.
     """
 
     pieces: np.ndarray
@@ -209,6 +209,45 @@ def line_code(*values: float) -> int:
     return hash(tuple(float(v) for v in values))
 
 
+def _snapped(pieces: np.ndarray, source: np.ndarray, edges: np.ndarray, box: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces whose ends differ by rounding only end at one point; what collapses or cancels that way is left out.
+
+    Points on the box's sides, which other boxes share, and the edges' own ends stay where they are.
+    """
+    x0, y0, x1, y1 = box
+    pts, at = np.unique(np.concatenate([pieces[:, :2], pieces[:, 2:]]), axis=0, return_inverse=True)
+    if not len(pts):
+        return pieces, source
+    near = 1e-12 * max(1.0, float(np.abs(pts).max()))
+    close = np.zeros(len(pts), bool)
+    for shift in ((0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)):  # points nearer than that share a square of one of these grids
+        _, where, count = np.unique(np.floor(pts / (4 * near) + shift), axis=0, return_inverse=True, return_counts=True)
+        close |= count[where.reshape(-1)] > 1
+    if not close.any():
+        return pieces, source
+    ends = set(map(tuple, np.concatenate([edges[:, :2], edges[:, 2:]]).tolist()))
+    own = [(not (x in (x0, x1) or y in (y0, y1) or (x, y) in ends), x, y, k) for k, (x, y) in zip(np.flatnonzero(close).tolist(), pts[close].tolist())]
+    known: dict[tuple, list] = {}
+    new = np.arange(len(pts))
+    for free, x, y, k in sorted(own):
+        cx, cy = int(x // near), int(y // near)
+        met = [m for i in (-1, 0, 1) for j in (-1, 0, 1) for m in known.get((cx + i, cy + j), ())
+               if abs(pts[m, 0] - x) <= near and abs(pts[m, 1] - y) <= near] if free else []
+        if met:
+            new[k] = met[0]
+        else:
+            known.setdefault((cx, cy), []).append(k)
+    at = new[at.reshape(-1)]
+    a, b = at[:len(pieces)], at[len(pieces):]
+    low, high, way = np.minimum(a, b), np.maximum(a, b), np.where(a < b, 1, -1)
+    _, first, pair = np.unique(np.column_stack([low, high]), axis=0, return_index=True, return_inverse=True)
+    net = np.bincount(pair.reshape(-1), np.where(a == b, 0, way)).round().astype(int)
+    left = np.repeat(first, np.abs(net))
+    turn = (np.repeat(np.sign(net), np.abs(net)) != way[left])
+    p, q = np.where(turn, b[left], a[left]), np.where(turn, a[left], b[left])
+    return np.concatenate([pts[p], pts[q]], axis=1), source[left]
+
+
 def outline(b: Bands, edges: np.ndarray, box: tuple[float, float, float, float]) -> Outline:
     x0, y0, x1, y1 = box
     codes: dict[int, int] = {}
@@ -236,7 +275,12 @@ def outline(b: Bands, edges: np.ndarray, box: tuple[float, float, float, float])
     up = side > 0
     pieces.append(np.column_stack([x, np.where(up, lo, hi), x, np.where(up, hi, lo)]))
     source.append(np.array([line_code(v) for v in x.tolist()], np.int64))
-    return Outline(np.concatenate(pieces), np.concatenate(source), sides)
+    found, source = _snapped(np.concatenate(pieces), np.concatenate(source), edges, box)
+    # stretches of the sides are cut wherever a piece ends on them, so that all that meets at a point is seen there
+    ends = np.concatenate([found[:, :2], found[:, 2:]])
+    for axis, line, side in ((0, x0, -1), (0, x1, 1), (1, y0, -1), (1, y1, 1)):
+        sides += [(axis, line, a, a, side) for a in np.unique(ends[ends[:, axis] == line, 1 - axis]).tolist()]
+    return Outline(found, source, sides)
 
 
 def next_pieces(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,13 +371,10 @@ def simple_loops(pts: np.ndarray, source: np.ndarray) -> list[np.ndarray]:
     loops = []
     for own, of in out:
         q, of = np.array(own), np.array(of)
-        near = _near(q)
         while len(q) >= 3:
             before, after = np.roll(q, 1, axis=0), np.roll(q, -1, axis=0)
             u, v = q - before, after - q
-            straight = np.abs(u).sum(axis=1) <= near  # points that only rounding parts
-            straight &= ~np.roll(straight, 1)
-            straight |= (of == np.roll(of, 1)) | ((u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0] == 0) & ((u * v).sum(axis=1) > 0))
+            straight = (of == np.roll(of, 1)) | ((u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0] == 0) & ((u * v).sum(axis=1) > 0))
             if not straight.any():
                 break
             q, of = q[~straight], of[~straight]

@@ -78,10 +78,15 @@ def edges_of(rings: Column) -> Column:
     return F.flatten(F.transform(oriented_rings(rings), ring_edges))
 
 
+def _held(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once: named outright inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def area_of_edges(edges: Column, x0: Column, y0: Column) -> Column:
     """Shoelace over oriented edges, shifted to (x0, y0): holes subtract, parts add."""
-    return F.aggregate(edges, F.lit(0.0), lambda acc, e: acc + (
-        (e["ax"] - x0) * (e["by"] - y0) - (e["bx"] - x0) * (e["ay"] - y0))) / 2.0
+    return _held(F.struct(edges.alias("edges"), x0.alias("x0"), y0.alias("y0")), lambda s: F.aggregate(s["edges"], F.lit(0.0), lambda acc, e: acc + (
+        (e["ax"] - s["x0"]) * (e["by"] - s["y0"]) - (e["bx"] - s["x0"]) * (e["ay"] - s["y0"]))) / 2.0)
 
 
 def with_shape(df: DataFrame, rings: str = "rings", drop_rings: bool = True) -> DataFrame:
@@ -105,10 +110,10 @@ def with_shape(df: DataFrame, rings: str = "rings", drop_rings: bool = True) ->
 
 def area(rings: Column) -> Column:
     """G11 as a plain column expression over a rings column."""
-    e = edges_of(rings)
-    x0 = F.array_min(F.transform(e, lambda s: s["ax"]))
-    y0 = F.array_min(F.transform(e, lambda s: s["ay"]))
-    return area_of_edges(e, F.coalesce(x0, F.lit(0.0)), F.coalesce(y0, F.lit(0.0)))
+    def of(e: Column) -> Column:
+        least = (lambda k: F.coalesce(F.array_min(F.transform(e, lambda s: s[k])), F.lit(0.0)))
+        return area_of_edges(e, least("ax"), least("ay"))
+    return _held(edges_of(rings), of)
 
 
 def km2(c: Column) -> Column:

@@ -33,13 +33,17 @@ from ..functions.geometry import EDGES
 from ..session import scratch_path
 from .subdivide import subdivide
 
-_CLIPPED = T.StructType([T.StructField("edges", EDGES), T.StructField("inner", T.IntegerType()), T.StructField("cover", T.IntegerType())])
+_CLIPPED = T.StructType([T.StructField("edges", EDGES), T.StructField("inner", T.IntegerType()), T.StructField("active", T.DoubleType()),
+                         T.StructField("cover", T.IntegerType())])
 _EDGE_NAMES = ("ax", "ay", "bx", "by")
 
 #: Rounds of cutting full cells; ``split`` to this power is the finest grid.
 MAX_ROUNDS = 8
 #: Shapes of more edges are cut into pieces first.
 PIECE_EDGES = 1024
+#: A cell of more edges than ``max_cell_edges`` is cut if edges times the edges a slab holds on average exceeds WORK times that bound,
+#: or if there are MOST times as many.
+WORK, MOST = 25, 16
 #: The first cells are at most so many times wider than most shapes.
 COARSEST = 64
 
@@ -81,7 +85,9 @@ def _clip_udf(edges: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)),
                                      pa.StructArray.from_arrays([pa.array(out[:, c]) for c in range(4)], names=list(_EDGE_NAMES)))
     held = inners + np.bincount(at, minlength=rows)
-    return pa.StructArray.from_arrays([lists, pa.array(held.astype(np.int32)), pa.array(cover)], names=["edges", "inner", "cover"])
+    within = (np.minimum(b, right[row]) - np.maximum(a, left[row])) / (right - left)[row]
+    active = np.bincount(row[inner], within[inner], minlength=rows)
+    return pa.StructArray.from_arrays([lists, pa.array(held.astype(np.int32)), pa.array(active), pa.array(cover)], names=list(_CLIPPED.names))
 
 
 _clip_udf = _clip_udf.asNondeterministic()  # a pure function, never to be evaluated twice
@@ -105,7 +111,7 @@ def _cut_cells(cells: DataFrame, size: float) -> DataFrame:
              .withColumn("py0", F.col("cy") * F.lit(size)).withColumn("py1", (F.col("cy") + 1) * F.lit(size)))
     # a shape that covers the parent whole covers this cell too
     clipped = dealt.withColumn("_c", _clip_udf("edges", "px0", "py0", "px1", "py1"))
-    return (clipped.select("k", F.col("_c.edges").alias("edges"), F.col("_c.inner").alias("inner"), (F.col("cover") + F.col("_c.cover")).alias("cover"),
+    return (clipped.select("k", F.col("_c.edges").alias("edges"), F.col("_c.inner").alias("inner"), F.col("_c.active").alias("active"), (F.col("cover") + F.col("_c.cover")).alias("cover"),
                            "x0", "y0", "x1", "y1", "cx", "cy", "px0", "py0", "px1", "py1")
             .where((F.size("edges") > 0) | (F.col("cover") != 0)))
 
@@ -131,6 +137,7 @@ def measured_cells(shapes: DataFrame, per_cell: Callable[[str, tuple, np.ndarray
     shapes = shapes.where(F.col("x0").isNotNull())
     if most > PIECE_EDGES:
         shapes = subdivide(shapes, PIECE_EDGES)
+        size = size if cell_size is not None else first_cells(shapes)[0]
     todo = shapes.select("*", F.lit(0).alias("cover"), F.col("x0").alias("px0"), F.col("y0").alias("py0"),
                          (F.floor(F.col("x1") / size) * size + size).alias("px1"), (F.floor(F.col("y1") / size) * size + size).alias("py1"))
 
@@ -144,9 +151,10 @@ def measured_cells(shapes: DataFrame, per_cell: Callable[[str, tuple, np.ndarray
         path = scratch_path(spark, "dissolve")
         _cut_cells(todo, size).write.parquet(path)
         cut = spark.read.parquet(path)
-        held = cut.groupBy(*CELL).agg(F.sum("inner").alias("held"), F.count_if(F.col("inner") > 0).alias("rows"), F.count_if(F.col("cover") != 0).alias("covers"))
+        held = cut.groupBy(*CELL).agg(F.sum("inner").alias("held"), F.sum("active").alias("active"), F.count_if(F.col("inner") > 0).alias("rows"), F.count_if(F.col("cover") != 0).alias("covers"))
         whole = held.where("covers > 0") if not odd else held.where("false")
-        full = held.where(((F.col("held") > max_cell_edges) | (F.col("rows") > max_group_rows)) & (F.lit(odd) | (F.col("covers") == 0)))
+        crowded = (F.col("held") > max_cell_edges) & ((F.col("held") * F.col("active") > WORK * max_cell_edges) | (F.col("held") > MOST * max_cell_edges))
+        full = held.where((crowded | (F.col("rows") > max_group_rows)) & (F.lit(odd) | (F.col("covers") == 0)))
         at = ["k", "cx", "cy"]
         final = r == MAX_ROUNDS - 1 or full.isEmpty()
         settled = whole if final else whole.unionByName(full)
@@ -157,7 +165,7 @@ def measured_cells(shapes: DataFrame, per_cell: Callable[[str, tuple, np.ndarray
             covered = whole.select(*CELL) if covered is None else covered.unionByName(whole.select(*CELL))
         if final:
             break
-        todo, size = cut.join(full.select(*at), at, "left_semi").drop("cx", "cy", "inner"), size / split
+        todo, size = cut.join(full.select(*at), at, "left_semi").drop("cx", "cy", "inner", "active"), size / split
     return done, covered
 
 
@@ -173,7 +181,7 @@ def dissolve_area(layer: DataFrame, key: str, cell_size: float | None = None,
 
     Exact copies of a shape are merged first (a map-side distinct; copies do
     not change a union). ``max_cell_edges`` and ``max_group_rows`` (shapes) bound
-    the edges that pass through a cell and the shapes they belong to (what
+    the edges that pass through a cell (unless most lie side by side, ``WORK``) and the shapes they belong to (what
     covers a cell whole needs no cutting): cells beyond either are cut into ``split x split`` sub-cells, at most ``MAX_ROUNDS``
     times (edges that all meet in one point cannot be parted further). Each
     round's cells are written to the shared folder.

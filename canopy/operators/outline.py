@@ -207,7 +207,7 @@ def outlined(shapes: DataFrame, odd: bool = False, layer: DataFrame | None = Non
 
 def dissolve_outline(layer: DataFrame, key: str, **cells) -> DataFrame:
     """(key, area, rings): the union of each key's shapes as polygons, a row per polygon. NULL is a key like any other."""
-    cells = {"max_cell_edges": 1000, **cells}
+    cells = {"max_cell_edges": 2000, **cells}
     found = outlined(coded_shapes(layer, key), layer=layer, **cells)
     names = layer.select(F.col(key).alias("_value")).distinct().withColumn("_k", key_code(F.col("_value")))
     return found.join(names, F.col("k") == F.col("_k")).select(F.col("_value").alias(key), "area", "rings")

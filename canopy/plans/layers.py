@@ -205,6 +205,22 @@ def combs(spark: SparkSession, sf_dir: str, teeth: int = 2500) -> DataFrame:
     return with_shape(n.selectExpr("id", f"array(named_struct('part', 0, 'hole', false, 'pts', {pts})) AS rings"), "rings")
 
 
+def long_combs(spark: SparkSession, sf_dir: str, teeth: int = 25_000) -> DataFrame:
+    """Shapes of 4 x ``teeth`` + 2 vertices as rings: id, rings; a bar of 3 x ``teeth`` by 2,000 m with teeth 1 m wide and 2 km high
+    every 3 m on its top. Of every ninth the middle tooth's top corners change places (FIXTURES.md part C)."""
+    from ..operators.spatial_join import spread
+    n = spread(read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id")))
+    n = n.select("id", ((F.col("id") % 5) * 8000).cast("double").alias("_x"), (F.floor(F.col("id") / 5) * 8000).cast("double").alias("_y"))
+    swapped = f"int(id % 9 = 4 AND t = {teeth // 2})"
+    top = f"""flatten(transform(sequence({teeth} - 1, 0, -1), t -> array(
+        named_struct('x', _x + 3 * t + 1, 'y', _y + 2000), named_struct('x', _x + 3 * t + 1 - {swapped}, 'y', _y + 4000),
+        named_struct('x', _x + 3 * t + {swapped}, 'y', _y + 4000), named_struct('x', _x + 3 * t, 'y', _y + 2000))))"""
+    far = f"_x + {3 * teeth}"
+    pts = f"""concat(array(named_struct('x', _x, 'y', _y), named_struct('x', {far}, 'y', _y), named_struct('x', {far}, 'y', _y + 2000)),
+        {top}, array(named_struct('x', _x, 'y', _y)))"""
+    return n.selectExpr("id", f"array(named_struct('part', 0, 'hole', false, 'pts', {pts})) AS rings")
+
+
 def prepared(df: DataFrame, keep_rings: bool = False) -> DataFrame:
     """Shape columns (edges, box, area), built once per layer.
 

@@ -253,6 +253,20 @@ def _g12l(spark, sf):
                         left_id="id", right_id="comb_id", left_cols=[], right_cols=[], max_edges=256)
 
 
+def _g01l(spark, sf):
+    """G01/G02 of shapes of 100,002 vertices, each spread over tasks."""
+    from ..functions.validity import reason_text
+    from ..operators.large_shapes import with_validity
+    told = with_validity(L.long_combs(spark, sf))
+    return told.select("id", F.col("validity.valid").alias("is_valid"), reason_text(F.col("validity")).alias("reason"))
+
+
+def _g03l(spark, sf):
+    """G03 of the same shapes: area after repair."""
+    from ..operators.large_shapes import repaired
+    return repaired(L.long_combs(spark, sf)).select("id", area(F.col("rings")).alias("area"))
+
+
 def _vague_ids(df):
     """Ids that repeat (50 values) and some that are NULL."""
     return df.withColumn("objectid", F.when(F.col("objectid") % 7 != 0, F.col("objectid") % 50))
@@ -343,6 +357,8 @@ QUERIES: dict[str, Query] = {
     "G01": lambda s, sf: qq.is_valid_report(_raw(s, sf)),
     "G02": lambda s, sf: qq.reason_report(_raw(s, sf)),
     "G03": lambda s, sf: qq.repaired_area(_raw(s, sf)),
+    "G01L": _g01l,
+    "G03L": _g03l,
     "G04": lambda s, sf: qq.validate_counts(_raw(s, sf)),
     "G05": lambda s, sf: qq.repair_preview(_raw(s, sf)),
     "G06": lambda s, sf: qq.geometry_types(_raw(s, sf)),
