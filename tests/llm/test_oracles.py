@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from llm_tables import SF001
 
-KEYS = ["op4_embedding_dedup", "op5_secret_scan", "op6_warc"]
+KEYS = ["op4_embedding_dedup", "op5_secret_scan", "op6_warc", "op11_lexical_search", "op12_hard_negatives", "op13_exact_search"]
 
 
 def both(spark, con, key, folder):
@@ -23,7 +23,7 @@ def both(spark, con, key, folder):
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_its_sql(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     got, want = both(spark, con, key, SF001)
     assert got == want
