@@ -31,6 +31,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,9 +40,12 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<more>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<more2>[^>]*+)>""", re.S)
+#: Where markup begins: a comment, another declaration, or a tag with its name.
+OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
+LATE = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?]))")
+#: The rest of a tag: its attributes, whose quoted values may hold a ">".
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+SPECIAL = re.compile("[>\"']")
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe noframes xmp".split())
@@ -91,6 +95,41 @@ def noisy(name: str, more: str) -> bool:
     return False
 
 
+class TagEnds:
+    """Ends of tags: behind the first ">" outside quotes or, if the quotes never come out even, behind the very next ">".
+
+    A tag whose quotes are open would be scanned to the end of the page. After the first such tag all ends are looked up in
+    a table made from the page's end backwards, so that a page costs one pass however many there are.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at = source, None
+
+    def __call__(self, start: int) -> int:
+        if self.at is None:
+            m = REST.match(self.source, start)
+            if m:
+                return m.end()
+            self._table()
+        found = self.plain[bisect_left(self.at, start)]
+        return (found if found >= 0 else self.source.index(">", start)) + 1
+
+    def _table(self) -> None:
+        marks = [(m.start(), m[0]) for m in SPECIAL.finditer(self.source)]
+        self.at = [p for p, _ in marks]
+        plain, double, single = -1, -1, -1  # where a tag ends that is outside quotes, or within either kind, from here on
+        self.plain = [-1] * (len(marks) + 1)
+        for i in range(len(marks) - 1, -1, -1):
+            p, c = marks[i]
+            if c == ">":
+                plain = p
+            elif c == '"':
+                plain, double = double, plain
+            else:
+                plain, single = single, plain
+            self.plain[i] = plain
+
+
 class Page:
     """The elements of a page without its noise, as parallel lists in document order."""
 
@@ -99,24 +138,34 @@ class Page:
         self.noise, self.phrase, self.closed = [False], [False], [True]  # could be taken out; marks a phrase; ended where it should
         self.texts: list[tuple[int, int, str]] = []  # (element, block, text)
         self.stack, self.links, self.foreign = [(0, "#", False)], 0, 0  # (element, name, own element); open links, open svg and math
+        self.depths: dict[str, list[int]] = {}  # where in the stack elements of a name are open
         self._read(source)
         self._take_noise_out()
 
     def _read(self, source: str) -> None:
         stack, block, at, end = self.stack, 0, 0, len(source)
+        last = source.rfind(">")
+        tag_end = TagEnds(source)
         while at < end:
-            m = TAG.search(source, at)
+            # behind the last ">" no tag ends any more, and what looks like one is text
+            m = OPEN.search(source, at)
+            if m and m["name"] and m.start() > last:
+                m = LATE.search(source, m.start())
             stop = m.start() if m else end
             if stop > at:
                 self._text(stack[-1][0], block, source[at:stop])
             if not m:
                 break
-            at = m.end()
-            name = (m["name"] or m["name2"] or "").lower()
-            if not name:
+            if m["comment"] or m["other"]:
+                mark = "-->" if m["comment"] else ">"
+                found = source.find(mark, m.end())
+                at = end if found < 0 else found + len(mark)
                 continue
+            name = m["name"].lower()
+            at = tag_end(m.end())
+            more = source[m.end():at - 1]
             block += name in BLOCK
-            if m["end"] or m["end2"]:
+            if m["end"]:
                 if depth := self._open({name}):
                     self._close(depth, stack[depth][1] == name)
                 continue
@@ -135,7 +184,6 @@ class Page:
                 depth = self._open(closes | until)
                 if depth and stack[depth][1] in closes:
                     self._close(depth, True)
-            more = m["more"] or m["more2"] or ""
             alone = name in VOID or self.foreign > 0 and more.endswith("/")
             if name in RAW and not more.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -147,7 +195,7 @@ class Page:
             phrase = name in PHRASE or name == "math" or self.foreign > 0 and self._open({"math"}) > 0 and name not in BLOCK
             if phrase and not noise:
                 if not alone:
-                    stack.append((stack[-1][0], name, False))
+                    self._push(stack[-1][0], name, False)
                     self.foreign += name in FOREIGN
                 continue
             node = len(self.name)
@@ -155,13 +203,17 @@ class Page:
                               (self.noise, noise), (self.phrase, phrase), (self.closed, alone or name in MAY_END)):
                 values.append(v)
             if not alone:
-                stack.append((node, name, True))
+                self._push(node, name, True)
                 self.links += name == "a"
                 self.foreign += name in FOREIGN
 
+    def _push(self, node: int, name: str, own: bool) -> None:
+        self.depths.setdefault(name, []).append(len(self.stack))
+        self.stack.append((node, name, own))
+
     def _open(self, names: set[str]) -> int:
         """Depth of the innermost open element with one of these names, 0 if there is none."""
-        return next((d for d in range(len(self.stack) - 1, 0, -1) if self.stack[d][1] in names), 0)
+        return max((own[-1] for own in map(self.depths.get, names) if own), default=0)
 
     def _close(self, depth: int, own: bool) -> None:
         node, _, itself = self.stack[depth]
@@ -170,6 +222,7 @@ class Page:
         for _, name, _ in self.stack[depth:]:
             self.links -= name == "a"
             self.foreign -= name in FOREIGN
+            self.depths[name].pop()
         del self.stack[depth:]
 
     def _text(self, node: int, block: int, raw: str) -> None:

@@ -1,10 +1,14 @@
 """Main text extraction on layouts whose article is known."""
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
 from canopy.llm import extract
+from canopy.llm.extract import Page, content_nodes, main_text
 from llm_tables import SF001
 
 P = ["The first paragraph of the article has quite a few words in it, as articles do.",
@@ -106,3 +110,63 @@ def test_awkward_rows(spark):
     got = sorted(map(tuple, extract.extract(df).collect()), key=str)
     assert got == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0), (2, None, "", 0)], key=str)
     assert extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("source", ["<div>x" * 200_000, "<p><b>" * 150_000, "<script " * 125_000 + "text", '<a "' * 250_000 + ">", "<a<b" * 250_000,
+                                    "<a x=\"'>" * 120_000])
+def test_deep_and_broken_pages_take_one_pass(source):
+    began = time.perf_counter()
+    main_text(source)
+    assert time.perf_counter() - began < 5
+
+
+def plain_content(page):
+    """content_nodes straight from the formula: every subtree walked anew."""
+    kids = {i: [] for i in range(len(page.name))}
+    for i, p in enumerate(page.parent[1:], 1):
+        kids[p].append(i)
+
+    def below(i):
+        return [i, *(x for k in kids[i] for x in below(k))]
+
+    own_c, own_lc = list(page.chars), list(page.link_chars)
+
+    def counts(i):
+        nodes = below(i)
+        return (sum(own_c[k] for k in nodes), len(nodes) - 1, sum(own_lc[k] for k in nodes), sum(page.name[k] == "a" for k in nodes[1:]))
+
+    body = page.name.index("body") if "body" in page.name else 0
+    cb, _, lcb, _ = counts(body)
+
+    def value(i):
+        c, t, lc, lt = counts(i)
+        if not c:
+            return 0.0
+        t1, lc1, lt1, plain = max(t, 1), max(lc, 1), max(lt, 1), max(c - lc, 1)
+        base = math.log(math.log(c / plain * lc + lcb / max(cb, 1) * c + math.e))
+        ratio = c / lc1 * t1 / lt1
+        return c / t1 * math.log(max(ratio, 1.0)) / max(base, 1e-3) if base > 1e-3 else c / t1 * math.log(max(ratio, math.e))
+
+    everything = below(0)
+    if not counts(0)[0]:
+        return set()
+    total = {i: sum(value(k) for k in kids[i]) for i in everything}
+
+    def best(i):
+        # the largest sum, of equal ones the node itself, else that which comes first in the page
+        return max(below(i), key=lambda k: (total[k], k == i, -k))
+
+    path, at = [best(0)], best(0)
+    while at > 0:
+        at = page.parent[at]
+        path.append(at)
+    least = min(value(i) for i in path)
+    return {best(i) for i in everything if counts(i)[0] and value(i) >= least}
+
+
+def test_densities_against_the_formula():
+    rng = random.Random(8)
+    parts = ["<div>", "</div>", "<p>", "</p>", "<a href=x>", "</a>", "<section>", "</section>", "<ul><li>", "</ul>", "some words of text. " * 3, "short ", "<b>bold</b>"]
+    for _ in range(300):
+        source = "<body>" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 40)))
+        assert content_nodes(Page(source)) == plain_content(Page(source)), source
