@@ -40,6 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ CACHE_CHARS = 8_000_000
 SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 WORDS_AT_ONCE = 256
+#: Bytes of texts cut into words at once (one text at least): the more, the fewer words are met again in another round.
+TEXT_BYTES = 8 << 20
 
 Bins = list[tuple[tuple[int, ...], int]]  # (piece lengths, multiplicity)
 
@@ -94,19 +97,32 @@ class WordIds:
         if self.held > CACHE_CHARS:
             self.known, self.held = {}, 0
         # only these four are cut at: any other white space stays inside a word, for the tokenizer to see
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set().union(*cut) - self.known.keys()
+        flat = pa.array([t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.large_string())
+        cut = pc.split_pattern(flat, " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = self.known
+        new = [w for w in distinct if w not in known]
         # letters and the signs after them are split anyway: both are looked up on their own
         parted = {w: (base, w[len(base):]) for w in new
                   if (base := w.rstrip(SIGNS)) and base != w and base.isalpha() and (base[-1].isascii() or self._parts(base[-1]))}
-        whole = ((new - parted.keys()) | {p for pair in parted.values() for p in pair}) - self.known.keys()
+        whole = {w for w in new if w not in parted} | {p for pair in parted.values() for p in pair if p not in known}
         self._learn_plain([w for w in whole if w.isalpha()])
         self._learn_each([w for w in whole if not w.isalpha()])
-        known = self.known
         for w, (base, signs) in parted.items():
             known[w] = known[base] + known[signs]
         self.held += sum(map(len, new))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        # the ids of the distinct words in a row, and from there those of all words of all texts
+        packed = [known[w] for w in distinct]
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        size = np.array([len(p) // 4 for p in packed], np.int64)
+        begin = np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        width = size[word]
+        past = np.cumsum(width)
+        all_ids = ids[np.repeat(begin[word] - (past - width), width) + np.arange(past[-1] if len(past) else 0)]
+        ends = np.concatenate([[0], past])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [all_ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _learn_each(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -133,12 +149,23 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], column: int, most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, at most ``most`` bytes of a text column (or one row) at a time."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
            cap: int = CAP) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 and a salt for ``ranked``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, n = word_ids(tokenizer_path), 0
-        for b in slices(batches):
+        for b in by_size(batches, 1):
             rows: list[tuple] = []
             ids = encode([t or "" for t in b.column(1).to_pylist()])
             for doc, buf in zip(b.column(0).to_pylist(), ids):
