@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from ..functions import overlay as ov
 from ..functions.overlay_arrow import pair_overlay_col
 from ..functions.geometry import SHAPE_COLUMNS
+from ..session import scratch_path
 
 _TINY = 1e-9
 
@@ -357,6 +358,13 @@ def pair_overlay_batched(pairs: DataFrame, carry: list[str]) -> DataFrame:
 # hot cells. "exploded": edge pairs stream through one code-generated stage
 # and one row per pair is shuffled for the final sum; its aggregate keeps the
 # join's partitioning, which stops AQE from splitting a hot cell.
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number per row that stays the same however often it is read: numbered, written once and read back."""
+    path = scratch_path(df.sparkSession, "numbered")
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.schema(df.withColumn(name, F.lit(0).cast("long")).schema).parquet(path)
+
+
 PAIR_KERNELS = {"batched": pair_overlay_batched, "exploded": pair_overlay}
 DEFAULT_KERNEL = "batched"
 
@@ -378,9 +386,9 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     sides (clashing names get ``suffixes``) and, with ``with_area``, the exact
     ``inter_area`` of each pair of rows. Ids need be neither unique nor
     present: every pair of rows that meets is one output row. ``how="left"``
-    keeps unmatched left rows with a null right side; it numbers the left rows,
-    so ``left`` must give its rows in the same order each time it is read (a
-    scan or a written table does). ``max_edges`` cuts shapes with more edges
+    keeps unmatched left rows with a null right side; for that the left rows are
+    numbered and written to the shared folder, and both the join and the rows kept read
+    the written numbers, so ``left`` may come from a shuffle or be computed anew by a retried task. ``max_edges`` cuts shapes with more edges
     into pieces (:func:`canopy.operators.subdivide.subdivide`) before the join.
     """
     if predicate not in _PREDICATES:
@@ -394,7 +402,7 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_id: str, right_id: s
     lkeep = [] if how == "left" else lcols
     carry_l, carry_r = list(lkeep), list(rcols)
     if how == "left" or max_edges:
-        left = left.withColumn("_lrow", F.monotonically_increasing_id())
+        left = _numbered(left, "_lrow") if how == "left" else left.withColumn("_lrow", F.monotonically_increasing_id())
         carry_l.append("_lrow")
     base = left
     if max_edges:

@@ -20,7 +20,7 @@ from ..functions.scalars import replace_values, size_band, table_name
 from ..functions import projection as P
 from ..functions.wkb import rings_from_wkb, wkb_from_rings
 from ..functions.geometry import with_shape
-from ..operators.relational import value_counts
+from ..operators.relational import unique_values, value_counts
 from ..operators.spatial_join import grid_layout, spatial_join
 from . import alerts as qa
 from . import quality as qq
@@ -401,5 +401,6 @@ QUERIES: dict[str, Query] = {
     "D11": _d11,
     "U01": lambda s, sf: _stacked(s, sf).select("id", "Import_bio"),
     "D05": lambda s, sf: replace_values(_stacked(s, sf), "Import_bio").select("id", "Import_bio"),
+    "A07": lambda s, sf: unique_values(replace_values(_stacked(s, sf), "Import_bio"), "Import_bio"),
     "A06": lambda s, sf: value_counts(replace_values(_stacked(s, sf), "Import_bio"), "Import_bio"),
 }

@@ -214,3 +214,20 @@ def test_stacked_layers_share_one_crs(spark):
     with pytest.raises(Exception, match="srid"):
         concat_layers([a, b], [5880, 5880]).collect()
     assert concat_layers([a, a], [5880, 5880]).count() == 2
+
+
+def test_left_join_of_a_side_that_is_not_repeatable(spark):
+    """Left rows that come out of a shuffle in another order each time keep their own partners."""
+    rng = random.Random(12)
+    a = [(i % 7, [(x, y) for x, y in ((rng.randint(0, 60), rng.randint(0, 60)),)][0]) for i in range(80)]
+    b = [(i, (rng.randint(0, 60), rng.randint(0, 60))) for i in range(40)]
+    left = layer(spark, [(i, poly(rect(*p, 6, 6))) for i, p in a]).withColumnRenamed("id", "a")
+    right = layer(spark, [(i, poly(rect(*p, 4, 4))) for i, p in b]).withColumnRenamed("id", "b")
+    # another order and other places each time the plan runs
+    left = left.orderBy(F.rand()).repartition(5, F.rand())
+    got = spatial_join(left, right, left_id="a", right_id="b", how="left", left_cols=["x0", "y0"], right_cols=[], with_area=False)
+    want = []
+    for i, (x, y) in a:
+        hits = [j for j, (u, v) in b if u <= x + 6 and x <= u + 4 and v <= y + 6 and y <= v + 4]
+        want += [(i, x, y, j) for j in hits or [None]]
+    assert sorted(map(repr, ((r.a, int(r.x0), int(r.y0), r.b) for r in got.collect()))) == sorted(map(repr, want))
