@@ -18,15 +18,18 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.wkb import geom_type
-from .geopackage import GeoPackageDataSource, list_layers
-from .shapefile import ShapefileDataSource
+from .geopackage import GeoPackageDataSource, layer_info, list_layers
+from .shapefile import ShapefileDataSource, _sidecar, srid_from_prj
 
 GEO_SIDE_FILE = "_geo.json"
+#: Layers converted at the same time.
+LAYERS_AT_ONCE = 8
 
 
 def register_sources(spark: SparkSession) -> None:
@@ -78,13 +81,29 @@ def convert_to_parquet(spark: SparkSession, source_dir: str, output_dir: str) ->
     dup = sorted({n for n in names if names.count(n) > 1})
     if dup:
         raise ValueError(f"two inputs would write the same layer: {dup}")
-    for name, path, layer in layers:
-        df = read_source(spark, path, layer)
-        srid = df.select("srid").where(F.col("srid").isNotNull()).limit(1).collect()
-        write_layer(df, os.path.join(output_dir, f"{name}.parquet"), srid[0][0] if srid else None)
+    register_sources(spark)
+
+    def convert(found: tuple[str, str, str | None]) -> None:
+        name, path, layer = found
+        write_layer(read_source(spark, path, layer), os.path.join(output_dir, f"{name}.parquet"), source_srid(path, layer))
+
+    # the layers' schemas differ, so each is a scan and a write of its own; several run at a time
+    with ThreadPoolExecutor(LAYERS_AT_ONCE) as pool:
+        list(pool.map(convert, layers))
     return names
 
 
+def source_srid(path: str, layer: str | None) -> int | None:
+    """The CRS that a source file's header names."""
+    if layer is not None:
+        return layer_info(path, layer)[1]
+    prj = _sidecar(path, ".prj")
+    if not prj:
+        return None
+    with open(prj, encoding="latin-1") as f:
+        return srid_from_prj(f.read())
+
+
 def _is_local(path: str) -> bool:
     return path.startswith("/") or path.startswith("file:")
 
