@@ -13,7 +13,7 @@ work planned by Catalyst; Python runs only as small Arrow-batched helpers
 (WKB codec, geometry repair).
 """
 
-__all__ = ["functions", "operators", "plans", "sources", "streaming"]
+__all__ = ["functions", "operators", "plans", "sources"]
 
 import sys as _sys
 
