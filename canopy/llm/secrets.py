@@ -23,10 +23,16 @@ drawn independently and uniformly from that alphabet, three tests are made:
 
 The smallest of the three two-sided p-values, times three, is the candidate's.
 
+Against some thirty letters chi-squared has little power, and ordinary names of several words would pass for random. So the parts of runs that
+fit no encoding are also tested for what words of a language show and random letters don't: more vowels (a binomial count), and more changes
+between vowels and other characters within the words between separators (a runs test with vowels as the one kind). Both are one-sided, of exact mean and
+variance under the same hypothesis. Their smaller p-value times two gets 0.8 of the weight, the three tests together the rest (a weighted
+Bonferroni bound, so the p-value stays one).
+
 **Length-aware false-discovery control.** "Not random" is the discovery that
 clears a candidate, so a false discovery is a missed secret. Benjamini and Hochberg's
 step-up is made separately for every encoding and length class (doubling),
-since power grows with length: of the candidates cleared in a class, a share of at most ``q`` is expected to be
+since power grows with length: of the candidates cleared in a class, a share of at most ``q`` (``parts_q`` of parts) is expected to be
 random. What is not cleared is reported as ``random``. P-values are rounded up to
 a grid of 20 steps a decade, which keeps the bound and makes the step-up a
 count over a table of fixed size; all candidates of the table take part.
@@ -87,7 +93,11 @@ PART_ENCODINGS = [
     ("UPPER, separators", r"^[0-9A-Z+/_-]+$", DIGITS + UPPER + "+/-_"),
     ("separators", r"^", UPPER + LOWER + DIGITS + "+/-_"),
 ]
-Q = 0.05
+SEPARATORS, VOWELS = "+/-_", "aeiouAEIOU"
+#: Share of the weight that the tests for words get among the tests of a part.
+WORDS_WEIGHT = 0.8
+#: Share of the cleared that may be random: of whole runs, and of parts, which most ordinary names are.
+Q, PARTS_Q = 0.05, 0.1
 STEPS, LAST_STEP = 20, 600
 MASK = "[SECRET]"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -128,6 +138,9 @@ def _tested(found: Column) -> Column:
                                                  F.regexp_replace(x["value"], "=+$", "").alias("body")))
     known = F.array(*[F.lit(a) for _, _, a in ENCODINGS + PART_ENCODINGS])
     least = PATTERNS["random"][2]
+    # of the encodings of parts: how likely a letter or digit is a vowel; 0 where words are not tested for
+    plain = ["".join(c for c in a if c not in SEPARATORS) for _, _, a in PART_ENCODINGS]
+    vowel_share = F.array(*[F.lit(0.0)] * len(ENCODINGS), *[F.lit(sum(c in VOWELS for c in a) / len(a)) for a in plain])
 
     def encoding(text: Column, encodings: list, first: int) -> Column:
         e = F.lit(None).cast("int")
@@ -135,21 +148,29 @@ def _tested(found: Column) -> Column:
             e = F.when(text.rlike(encodings[i][1]), first + i).otherwise(e)
         return e
 
-    def unit(x: Column, text: Column, enc: Column) -> Column:
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), text.alias("body"), enc.alias("enc"))
+    def unit(x: Column, text: Column, enc: Column, whole: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), text.alias("body"), enc.alias("enc"), whole.alias("whole"))
 
     def units(x: Column) -> Column:
         enc = encoding(x["body"], ENCODINGS, 0)
         joined = F.regexp_replace(x["body"], "[+/_-]", "")
         long = F.filter(F.split(x["body"], "[+/_-]", -1), lambda p: F.length(p) >= least)
-        parts = F.array_distinct(F.concat(long, F.array(F.when(F.length(joined) >= least, joined).otherwise(x["body"]))))
-        return F.when(enc.isNotNull(), F.array(unit(x, x["body"], enc))).otherwise(
-            F.transform(parts, lambda p: unit(x, p, encoding(p, PART_ENCODINGS, len(ENCODINGS)))))
+        rest = F.when(F.length(joined) >= least, joined).otherwise(x["body"])
+        # a part is a word of its own; what is left without separators keeps its words for the tests of words
+        parts = F.array_distinct(F.concat(F.transform(F.filter(long, lambda p: p != rest), lambda p: F.struct(p.alias("text"), p.alias("whole"))),
+                                          F.array(F.struct(rest.alias("text"), x["body"].alias("whole")))))
+        return F.when(enc.isNotNull(), F.array(unit(x, x["body"], enc, F.lit("")))).otherwise(
+            F.transform(parts, lambda p: unit(x, p["text"], encoding(p["text"], PART_ENCODINGS, len(ENCODINGS)), p["whole"])))
 
     def values(x: Column) -> Column:
         letters = F.filter(F.split(x["body"], "", -1), lambda c: c != "")
         alphabet = F.element_at(known, x["enc"] + 1)
+        words = F.filter(F.split(x["whole"], f"[{SEPARATORS[:2]}_-]", -1), lambda w: w != "")
+        runs = F.aggregate(words, F.lit(0), lambda s, w: s + F.regexp_count(w, F.lit(f"[{VOWELS}]+|[^{VOWELS}]+")) - 1)
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["enc"].alias("enc"),
+                        F.regexp_count(x["whole"], F.lit(f"[{VOWELS}]")).cast("double").alias("vowels"), runs.cast("double").alias("turns"),
+                        F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)).cast("double").alias("letters"),
+                        F.size(words).cast("double").alias("words"), F.size(F.filter(words, lambda w: F.length(w) == 1)).cast("double").alias("ones"),
                         F.length(alphabet).cast("double").alias("a"), F.length(x["body"]).alias("n"),
                         F.transform(letters, lambda c: (F.instr(alphabet, c) - 1).cast("double")).alias("xs"))
 
@@ -164,7 +185,15 @@ def _tested(found: Column) -> Column:
         mean = (a - 1) / 2
         cross = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["l"] - mean) * (p["r"] - mean))
         serial = cross / ((a * a - 1) / 12) / F.sqrt(n - 1)
-        p = F.least(F.lit(1.0), 3 * F.least(_tail(chi), _tail(runs), _tail(serial)))
+        three = 3 * F.least(_tail(chi), _tail(runs), _tail(serial))
+        v = F.element_at(vowel_share, x["enc"] + 1)
+        vq, inner = v * (1 - v), x["letters"] - x["words"]
+        more = (x["vowels"] - x["letters"] * v) / F.sqrt(F.greatest(x["letters"] * vq, F.lit(1e-9)))
+        # changes of neighbours, and those that share a character
+        spread = inner * 2 * vq * (1 - 2 * vq) + 2 * (inner - x["words"] + x["ones"]) * (vq - 4 * vq * vq)
+        turns = (x["turns"] - inner * 2 * vq) / F.sqrt(F.greatest(spread, F.lit(1.0)))
+        upper = (lambda z: F.when(z > 0, _tail(z) / 2).otherwise(F.lit(1.0)))
+        p = F.least(F.lit(1.0), F.when(v > 0, F.least(2 * F.least(upper(more), upper(turns)) / WORDS_WEIGHT, three / (1 - WORDS_WEIGHT))).otherwise(three))
         step = F.least(F.lit(LAST_STEP), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * STEPS).cast("int"))
         size = F.floor(F.log2(n)).cast("int")
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), (x["enc"] * 64 + size).alias("class"), step.alias("step"))
@@ -185,7 +214,7 @@ def scanned(df: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("_tested", _tested(F.col("_found"))).drop("_text", "_found"))
 
 
-def least_steps(tested: DataFrame, q: float = Q) -> dict[int, int]:
+def least_steps(tested: DataFrame, q: float = Q, parts_q: float = PARTS_Q) -> dict[int, int]:
     """class -> least p-value step at which a candidate is cleared (classes in which none is are absent).
 
     The counts have at most 21 encodings x 64 lengths x 601 steps, the result one row a class.
@@ -194,7 +223,8 @@ def least_steps(tested: DataFrame, q: float = Q) -> dict[int, int]:
               .agg(F.count("*").alias("n")))
     per = W.partitionBy("class")
     ranks = counts.select("class", "step", F.sum("n").over(per.orderBy(F.desc("step"))).alias("rank"), F.sum("n").over(per).alias("m"))
-    cleared = ranks.where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= q * F.col("rank") / F.col("m"))
+    share = F.when(F.col("class") < len(ENCODINGS) * 64, q).otherwise(parts_q)
+    cleared = ranks.where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= share * F.col("rank") / F.col("m"))
     return {r["class"]: r.least for r in cleared.groupBy("class").agg(F.min("step").alias("least")).collect()}
 
 
