@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import overlay as ov
-from ..functions.overlay_arrow import boundary_dist2_col, pair_overlay_col
-from .spatial_join import candidate_pairs, plan_grid
+from .block_join import near_pairs
+from .spatial_join import plan_grid
 
 
 def within_distance_join(left: DataFrame, right: DataFrame, distance: float, *, left_id: str, right_id: str,
@@ -26,15 +25,7 @@ def within_distance_join(left: DataFrame, right: DataFrame, distance: float, *,
     lcols = list(left_cols or [])
     rcols = list(right_cols or [])
     plan = plan_grid(grown, right, cell_size, lcols, rcols)
-    pairs = candidate_pairs(grown, right, left_id, right_id, lcols, rcols, plan)
-    yb = F.least(F.col("l_y0") + d, F.col("r_y0"))
-    o = pair_overlay_col(F.col("l_edges"), F.col("r_edges"), yb)
-    pairs = pairs.select("l_id", "r_id", "l_area", "r_area", *[f"l_c_{c}" for c in lcols],
-                         *[f"r_c_{c}" for c in rcols], o.alias("_o"),
-                         boundary_dist2_col(F.col("l_edges"), F.col("r_edges")).alias("_d2"))
-    hit = ov.intersects(F.col("_o.edge_contact"), F.col("_o.inter_area"), F.col("l_area"), F.col("r_area"))
-    dist = F.when(hit, F.lit(0.0)).otherwise(F.sqrt("_d2"))
-    pairs = pairs.withColumn("distance", dist).where(hit | (F.col("_d2") <= d * d))
+    pairs = near_pairs(grown, right, left_id, right_id, lcols, rcols, plan, d)
     return pairs.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id),
                         *[F.col(f"l_c_{c}").alias(c) for c in lcols],
                         *[F.col(f"r_c_{c}").alias(c) for c in rcols], "distance")

@@ -19,10 +19,10 @@ AREA_KM2 = "area_desmatada_km2"
 
 
 def _alert_parcel_pairs(alerts: DataFrame, parcels: DataFrame, alert_cols: list[str]) -> DataFrame:
-    """J01 alerts x parcels: one row per intersecting pair with its exact area."""
+    """J01 alerts x parcels: the exact areas of intersecting pairs, summed per task by class and ``alert_cols``."""
     return spatial_join(alerts, parcels.withColumnRenamed("id", "parcel_id"),
-                        left_id="id", right_id="parcel_id",
-                        left_cols=alert_cols, right_cols=["desc_subclass"])
+                        left_id="id", right_id="parcel_id", kernel="blocks",
+                        left_cols=alert_cols, right_cols=["desc_subclass"], totals_by=["desc_subclass", *alert_cols])
 
 
 def area_by_subclass(alerts: DataFrame, parcels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import hectares, km2
 from ..functions.scalars import size_band
 from ..operators.relational import asc_pg, desc_pg
-from ..operators.spatial_join import plan_grid, spatial_join
+from ..operators.spatial_join import pair_count, plan_grid, spatial_join
 from .layers import CAR_LABEL, FEIJO
 
 AREA = "area_total_desmatada"
@@ -16,9 +16,10 @@ AREA = "area_total_desmatada"
 
 def by_subclass(prodes: DataFrame, parcels: DataFrame, ordered: bool = True) -> DataFrame:
     """Q08: per land tenure class, number of (polygon, parcel) pairs and area km2, smallest first."""
-    pairs = spatial_join(prodes, parcels.withColumnRenamed("id", "parcel_id"),
-                         left_id="id", right_id="parcel_id", left_cols=[], right_cols=["desc_subclass"])
-    out = pairs.groupBy("desc_subclass").agg(F.count("id").alias("num_eventos_desmatamento"),
+    pairs = spatial_join(prodes.withColumn("_named", F.col("id").isNotNull()), parcels.withColumnRenamed("id", "parcel_id"),
+                         left_id="id", right_id="parcel_id", left_cols=["_named"], right_cols=["desc_subclass"],
+                         kernel="blocks", totals_by=["desc_subclass", "_named"])
+    out = pairs.groupBy("desc_subclass").agg(pair_count("_named").alias("num_eventos_desmatamento"),
                                              km2(F.sum("inter_area")).alias(AREA),
                                              F.sum("inter_area").alias("_m2"))
     return out.drop("_m2").orderBy(asc_pg(AREA)) if ordered else out
@@ -56,7 +57,7 @@ def car_in_municipality(prodes: DataFrame, municipalities: DataFrame, parcels: D
     """
     muni = municipalities.where(F.col("NM_MUN") == name).withColumnRenamed("id", "mun_id")
     hits = spatial_join(prodes, muni, left_id="id", right_id="mun_id", left_cols=[], right_cols=[],
-                        with_area=False)
+                        with_area=False, kernel="blocks")
     weights = hits.groupBy("id").agg(F.count("*").alias("_n_mun"))
     d = prodes.join(weights, "id")
     car = parcels.where(F.col("desc_subclass") == subclass).withColumnRenamed("id", "id_malha")
@@ -65,7 +66,7 @@ def car_in_municipality(prodes: DataFrame, municipalities: DataFrame, parcels: D
     # them, and it avoids running the first join again just for statistics.
     plan = plan_grid(prodes, car)
     pairs = spatial_join(d, car, left_id="id", right_id="id_malha", left_cols=["_n_mun"], right_cols=rcols,
-                         plan=plan)
+                         plan=plan, kernel="blocks")
     keys = ["id_malha"] + ([F.col(geom).alias("geom_malha")] if geom else [])
     out = (pairs.groupBy(*keys)
            .agg(hectares(F.sum(F.col("inter_area") * F.col("_n_mun"))).alias("area_desmatada_ha")))
