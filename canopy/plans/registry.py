@@ -159,9 +159,9 @@ def _s01(spark, sf):
 def _read_files(spark, folder):
     from functools import reduce
 
-    from ..sources.layers_io import find_layers, read_source
+    from ..sources.layers_io import find_layers, read_sources
     from ..sources.writers import local_path
-    layers = [read_source(spark, path, name) for _n, path, name in find_layers(local_path(folder))]
+    layers = read_sources(spark, find_layers(local_path(folder)))
     read = reduce(DataFrame.unionByName, layers).withColumn("rings", rings_from_wkb("geometry"))
     return read.select(*[c for c in ("id", "ID") if c in read.columns][:1], "desc_subclass" if "desc_subclass" in read.columns else "desc_subcl",
                        "source", "srid", "_layer", area(F.col("rings")).alias("area")).toDF("id", "desc_subclass", "source", "srid", "layer", "area")
@@ -183,15 +183,13 @@ def _s03(spark, sf):
 
 def _s04(spark, sf):
     """Every layer under a folder as Parquet, then read by name; rows and CRS of each."""
-    from functools import reduce
-
-    from ..sources.layers_io import convert_to_parquet, read_layer
+    from ..sources.layers_io import convert_to_parquet, read_layers
     from ..sources.writers import local_path
     folder, out = scratch_path(spark, "gpkg"), scratch_path(spark, "layers")
     _parcel_files(spark, sf, folder, "gpkg")
     names = convert_to_parquet(spark, local_path(folder), local_path(out))
-    layers = [read_layer(spark, f"{local_path(out)}/{n}.parquet").select(F.lit(n).alias("layer"), "srid") for n in names]
-    return reduce(DataFrame.unionByName, layers).groupBy("layer", "srid").agg(F.count("*").alias("rows"))
+    layers = read_layers(spark, [f"{local_path(out)}/{n}.parquet" for n in names]).withColumnRenamed("_layer", "layer")
+    return layers.groupBy("layer", "srid").agg(F.count("*").alias("rows"))
 
 
 def _s05(spark, sf):

@@ -18,14 +18,18 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.wkb import geom_type
-from .geopackage import GeoPackageDataSource, layer_info, list_layers
-from .shapefile import ShapefileDataSource, _sidecar, srid_from_prj
+from .geopackage import GeoPackageDataSource, _Rows, layer_info, list_layers
+from .shapefile import ShapefileDataSource, _Range, _sidecar, srid_from_prj
 
 GEO_SIDE_FILE = "_geo.json"
 #: Layers converted at the same time.
@@ -62,6 +66,53 @@ def read_source(spark: SparkSession, path: str, layer: str | None = None) -> Dat
         spark.read.format("gpkg").load(path)
 
 
+def _source(path: str, layer: str | None):
+    options = {"path": path} if layer is None else {"path": path, "layer": layer}
+    return (ShapefileDataSource if path.endswith(".shp") else GeoPackageDataSource)(options)
+
+
+def read_sources(spark: SparkSession, found: list[tuple[str, str, str | None]]) -> list[DataFrame]:
+    """The layers that :func:`find_layers` names, as one DataFrame for each schema among them.
+
+    Tasks read the files' headers and deal out their record ranges, so neither the plan nor what reaches the driver (the
+    distinct schemas) grows with the number of files. The folder must be one that executors share as a mount.
+    """
+    tasks = max(1, min(len(found), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    files = spark.createDataFrame(found, "name string, path string, layer string").repartition(tasks)
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for path, layer in zip(files["path"], files["layer"]):
+                source = _source(path, layer)
+                schema = source.schema()
+                parts = [(p.lo, p.hi) if isinstance(p, _Rows) else (p.start, p.stop) for p in source.reader(schema).partitions()]
+                yield pd.DataFrame({"path": path, "layer": layer, "schema": schema.json(), "first": [p[0] for p in parts], "last": [p[1] for p in parts]})
+
+    dealt = files.mapInPandas(ranges, "path string, layer string, schema string, first long, last long")
+
+    def reader(schema: T.StructType):
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    source = _source(r["path"], r["layer"])
+                    part = _Range(r["path"], r["first"], r["last"]) if r["layer"] is None else _Rows(r["first"], r["last"])
+                    yield from source.reader(schema).read(part)
+        return read
+
+    kinds = sorted(r[0] for r in dealt.select("schema").distinct().collect())
+    out = []
+    for kind in kinds:
+        schema = T.StructType.fromJson(json.loads(kind))
+        mine = dealt.where(F.col("schema") == kind).select("path", "layer", "first", "last").repartition(tasks, "path", "first")
+        out.append(mine.mapInArrow(reader(schema), schema))
+    return out
+
+
+def read_layers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Name and CRS of every row of layers written by :func:`convert_to_parquet`, in one scan whatever their other columns."""
+    return spark.read.schema("_layer string, srid int").parquet(*paths)
+
+
 def write_layer(df: DataFrame, path: str, srid: int | None = None, geometry: str = "geometry") -> None:
     """Write a layer as Parquet (overwrite) with its CRS side file."""
     if srid is not None and "srid" not in df.columns:
