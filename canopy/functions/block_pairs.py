@@ -14,12 +14,14 @@ The sums are those of :mod:`canopy.functions.overlay_arrow`, term by term.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
 from .overlay import AREA_EPS
 from .overlay_arrow import _edges, _pair_chunks, edge_dist2, edge_sums
+from .stairs import Stairs, partners
 
 #: Non-vertical edges up to which a shape is read from slot tables.
 SLOTS = 8
@@ -29,6 +31,8 @@ TESTS_AT_ONCE, PAIRS_OUT, AREAS_AT_ONCE = 1 << 22, 1 << 20, 1 << 14
 EDGES_AT_ONCE = 1 << 19
 #: Units with fewer box tests than this are put together.
 SMALL_UNIT = 1 << 12
+#: Partners are summed without their pairs where a unit has so many pairs of stairs, and so many for each row that sorting reads.
+CROWDED, WORTH = 1 << 18, 64
 
 
 class Shapes:
@@ -66,6 +70,10 @@ class Shapes:
         self.flat = np.ones(len(self.n), bool)
         self.flat[row[self.slope[slot, row] != 0]] = False
 
+    @cached_property
+    def stairs(self) -> Stairs:
+        return Stairs(self)
+
     def edges_of(self, rows: np.ndarray):
         """(count per row, coordinates) of all edges of the given rows."""
         n = self.n[rows]
@@ -235,16 +243,50 @@ def small_units_pairs(a: Shapes, b: Shapes, l0: np.ndarray, nl: np.ndarray, r0:
         yield i[keep], j[keep]
 
 
-def candidates(a: Shapes, b: Shapes, l0, nl, r0, nr, x, y) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a batch of units, about ``PAIRS_OUT`` at a time."""
+def crowded(a: Shapes, b: Shapes, l0, nl, r0, nr, left_code: np.ndarray, right_code: np.ndarray, least: int = CROWDED) -> np.ndarray:
+    """The units whose pairs of stairs need not be gone through to sum them by the codes of either side: 0 no, 1 from the left, 2 from the right."""
+    out = np.zeros(len(l0), np.int8)
+    for u in np.flatnonzero(nl * nr >= least):
+        l, r = a.stairs.ok[l0[u]:l0[u] + nl[u]], b.stairs.ok[r0[u]:r0[u] + nr[u]]
+        n, m = int(l.sum()), int(r.sum())
+        gl, gr = (len(np.unique(c)) for c in (left_code[l0[u]:l0[u] + nl[u]][l], right_code[r0[u]:r0[u] + nr[u]][r]))
+        cost = [n + gl * m, m + gr * n]
+        if n * m >= least and (min(cost) * WORTH <= n * m or least < CROWDED):
+            out[u] = 1 + (cost[1] < cost[0])
+    return out
+
+
+def crowd_totals(a: Shapes, b: Shapes, left: np.ndarray, right: np.ndarray, left_code: np.ndarray, right_code: np.ndarray,
+                 x: float, y: float, way: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(left code, right code, number of pairs, area) of a unit's pairs of stairs; codes come repeatedly."""
+    left, right = left[a.stairs.ok[left]], right[b.stairs.ok[right]]
+    # a pair belongs to the cell's level if one of its shapes does
+    for l, r in ((left[a.own[left]], right), (left[~a.own[left]], right[b.own[right]])):
+        if not len(l) or not len(r):
+            continue
+        of, to, c, d = (a, b, left_code[l], right_code[r]) if way == 1 else (b, a, right_code[r], left_code[l])
+        value, group = np.unique(c, return_inverse=True)
+        n, area = partners(of, to, *((l, r) if way == 1 else (r, l)), group, len(value), x, y)
+        g, t = np.nonzero(n)
+        yield (value[g], d[t], n[g, t], area[g, t]) if way == 1 else (d[t], value[g], n[g, t], area[g, t])
+
+
+def candidates(a: Shapes, b: Shapes, l0, nl, r0, nr, x, y, crowd: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of a batch of units, about ``PAIRS_OUT`` at a time; of units in ``crowd`` only pairs that are not two stairs."""
     held, size = [], 0
-    small = nl * nr < SMALL_UNIT
+    crowd = np.zeros(len(l0), bool) if crowd is None else crowd != 0
+    small = (nl * nr < SMALL_UNIT) & ~crowd
 
     def all_pairs():
         if small.any():
             yield from small_units_pairs(a, b, l0[small], nl[small], r0[small], nr[small], x[small], y[small])
         for u in np.flatnonzero(~small):
-            yield from unit_pairs(a, b, np.arange(l0[u], l0[u] + nl[u]), np.arange(r0[u], r0[u] + nr[u]), x[u], y[u])
+            left, right = np.arange(l0[u], l0[u] + nl[u]), np.arange(r0[u], r0[u] + nr[u])
+            if crowd[u]:
+                stair = a.stairs.ok[left]
+                yield from unit_pairs(a, b, left[~stair], right, x[u], y[u])
+                left, right = left[stair], right[~b.stairs.ok[right]]
+            yield from unit_pairs(a, b, left, right, x[u], y[u])
     for i, j in all_pairs():
         held.append((i, j))
         size += len(i)

@@ -29,6 +29,8 @@ from ..functions import block_pairs as bp
 
 #: Rows of one side of a cell that one unit holds, about.
 BLOCK_ROWS = 16_384
+#: Pairs of stairs from which a unit's pairs may be summed without going through them.
+CROWDED = bp.CROWDED
 #: Cell rows of one task, about, while there are fewer tasks than the session has shuffle partitions.
 TASK_ROWS = 10_000
 _UNIT = ["lvl", "cx", "cy", "lb", "rb"]
@@ -152,6 +154,39 @@ def _each(finish: Callable, cell: float, predicate: str, least: float | None = N
     return run
 
 
+def _sums(finish: Callable, codes: Callable, cell: float, predicate: str, least: float | None = None):
+    """The function for mapInArrow where pairs are only summed by the sides' codes (``codes(rows left, rows right)``).
+
+    ``finish(rows left, rows right, batches of (left code, right code, number or None for 1 each, area))`` yields what leaves the task. Of
+    crowded units the pairs of stairs are summed without going through them (:mod:`canopy.functions.stairs`), unless each pair's area is asked about.
+    """
+    crowded = CROWDED if predicate == "intersects" and least is None else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begin in _whole_units(batches):
+            lt, rt, units = _sides(rows, begin, cell)
+            if not lt.num_rows:
+                continue
+            a, b = bp.Shapes(lt), bp.Shapes(rt)
+            lk, rk = codes(lt, rt)
+            crowd = None if crowded is None else bp.crowded(a, b, *units[:4], lk, rk, crowded)
+
+            def found():
+                for i, j in bp.candidates(a, b, *units, crowd):
+                    i, j, area, _contact = bp.hits(a, b, i, j, predicate, least)
+                    if len(i):
+                        yield lk[i], rk[j], None, area
+                if crowd is None or not crowd.any():
+                    return
+                l0, nl, r0, nr, x, y = units
+                got = [t for u in np.flatnonzero(crowd)
+                       for t in bp.crowd_totals(a, b, np.arange(l0[u], l0[u] + nl[u]), np.arange(r0[u], r0[u] + nr[u]), lk, rk, x[u], y[u], crowd[u])]
+                if sum(len(t[0]) for t in got):
+                    yield tuple(np.concatenate(v) for v in zip(*got))
+            yield from finish(lt, rt, found())
+    return run
+
+
 def _fields(df: DataFrame, side: str) -> list[T.StructField]:
     return df.schema[side].dataType.fields
 
@@ -184,13 +219,14 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 def matched_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, row: str, plan, predicate: str) -> DataFrame:
     """The numbers ``row`` of left rows with a partner, once per unit that has one."""
     units = _units(left, right, left_id, right_id, [row], [], plan)
+    codes = (lambda lt, rt: (np.arange(lt.num_rows), np.zeros(rt.num_rows, np.int64)))
 
-    def finish(lt, rt, a, b, found):
+    def finish(lt, rt, found):
         seen = np.zeros(lt.num_rows, bool)
-        for i, *_rest in found:
-            seen[i] = True
+        for i, _j, n, _area in found:
+            seen[i if n is None else i[n > 0]] = True
         yield pa.RecordBatch.from_arrays([_struct(lt, "l").field(f"l_c_{row}").take(pa.array(np.flatnonzero(seen)))], [row])
-    return units.mapInArrow(_each(finish, plan.cell, predicate), T.StructType([T.StructField(row, T.LongType())]))
+    return units.mapInArrow(_sums(finish, codes, plan.cell, predicate), T.StructType([T.StructField(row, T.LongType())]))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keep: list[str], right_keep: list[str], plan,
@@ -228,18 +264,25 @@ def block_totals(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                           + [T.StructField("n_pairs", T.LongType()), T.StructField("inter_area", T.DoubleType())])
     names = schema.names
 
-    def finish(lt, rt, a, b, found):
-        lc, rc = ([_struct(t, s).field(c) for c in by] for t, s, by in ((lt, "l", by_left), (rt, "r", by_right)))
-        (lk, lf), (rk, rf) = _codes(lc, lt.num_rows), _codes(rc, rt.num_rows)
-        for i, j, area, _contact in found:
-            code = lk[i] * len(rf) + rk[j]
+    def columns(lt, rt):
+        return ([_struct(t, s).field(c) for c in by] for t, s, by in ((lt, "l", by_left), (rt, "r", by_right)))
+
+    def codes(lt, rt):
+        lc, rc = columns(lt, rt)
+        return _codes(lc, lt.num_rows)[0], _codes(rc, rt.num_rows)[0]
+
+    def finish(lt, rt, found):
+        lc, rc = columns(lt, rt)
+        lf, rf = _codes(lc, lt.num_rows)[1], _codes(rc, rt.num_rows)[1]
+        for i, j, n, area in found:
+            code = i * len(rf) + j
             if len(lf) * len(rf) <= 4 * len(code) + 1024:
-                n = np.bincount(code, minlength=1)
-                got = np.flatnonzero(n)
-                n, total = n[got], np.bincount(code, weights=area)[got]
+                some = np.flatnonzero(np.bincount(code, minlength=1))
+                n, total = np.bincount(code, weights=n)[some], np.bincount(code, weights=area)[some]
+                got = some
             else:
                 got, at = np.unique(code, return_inverse=True)
-                n, total = np.bincount(at), np.bincount(at, weights=area)
+                n, total = np.bincount(at, weights=n), np.bincount(at, weights=area)
             p, q = pa.array(lf[got // len(rf)]), pa.array(rf[got % len(rf)])
-            yield pa.RecordBatch.from_arrays([c.take(p) for c in lc] + [c.take(q) for c in rc] + [pa.array(n), pa.array(total)], names)
-    return units.mapInArrow(_each(finish, plan.cell, predicate, least), schema)
+            yield pa.RecordBatch.from_arrays([c.take(p) for c in lc] + [c.take(q) for c in rc] + [pa.array(n.astype(np.int64)), pa.array(total)], names)
+    return units.mapInArrow(_sums(finish, codes, plan.cell, predicate, least), schema)
