@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.functions import block_pairs as bp
+from canopy.functions import block_pairs as bp, stairs
 from canopy.functions.stairs import partners
 from canopy.operators import block_join as BJ
 from canopy.operators.spatial_join import pair_count, spatial_join
@@ -61,6 +61,28 @@ def test_partners_over_the_cells_are_the_pairs(seed):
     assert (count == want).all() and (area == total).all()
 
 
+@pytest.mark.parametrize("ask", [{}, {"least": 5.0}, {"distance": 3.0}])
+def test_pairs_by_boxes_are_the_pairs(ask):
+    rng, far = random.Random(9), ask.get("distance", 0.0)
+    a, b, size = _stairs(rng, 80, 8), _stairs(rng, 70, 12), 8.0
+    a.x0, a.y0, a.x1, a.y1 = a.x0 - far, a.y0 - far, a.x1 + far, a.y1 + far
+    cells = [(x, y, *(np.flatnonzero((s.x0 < x + size) & (s.x1 >= x) & (s.y0 < y + size) & (s.y1 >= y)) for s in (a, b)))
+             for x in np.arange(-5, 8) * size for y in np.arange(-5, 8) * size]
+    got = [p for x, y, l, r in cells if len(l) and len(r) for p in stairs.pairs(a, b, l, r, x, y, **ask)]
+    if far:
+        want = bp.near(a, b, np.repeat(np.arange(80), 70), np.tile(np.arange(70), 80), far)
+    else:
+        want = bp.hits(a, b, np.repeat(np.arange(80), 70), np.tile(np.arange(70), 80), "intersects", ask.get("least"))
+    assert sorted(zip(*(np.concatenate(v).tolist() for v in zip(*got)))) == sorted(zip(*(v.tolist() for v in want[:3])))
+
+
+def test_many_pairs_of_stairs_are_not_overlaid_edge_by_edge(monkeypatch):
+    a, b = _stairs(random.Random(1), 400, 30), _stairs(random.Random(2), 400, 30)
+    monkeypatch.setattr(bp, "areas", None)
+    one = lambda v: np.array([v])
+    assert sum(len(p[0]) for p in bp.found(a, b, (one(0), one(400), one(0), one(400), one(-1e3), one(-1e3)), "intersects")) > 50_000
+
+
 def test_what_is_no_stair():
     x = [([(0, 0), (4, 0), (4, 4), (0, 4)], 16), ([(0, 0), (4, 0), (2, 4)], 8), ([(0, 0), (4, 0), (4, 4), (2, 4), (2, 2), (0, 2)], 12),
          ([(0, 0), (6, 0), (6, 4), (4, 4), (4, 2), (2, 2), (2, 4), (0, 4)], 20), ([(0, 0), (0, 4), (4, 4), (4, 0)], 16)]
