@@ -29,6 +29,8 @@ from ..functions import block_pairs as bp
 
 #: Rows of one side of a cell that one unit holds, about.
 BLOCK_ROWS = 16_384
+#: So many times as many where pairs are only summed, as every left block's rows go to every right block.
+WIDER = 4
 #: Pairs of stairs from which a unit's pairs may be summed without going through them.
 CROWDED = bp.CROWDED
 #: Cell rows of one task, about, while there are fewer tasks than the session has shuffle partitions.
@@ -47,7 +49,8 @@ def _tasks(df: DataFrame, rows: int) -> int:
     return most if rows < 0 else max(1, min(most, max(8, rows // TASK_ROWS)))
 
 
-def _units(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keep: list[str], right_keep: list[str], plan) -> DataFrame:
+def _units(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keep: list[str], right_keep: list[str], plan,
+           wider: int = 1) -> DataFrame:
     """Both sides' cell rows as one table, dealt and sorted by unit."""
     from .spatial_join import _side, with_cells
     sides = []
@@ -56,10 +59,11 @@ def _units(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_
         sides.append((mine, d, [f"{mine}_id", *[f"{mine}_c_{c}" for c in keep]]))
     key = ["lvl", "cx", "cy"]
     counts = [d.select(*key, F.lit(int(mine == "l")).alias("_nl"), F.lit(int(mine == "r")).alias("_nr")) for mine, d, _c in sides]
-    blocks = (lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int").alias(n))
-    # at most one row per BLOCK_ROWS cell rows
+    most = BLOCK_ROWS * wider
+    blocks = (lambda n: F.ceil(F.col(n) / most).cast("int").alias(n))
+    # at most one row per so many cell rows
     hot = (counts[0].unionAll(counts[1]).groupBy(*key).agg(F.sum("_nl").alias("_nl"), F.sum("_nr").alias("_nr"))
-           .where((F.col("_nl") > 0) & (F.col("_nr") > 0) & (F.greatest("_nl", "_nr") > BLOCK_ROWS)).select(*key, blocks("_nl"), blocks("_nr")))
+           .where((F.col("_nl") > 0) & (F.col("_nr") > 0) & (F.greatest("_nl", "_nr") > most)).select(*key, blocks("_nl"), blocks("_nr")))
     out = []
     for k, (mine, d, carry) in enumerate(sides):
         own, other = ("_nl", "_nr") if mine == "l" else ("_nr", "_nl")
@@ -207,7 +211,7 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 def matched_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, row: str, plan, predicate: str) -> DataFrame:
     """The numbers ``row`` of left rows with a partner, once per unit that has one."""
-    units = _units(left, right, left_id, right_id, [row], [], plan)
+    units = _units(left, right, left_id, right_id, [row], [], plan, WIDER if predicate == "intersects" else 1)
     codes = (lambda lt, rt: (np.arange(lt.num_rows), np.zeros(rt.num_rows, np.int64)))
 
     def finish(lt, rt, found):
@@ -247,7 +251,7 @@ def block_totals(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
                  predicate: str, by_left: list[str], by_right: list[str], least: float | None = None) -> DataFrame:
     """``n_pairs`` and ``inter_area`` (sum) of the pairs with more than ``least`` in common, by prefixed columns
     (``l_id``, ``l_c_<name>``, ``r_id``, ...); a combination comes once per batch of units that has it."""
-    units = _units(left, right, left_id, right_id, left_keep, right_keep, plan)
+    units = _units(left, right, left_id, right_id, left_keep, right_keep, plan, WIDER if predicate == "intersects" and least is None else 1)
     kinds = {f.name: f.dataType for s in "lr" for f in _fields(units, s)}
     schema = T.StructType([T.StructField(c, kinds[c]) for c in [*by_left, *by_right]]
                           + [T.StructField("n_pairs", T.LongType()), T.StructField("inter_area", T.DoubleType())])

@@ -38,6 +38,8 @@ from ..functions.geometry import SHAPE_COLUMNS
 from ..session import scratch_path
 
 _TINY = 1e-9
+#: Size classes by which a coarse plan's cells are larger, at most.
+COARSER = 2
 
 
 _EXTENT_SQL = "greatest(x1 - x0, y1 - y0)"
@@ -90,7 +92,7 @@ def _kept_bytes(df: DataFrame, cols: list[str]) -> Column:
 
 
 def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None,
-              left_keep: list[str] | None = None, right_keep: list[str] | None = None) -> GridPlan:
+              left_keep: list[str] | None = None, right_keep: list[str] | None = None, coarse: bool = False) -> GridPlan:
     """One small aggregate job over both boxes picks the grid.
 
     A plan computed on supersets of the two layers stays valid for them
@@ -100,8 +102,10 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None,
 
     The cell is the power of two at or above the smaller of the two median
     extents (or ``cell_size`` if given), so small shapes are never piled into
-    the cells of large ones; larger shapes get a coarser level of their own. Collected values are bounded: two
-    medians and two sets of integer size classes (at most ~100 values).
+    the cells of large ones; larger shapes get a coarser level of their own. With ``coarse`` the cell is up to
+    ``COARSER`` classes larger, as far as nine in ten shapes of either side need: fewer cells and levels to deal
+    shapes to, where a cell's pairs are summed without going through them. Collected values are bounded: two
+    extents a side and two sets of integer size classes (at most ~100 values).
     """
     def side(df, k):
         # box columns only: a stored layer's edge lists are not read here
@@ -109,13 +113,15 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None,
     stats = (side(left, 0).unionByName(side(right, 1))
              .where(F.col("ext").isNotNull())
              .groupBy("side")
-             .agg(F.percentile_approx("ext", 0.5, 1000).alias("med"), F.collect_set("c").alias("classes"),
+             .agg(F.percentile_approx("ext", [0.5, 0.9], 1000).alias("ext"), F.collect_set("c").alias("classes"),
                   F.count("*").alias("n"))
              .collect())
     by_side = {r["side"]: r for r in stats}
     if cell_size is None:
-        med = min([float(r["med"]) for r in stats] or [1.0])
-        k = int(math.ceil(math.log2(max(med, _TINY))))
+        power = (lambda ext: int(math.ceil(math.log2(max(ext, _TINY)))))
+        k = power(min([float(r["ext"][0]) for r in stats] or [1.0]))
+        if coarse and stats:
+            k = max(k, min(k + COARSER, power(max(float(r["ext"][1]) for r in stats))))
     else:
         k = int(math.ceil(math.log2(cell_size)))
 
@@ -388,7 +394,7 @@ def _join_blocks(left, right, left_id, right_id, predicate, how, lcols, rcols, w
     names = {left_id: "l_id", right_id: "r_id", **ours, **theirs}
     if how == "left":
         left = _numbered(left, "_lrow")
-    plan = plan or plan_grid(left, right, cell_size, lcols, rcols)
+    plan = plan or plan_grid(left, right, cell_size, lcols, rcols, coarse=by is not None and least is None and predicate == "intersects")
     if by is None:
         pairs = block_pairs(left, right, left_id, right_id, lcols, rcols, plan, predicate)
         out = [*names, *(["inter_area"] if with_area else [])]

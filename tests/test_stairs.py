@@ -61,6 +61,57 @@ def test_partners_over_the_cells_are_the_pairs(seed):
     assert (count == want).all() and (area == total).all()
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 1024])
+@pytest.mark.parametrize("sides", [("left", "left"), ("right", "left"), ("left", "right"), ("right", "right")])
+def test_sums_over_what_comes_before(monkeypatch, blocks, sides):
+    """Many sources and targets at the same places, and targets before and after all sources."""
+    monkeypatch.setattr(stairs, "MOST_BLOCKS", blocks)
+    monkeypatch.setattr(stairs, "STEP_WORTH", 1)
+    monkeypatch.setattr(stairs, "AT_ONCE", 64)
+    rng = np.random.default_rng(4)
+    (x, y), (tx, ty), w = rng.integers(0, 12, (2, 300)).astype(float), rng.integers(-2, 15, (2, 200)).astype(float), rng.integers(-9, 9, (300, 3)).astype(float)
+    before = [np.less if s == "left" else np.less_equal for s in sides]
+    want = (before[0](x, tx[:, None]) & before[1](y, ty[:, None])) @ w
+    assert (stairs._Before(x, y, w, 200).sums(tx, ty, *sides) == want).all()
+    assert stairs._Before(x[:1], y[:1], w[:1], 200).sums(tx, ty).shape == (200, 3)
+
+
+def test_groups_are_summed_in_one_pass(monkeypatch):
+    """Seven years took seven times the steps of one; with less room they come in portions."""
+    a, b, built = _stairs(random.Random(3), 300, 8), _stairs(random.Random(4), 200, 12), []
+
+    class Counted(stairs._Before):
+        def __init__(self, *args):
+            built.append(1)
+            super().__init__(*args)
+    monkeypatch.setattr(stairs, "_Before", Counted)
+    run = lambda group: partners(a, b, np.arange(300), np.arange(200), group, int(group.max()) + 1, 0.0, 0.0)
+    n, area = run(np.zeros(300, int))
+    one = len(built)
+    some = run(np.arange(300) % 7)
+    assert len(built) == 2 * one and (some[0].sum(axis=0) == n).all() and (some[1].sum(axis=0) == area).all()
+    monkeypatch.setattr(stairs, "MOST_WEIGHTS", 1)
+    few = run(np.arange(300) % 7)
+    assert (few[0] == some[0]).all() and (few[1] == some[1]).all()
+
+
+def test_totals_take_larger_cells_and_blocks(spark, monkeypatch):
+    """Shapes of several classes met a row a level and cell each; totals need few, and give the same."""
+    left = layer(spark, [(i, poly(rect(7 * i % 50, 11 * i % 50, 3, 3))) for i in range(60)])
+    right = layer(spark, [(i, poly(rect(13 * i % 50, 5 * i % 50, 4 + i % 9, 4 + i % 9))) for i in range(60)], "rid")
+    held, units = [], BJ._units
+    monkeypatch.setattr(BJ, "_units", lambda *args: held.append(units(*args)) or held[-1])
+    run = lambda **by: spatial_join(left, right, left_id="id", right_id="rid", left_cols=[], right_cols=[], kernel="blocks", **by)
+    pairs, totals = run(), run(totals_by=["id", "rid"])
+    assert _rows(totals.groupBy("id", "rid").agg(F.sum("inter_area"))) == _rows(pairs)
+    assert 2 * held[1].count() < held[0].count()
+    assert held[1].select("lvl").distinct().count() == 1 < held[0].select("lvl").distinct().count()
+    crowd = held[1].groupBy("lvl", "cx", "cy", "is_left").count().where("is_left").agg(F.max("count")).first()[0]
+    monkeypatch.setattr(BJ, "BLOCK_ROWS", 1)
+    run(totals_by=["id", "rid"])
+    assert 1 < held[2].agg(F.max("lb")).first()[0] + 1 <= -(-crowd // BJ.WIDER)
+
+
 @pytest.mark.parametrize("ask", [{}, {"least": 5.0}, {"distance": 3.0}])
 def test_pairs_by_boxes_are_the_pairs(ask):
     rng, far = random.Random(9), ask.get("distance", 0.0)
