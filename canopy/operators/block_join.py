@@ -31,22 +31,28 @@ from ..functions import block_pairs as bp
 BLOCK_ROWS = 16_384
 #: So many times as many where pairs are only summed, as every left block's rows go to every right block.
 WIDER = 4
+#: Pairs of rows from which a unit whose pairs are gone through is cut into blocks of a quarter of that, so that a task has a bounded number.
+UNIT_PAIRS = 1 << 24
+#: Pairs of one task, about, where the plan expects so many that there are more tasks than the session has shuffle partitions.
+TASK_PAIRS = 1 << 24
 #: Pairs of stairs from which a unit's pairs may be summed without going through them.
 CROWDED = bp.CROWDED
 #: Cell rows of one task, about, while there are fewer tasks than the session has shuffle partitions.
 TASK_ROWS = 10_000
+#: Shuffle partitions at most.
+MOST_TASKS = 10_000
 _UNIT = ["lvl", "cx", "cy", "lb", "rb"]
 
 
-def _tasks(df: DataFrame, rows: int) -> int:
-    """Partitions for units made from so many shapes."""
+def _tasks(df: DataFrame, rows: int, pairs: float = 0.0) -> int:
+    """Partitions for units made from so many shapes, whose pairs are gone through."""
     spark = df.sparkSession
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         most = max(most, 4 * spark.sparkContext.defaultParallelism)
     except Exception:
         pass  # Spark Connect has no context
-    return most if rows < 0 else max(1, min(most, max(8, rows // TASK_ROWS)))
+    return max(most if rows < 0 else max(1, min(most, max(8, rows // TASK_ROWS))), int(min(pairs // TASK_PAIRS, MOST_TASKS)))
 
 
 def _units(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keep: list[str], right_keep: list[str], plan,
@@ -60,10 +66,11 @@ def _units(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_
     key = ["lvl", "cx", "cy"]
     counts = [d.select(*key, F.lit(int(mine == "l")).alias("_nl"), F.lit(int(mine == "r")).alias("_nr")) for mine, d, _c in sides]
     most = BLOCK_ROWS * wider
-    blocks = (lambda n: F.ceil(F.col(n) / most).cast("int").alias(n))
+    full = F.col("_nl") * F.col("_nr") > F.lit(UNIT_PAIRS) if wider == 1 else F.lit(False)
+    blocks = (lambda n: F.ceil(F.col(n) / F.when(full, -(-most // 4)).otherwise(most)).cast("int").alias(n))
     # at most one row per so many cell rows
     hot = (counts[0].unionAll(counts[1]).groupBy(*key).agg(F.sum("_nl").alias("_nl"), F.sum("_nr").alias("_nr"))
-           .where((F.col("_nl") > 0) & (F.col("_nr") > 0) & (F.greatest("_nl", "_nr") > most)).select(*key, blocks("_nl"), blocks("_nr")))
+           .where((F.col("_nl") > 0) & (F.col("_nr") > 0) & ((F.greatest("_nl", "_nr") > most) | full)).select(*key, blocks("_nl"), blocks("_nr")))
     out = []
     for k, (mine, d, carry) in enumerate(sides):
         own, other = ("_nl", "_nr") if mine == "l" else ("_nr", "_nl")
@@ -78,7 +85,7 @@ def _units(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_
                             (F.col("_own") == F.col("lvl")).alias("own"), "x0", "y0", "x1", "y1", F.col(f"{mine}_area").alias("area"),
                             F.col(f"{mine}_edges").alias("edges"), *(held + [none] if mine == "l" else [none] + held)))
     both = out[0].unionAll(out[1])
-    return both.repartition(_tasks(both, plan.left_rows + plan.right_rows), *_UNIT).sortWithinPartitions(*_UNIT)
+    return both.repartition(_tasks(both, plan.left_rows + plan.right_rows, plan.pairs if wider == 1 else 0.0), *_UNIT).sortWithinPartitions(*_UNIT)
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -74,6 +74,8 @@ class GridPlan:
     left_edges: int = -1
     right_edges: int = -1
     small_kept: int = -1
+    #: Pairs of boxes that meet, about (as if spread evenly over what both sides cover).
+    pairs: float = -1.0
 
     @property
     def cell(self) -> float:
@@ -109,12 +111,13 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None,
     """
     def side(df, k):
         # box columns only: a stored layer's edge lists are not read here
-        return df.select(_extent().alias("ext"), _log2_class().alias("c"), F.lit(k).alias("side"))
+        return df.select(_extent().alias("ext"), _log2_class().alias("c"), F.lit(k).alias("side"), "x0", "y0", "x1", "y1")
     stats = (side(left, 0).unionByName(side(right, 1))
              .where(F.col("ext").isNotNull())
              .groupBy("side")
              .agg(F.percentile_approx("ext", [0.5, 0.9], 1000).alias("ext"), F.collect_set("c").alias("classes"),
-                  F.count("*").alias("n"))
+                  F.count("*").alias("n"), F.expr("avg(x1 - x0)").alias("w"), F.expr("avg(y1 - y0)").alias("h"),
+                  *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
              .collect())
     by_side = {r["side"]: r for r in stats}
     if cell_size is None:
@@ -144,7 +147,14 @@ def plan_grid(left: DataFrame, right: DataFrame, cell_size: float | None = None,
         total, kept = small.where(F.col("x0").isNotNull()).agg(F.sum(F.size("edges")), _kept_bytes(small, cols or [])).first()
         total, kept = int(total or 0), -1 if cols is None else int(kept)
         el, er = (-1, total) if nr <= nl else (total, -1)
-    return GridPlan(k, levels(0), levels(1), nl, nr, el, er, kept)
+    pairs = 0.0
+    if len(by_side) == 2 and not any(r[c] is None for r in stats for c in ("w", "h", "x0", "y0", "x1", "y1")):
+        a, b = by_side[0], by_side[1]
+        pairs = float(nl) * nr
+        for lo, hi, size in (("x0", "x1", "w"), ("y0", "y1", "h")):
+            reach = float(a[size]) + float(b[size])
+            pairs *= min(1.0, reach / max(_TINY, min(max(a[hi], b[hi]) - min(a[lo], b[lo]), 1e300), reach))
+    return GridPlan(k, levels(0), levels(1), nl, nr, el, er, kept, pairs if math.isfinite(pairs) else 0.0)
 
 
 def _own_level_sql(k: int) -> str:

@@ -99,3 +99,21 @@ def test_a_crowded_cell_is_shared_out(spark, monkeypatch):
     largest = units.groupBy(*BJ._UNIT, "is_left").count().agg(F.max("count")).first()[0]
     assert largest <= 200
     assert spatial_join(left, right, left_id="id", right_id="rid", left_cols=[], right_cols=[], kernel="blocks").count() == 300_000
+
+
+def test_tasks_and_units_follow_the_pairs(spark, monkeypatch):
+    """A task's pairs were as many as the tables' growth made them: units and tasks are cut by pairs too."""
+    from canopy.operators.spatial_join import plan_grid
+    left = layer(spark, [(i, poly(rect(i % 20, i // 20, 6, 6))) for i in range(400)])
+    right = layer(spark, [(i, poly(rect(i % 20, i // 20, 5, 5))) for i in range(400)], "rid")
+    run = lambda: _rows(spatial_join(left, right, left_id="id", right_id="rid", left_cols=[], right_cols=[], kernel="blocks"))
+    want, plan = run(), plan_grid(left, right)
+    assert len(want) / 2 < plan.pairs < 2 * len(want)
+    monkeypatch.setattr(BJ, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(BJ, "UNIT_PAIRS", 100)
+    monkeypatch.setattr(BJ, "TASK_PAIRS", 400)
+    units = BJ._units(left, right, "id", "rid", [], [], plan)
+    assert units.rdd.getNumPartitions() == int(plan.pairs // 400) > 32
+    most = units.groupBy(*BJ._UNIT).agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r")).agg(F.max(F.col("l") * F.col("r"))).first()[0]
+    assert most <= 4 * 16 * 16
+    assert run() == want
