@@ -259,8 +259,8 @@ def crowded(a: Shapes, b: Shapes, l0, nl, r0, nr, left_code: np.ndarray, right_c
 
 
 def crowd_totals(a: Shapes, b: Shapes, left: np.ndarray, right: np.ndarray, left_code: np.ndarray, right_code: np.ndarray,
-                 x: float, y: float, way: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(left code, right code, number of pairs, area) of a unit's pairs of stairs; codes come repeatedly."""
+                 x: float, y: float, way: int, with_area: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(left code, right code, number of pairs, area (0 without ``with_area``)) of a unit's pairs of stairs; codes come repeatedly."""
     left, right = left[a.stairs.ok[left]], right[b.stairs.ok[right]]
     # a pair belongs to the cell's level if one of its shapes does
     for l, r in ((left[a.own[left]], right), (left[~a.own[left]], right[b.own[right]])):
@@ -268,15 +268,16 @@ def crowd_totals(a: Shapes, b: Shapes, left: np.ndarray, right: np.ndarray, left
             continue
         of, to, c, d = (a, b, left_code[l], right_code[r]) if way == 1 else (b, a, right_code[r], left_code[l])
         value, group = np.unique(c, return_inverse=True)
-        n, area = partners(of, to, *((l, r) if way == 1 else (r, l)), group, len(value), x, y)
+        n, area = partners(of, to, *((l, r) if way == 1 else (r, l)), group, len(value), x, y, with_area)
         g, t = np.nonzero(n)
         yield (value[g], d[t], n[g, t], area[g, t]) if way == 1 else (d[t], value[g], n[g, t], area[g, t])
 
 
 def found(a: Shapes, b: Shapes, units: tuple, predicate: str, least: float | None = None, distance: float | None = None,
-          crowd: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+          crowd: np.ndarray | None = None, with_area: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, area, contact) of the pairs of a batch of units that fulfil the predicate and share more than ``least``, or
-    (i, j, distance, contact) of those at most ``distance`` apart, about ``PAIRS_OUT`` at a time; of units in ``crowd`` not the pairs of stairs."""
+    (i, j, distance, contact) of those at most ``distance`` apart, about ``PAIRS_OUT`` at a time; of units in ``crowd`` not the pairs of stairs.
+    Without ``with_area`` the areas need not be right."""
     l0, nl, r0, nr, x, y = units
     crowd = np.zeros(len(l0), bool) if crowd is None else crowd != 0
     small = (nl * nr < SMALL_UNIT) & ~crowd
@@ -302,7 +303,7 @@ def found(a: Shapes, b: Shapes, units: tuple, predicate: str, least: float | Non
             # a pair belongs to the cell's level if one of its shapes does
             for l, r in ((left[a.own[left]], right), (left[~a.own[left]], right[b.own[right]])):
                 if len(l) and len(r):
-                    yield from stair_pairs(a, b, l, r, x[u], y[u], least, distance)
+                    yield from stair_pairs(a, b, l, r, x[u], y[u], least, distance, with_area)
     for i, j in _gathered(tried()):
         if distance is not None:
             i, j, value = near(a, b, i, j, distance)

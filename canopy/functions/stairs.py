@@ -31,6 +31,8 @@ import numpy as np
 
 #: Pairs compared at once (these stay in the processor's cache).
 AT_ONCE = 1 << 15
+#: Shapes of a tile, and its pairs compared at once, in arrays made once (fresh memory for each step costs more than the step).
+TILE, TILE_PAIRS = 64, 15 << 10
 #: Outer corners up to which a shape is taken for a stair.
 STEPS = 8
 #: Blocks of sources along an axis at most, and the comparisons that take as long as a step through a block.
@@ -145,9 +147,9 @@ class _Before:
                 out[at] += use.astype(np.float64) @ w
 
 
-def partners(a, b, sources: np.ndarray, targets: np.ndarray, group: np.ndarray, groups: int, x: float, y: float):
+def partners(a, b, sources: np.ndarray, targets: np.ndarray, group: np.ndarray, groups: int, x: float, y: float, with_area: bool = True):
     """Of the stairs ``targets`` (rows of b), for each group of the stairs ``sources`` (rows of a): the partners found in the cell with
-    the lower left corner (x, y), and the area in common with them; arrays (groups, targets). ``group`` numbers the sources."""
+    the lower left corner (x, y), and the area in common with them (0 without ``with_area``); arrays (groups, targets). ``group`` numbers the sources."""
     count, area = np.zeros((len(targets), groups)), np.zeros((len(targets), groups))
     p, q = _Corners(a, sources, x, y), _Corners(b, targets, x, y)
     # pairs of which both begin left of the cell, or both below it, are found in another
@@ -161,7 +163,8 @@ def partners(a, b, sources: np.ndarray, targets: np.ndarray, group: np.ndarray,
             mine = mine & inside
             if mine.any() and theirs.any():
                 _add_met(count[:, g:g + n], p, q, mine[p.owner], theirs[q.owner], group - g, n, sign)
-                _add_shared(area[:, g:g + n], p, q, mine[p.owner], theirs[q.owner], group - g, n, sign)
+                if with_area:
+                    _add_shared(area[:, g:g + n], p, q, mine[p.owner], theirs[q.owner], group - g, n, sign)
     count, area = np.rint(count.T).astype(np.int64), area.T
     # no more than rounding is left where there are no partners
     return count, np.where(count > 0, np.maximum(area, 0.0), 0.0)
@@ -199,67 +202,116 @@ def _add_shared(out: np.ndarray, p: _Corners, q: _Corners, mine: np.ndarray, the
     _add(out, q.owner[j], shared * (sign * q.signed[j])[:, None])
 
 
+def _tiled(s, rows: np.ndarray) -> np.ndarray:
+    """The rows in strips along x, each ordered along y, so that ``TILE`` of them in a row lie near each other."""
+    by_x = rows[np.argsort(s.x0[rows], kind="stable")]
+    strip = max(TILE, math.isqrt(len(rows) * TILE))
+    return by_x[np.lexsort((s.y0[by_x], np.arange(len(rows)) // strip))]
+
+
+def _size(s, rows: np.ndarray) -> float:
+    return float(np.mean(s.x1[rows] - s.x0[rows]) + np.mean(s.y1[rows] - s.y0[rows]))
+
+
 def pairs(a, b, left: np.ndarray, right: np.ndarray, x: float, y: float, least: float | None = None,
-          distance: float | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+          distance: float | None = None, with_area: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of the stairs ``left`` and ``right`` in the cell with the lower left corner (x, y), one portion after another: (i, j, common area) of those
     that meet, or share more than ``least``; with ``distance`` (i, j, distance) of those at most so far apart, where boxes of ``a`` are grown by it.
+    Without ``with_area`` the areas of those that meet are not taken (NaN).
 
-    A stair is cut into one box a step; boxes are compared as matrices, stairs of equal steps at a time.
+    A stair is cut into one box a step; boxes are compared as matrices, stairs of equal steps at a time. Of the side with the smaller stairs a tile
+    of neighbours is taken at a time, of the other those whose boxes meet the tile's: most of what is compared then meets. A left row's pairs follow each other.
     """
-    for p in np.unique(a.stairs.steps[left]):
-        l = left[a.stairs.steps[left] == p]
-        l = l[np.argsort(a.x0[l], kind="stable")]
-        for q in np.unique(b.stairs.steps[right]):
-            r = right[b.stairs.steps[right] == q]
-            r = r[np.argsort(b.x0[r], kind="stable")]
-            ends, starts = np.maximum.accumulate(b.x1[r]), b.x0[r]
-            for s in range(0, len(l), 128):
-                rows = l[s:s + 128]
-                first = int(np.searchsorted(ends, a.x0[rows[0]], "left"))
-                last = int(np.searchsorted(starts, a.x1[rows].max(), "right"))
-                wide = max(1, AT_ONCE // len(rows))
-                for f in range(first, last, wide):
-                    cols = r[f:min(f + wide, last)]
-                    keep, value = _matrix(a, b, rows, cols, int(p), int(q), least, distance)
-                    if x > a.x0[rows[0]] and x > b.x0[cols[0]]:
+    if not len(left) or not len(right):
+        return
+    tiles_left = _size(a, left) <= _size(b, right)
+    small, large, tiled, others = (a, b, left, right) if tiles_left else (b, a, right, left)
+    wide = max(1, TILE_PAIRS // TILE)
+    room = np.empty((5, TILE * wide)), np.empty((3, TILE * wide), bool)
+    steps = np.unique(large.stairs.steps[others])
+    of_steps = [others[large.stairs.steps[others] == q] for q in steps]
+    for p in np.unique(small.stairs.steps[tiled]):
+        mine = _tiled(small, tiled[small.stairs.steps[tiled] == p])
+        for s in range(0, len(mine), TILE):
+            tile = mine[s:s + TILE]
+            x0, y0, x1, y1 = small.x0[tile].min(), small.y0[tile].min(), small.x1[tile].max(), small.y1[tile].max()
+            for q, theirs in zip(steps, of_steps):
+                near = theirs[(large.x0[theirs] <= x1) & (large.x1[theirs] >= x0) & (large.y0[theirs] <= y1) & (large.y1[theirs] >= y0)]
+                for f in range(0, len(near), wide):
+                    rows, cols, n, m = (tile, near[f:f + wide], p, q) if tiles_left else (near[f:f + wide], tile, q, p)
+                    keep, value = _matrix(a, b, rows, cols, int(n), int(m), least, distance, with_area, room)
+                    if x > x0:
                         keep &= (a.x0[rows] >= x)[:, None] | (b.x0[cols] >= x)
-                    keep &= (a.y0[rows] >= y)[:, None] | (b.y0[cols] >= y)
+                    if y > y0:
+                        keep &= (a.y0[rows] >= y)[:, None] | (b.y0[cols] >= y)
                     at = np.flatnonzero(keep)
                     if len(at):
                         k = np.repeat(np.arange(len(rows)), np.count_nonzero(keep, axis=1))
-                        yield rows[k], cols[at - k * len(cols)], value.ravel()[at]
+                        yield rows[k], cols[at - k * len(cols)], np.full(len(at), np.nan) if value is None else value.ravel()[at]
 
 
-def _matrix(a, b, rows: np.ndarray, cols: np.ndarray, p: int, q: int, least: float | None, distance: float | None):
-    """Whether each pair of rows and columns is asked for (in any cell), and its common area or distance."""
+def _meet(a, b, rows: np.ndarray, cols: np.ndarray, p: int, q: int, flags: list) -> np.ndarray:
+    """Whether each pair meets: just if the lower left corner of either lies below and left of an outer corner of the other."""
+    s, t = a.stairs, b.stairs
+    keep, some, met = flags
+    corners = [(s.X[k, rows][:, None], s.Y[k, rows][:, None]) for k in range(p)], [(t.X[k, cols], t.Y[k, cols]) for k in range(q)]
+    begins = (t.x0[cols], t.y0[cols]), (s.x0[rows][:, None], s.y0[rows][:, None])
+    for out, outer, (x0, y0) in zip((keep, some), corners, begins):
+        for k, (X, Y) in enumerate(outer):
+            one = met if k else out
+            np.greater_equal(X, x0, out=one)
+            one &= Y >= y0
+            if k:
+                out |= one
+    keep &= some
+    return keep
+
+
+def _matrix(a, b, rows: np.ndarray, cols: np.ndarray, p: int, q: int, least: float | None, distance: float | None, with_area: bool, room: tuple):
+    """Whether each pair of rows and columns is asked for (in any cell), and its common area (if asked for) or distance, in ``room``'s arrays."""
+    shape = (len(rows), len(cols))
+    x0, w, h, low, value = (v[:shape[0] * shape[1]].reshape(shape) for v in room[0])
+    flags = [v[:shape[0] * shape[1]].reshape(shape) for v in room[1]]
+    if distance is None and least is None and not with_area:
+        return _meet(a, b, rows, cols, p, q, flags), None
+    keep, met, also = flags
     s, t = a.stairs, b.stairs
-    x0, value, keep = np.maximum(s.x0[rows][:, None], t.x0[cols]), None, None
+    np.maximum(s.x0[rows][:, None], t.x0[cols], out=x0)
     for k in range(p):
-        X, Y, low = s.X[k, rows][:, None], s.Y[k, rows][:, None], (s.Y[k - 1] if k else s.y0)[rows][:, None]
+        X, Y, y0 = s.X[k, rows][:, None], s.Y[k, rows][:, None], (s.Y[k - 1] if k else s.y0)[rows][:, None]
         for m in range(q):
-            w = np.minimum(X, t.X[m, cols])
-            w -= x0
-            h = np.minimum(Y, t.Y[m, cols])
-            h -= np.maximum(low, (t.Y[m - 1] if m else t.y0)[cols])
+            first = not k and not m
+            part = value if first else w
+            np.minimum(X, t.X[m, cols], out=part)
+            part -= x0
+            np.minimum(Y, t.Y[m, cols], out=h)
+            h -= np.maximum(y0, (t.Y[m - 1] if m else t.y0)[cols], out=low)
             if distance is not None:
-                np.minimum(w, 0.0, out=w)
+                np.minimum(part, 0.0, out=part)
                 np.minimum(h, 0.0, out=h)
-                w *= w
+                part *= part
                 h *= h
-                w += h
-                value = w if value is None else np.minimum(value, w, out=value)
+                part += h
+                if not first:
+                    np.minimum(value, part, out=value)
                 continue
             if least is None:
-                met = w >= 0
-                met &= h >= 0
-                keep = met if keep is None else np.logical_or(keep, met, out=keep)
-            np.maximum(w, 0.0, out=w)
-            np.maximum(h, 0.0, out=h)
-            w *= h
-            value = w if value is None else np.add(value, w, out=value)
+                one = keep if first else met
+                np.greater_equal(part, 0.0, out=one)
+                one &= np.greater_equal(h, 0.0, out=also)
+                if not first:
+                    keep |= one
+            # two single boxes that meet share no less than nothing
+            if p > 1 or q > 1 or least is not None:
+                np.maximum(part, 0.0, out=part)
+                np.maximum(h, 0.0, out=h)
+            part *= h
+            if not first:
+                value += part
     if distance is None:
-        return (keep if least is None else value > least), value
-    keep = value <= distance * distance
+        return (keep if least is None else np.greater(value, least, out=keep)), value
+    np.less_equal(value, distance * distance, out=keep)
     for lo, hi in (("x0", "x1"), ("y0", "y1")):
-        keep &= (getattr(a, lo)[rows][:, None] <= getattr(b, hi)[cols]) & (getattr(b, lo)[cols] <= getattr(a, hi)[rows][:, None])
-    return keep, np.sqrt(value)
+        keep &= getattr(a, lo)[rows][:, None] <= getattr(b, hi)[cols]
+        keep &= getattr(b, lo)[cols] <= getattr(a, hi)[rows][:, None]
+    return keep, np.sqrt(value, out=value)

@@ -35,6 +35,8 @@ WIDER = 4
 UNIT_PAIRS = 1 << 24
 #: Pairs of one task, about, where the plan expects so many that there are more tasks than the session has shuffle partitions.
 TASK_PAIRS = 1 << 24
+#: Pairs that leave a task in one batch.
+PAIRS_AT_ONCE = 1 << 16
 #: Pairs of stairs from which a unit's pairs may be summed without going through them.
 CROWDED = bp.CROWDED
 #: Cell rows of one task, about, while there are fewer tasks than the session has shuffle partitions.
@@ -144,7 +146,7 @@ def _struct(table: pa.Table, name: str) -> pa.StructArray:
     return pa.concat_arrays(got.chunks) if isinstance(got, pa.ChunkedArray) else got
 
 
-def _each(finish: Callable, cell: float, predicate: str, least: float | None = None, distance: float | None = None):
+def _each(finish: Callable, cell: float, predicate: str, least: float | None = None, distance: float | None = None, with_area: bool = True):
     """The function for mapInArrow: ``finish(rows left, rows right, their shapes, batches of (i, j, area, contact))`` yields what leaves the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, begin in _whole_units(batches):
@@ -152,11 +154,11 @@ def _each(finish: Callable, cell: float, predicate: str, least: float | None = N
             if not lt.num_rows:
                 continue
             a, b = bp.Shapes(lt), bp.Shapes(rt)
-            yield from finish(lt, rt, a, b, bp.found(a, b, units, predicate, least, distance))
+            yield from finish(lt, rt, a, b, bp.found(a, b, units, predicate, least, distance, with_area=with_area))
     return run
 
 
-def _sums(finish: Callable, codes: Callable, cell: float, predicate: str, least: float | None = None):
+def _sums(finish: Callable, codes: Callable, cell: float, predicate: str, least: float | None = None, with_area: bool = True):
     """The function for mapInArrow where pairs are only summed by the sides' codes (``codes(rows left, rows right)``).
 
     ``finish(rows left, rows right, batches of (left code, right code, number or None for 1 each, area))`` yields what leaves the task. Of
@@ -174,13 +176,13 @@ def _sums(finish: Callable, codes: Callable, cell: float, predicate: str, least:
             crowd = None if crowded is None else bp.crowded(a, b, *units[:4], lk, rk, crowded)
 
             def found():
-                for i, j, area, _contact in bp.found(a, b, units, predicate, least, crowd=crowd):
+                for i, j, area, _contact in bp.found(a, b, units, predicate, least, crowd=crowd, with_area=with_area):
                     yield lk[i], rk[j], None, area
                 if crowd is None or not crowd.any():
                     return
                 l0, nl, r0, nr, x, y = units
                 got = [t for u in np.flatnonzero(crowd)
-                       for t in bp.crowd_totals(a, b, np.arange(l0[u], l0[u] + nl[u]), np.arange(r0[u], r0[u] + nr[u]), lk, rk, x[u], y[u], crowd[u])]
+                       for t in bp.crowd_totals(a, b, np.arange(l0[u], l0[u] + nl[u]), np.arange(r0[u], r0[u] + nr[u]), lk, rk, x[u], y[u], crowd[u], with_area)]
                 if sum(len(t[0]) for t in got):
                     yield tuple(np.concatenate(v) for v in zip(*got))
             yield from finish(lt, rt, found())
@@ -191,29 +193,51 @@ def _fields(df: DataFrame, side: str) -> list[T.StructField]:
     return df.schema[side].dataType.fields
 
 
+def _pair_rows(units: DataFrame, values: list[T.StructField], take: Callable, cell: float, predicate: str, **ask) -> DataFrame:
+    """A row per pair: both sides' columns and ``values``, which ``take(shapes left, shapes right, i, j, area or distance, contact)`` gives as arrays.
+
+    Spark reads a row from Python at several times the cost of an element of an array. So what leaves the task is a row
+    per run of pairs of one left row, with arrays of their right rows' columns and values, which Spark makes into rows.
+    """
+    ours, lists = _fields(units, "l"), [*_fields(units, "r"), *values]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in ours] + [T.StructField(f.name, T.ArrayType(f.dataType)) for f in lists])
+    names = schema.names
+
+    def finish(lt, rt, a, b, found):
+        lc, rc = _struct(lt, "l").flatten(), _struct(rt, "r").flatten()
+        for i, j, value, contact in found:
+            for s in range(0, len(i), PAIRS_AT_ONCE):
+                p, q = i[s:s + PAIRS_AT_ONCE], j[s:s + PAIRS_AT_ONCE]
+                begin = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+                at, run = pa.array(np.append(begin, len(p)), pa.int32()), pa.array(p[begin])
+                of = pa.array(q)
+                each = [c.take(of) for c in rc] + [pa.array(v) for v in take(a, b, p, q, value[s:s + PAIRS_AT_ONCE], contact[s:s + PAIRS_AT_ONCE])]
+                yield pa.RecordBatch.from_arrays([c.take(run) for c in lc] + [pa.ListArray.from_arrays(at, v) for v in each], names)
+    runs = units.mapInArrow(_each(finish, cell, predicate, **ask), schema)
+    first, *rest = [f.name for f in lists]
+    mine = [F.col(f"`{f.name}`") for f in ours]
+    if not rest:
+        return runs.select(*mine, F.explode(F.col(f"`{first}`")).alias(first))
+    rows = runs.select(*mine, *[F.col(f"`{c}`") for c in rest], F.posexplode(F.col(f"`{first}`")).alias("_at", first))
+    return rows.select(*mine, F.col(f"`{first}`"), *[F.get(F.col(f"`{c}`"), F.col("_at")).alias(c) for c in rest])
+
+
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keep: list[str], right_keep: list[str], plan,
-                predicate: str) -> DataFrame:
-    """One row per pair that fulfils the predicate: ids, kept columns, areas and ``inter_area``.
+                predicate: str, with_area: bool = True) -> DataFrame:
+    """One row per pair that fulfils the predicate: ids, kept columns, areas and (``with_area``) ``inter_area``.
 
     ``predicate`` "meets" keeps what shares any area or boundary and adds ``edge_contact``, false where the area settles it
     (for pieces of shapes, whose sums are taken later).
     """
     units = _units(left, right, left_id, right_id, left_keep, right_keep, plan)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for s in "lr" for f in _fields(units, s)]
-                          + [T.StructField(c, T.DoubleType()) for c in ("l_area", "r_area", "inter_area")] + [T.StructField("edge_contact", T.BooleanType())])
-    # the shapes' areas are of use to the sums of pieces only
-    schema = schema if predicate == "meets" else T.StructType([f for f in schema if f.name not in ("l_area", "r_area", "edge_contact")])
-    names, at_once = schema.names, 1 << 16
-
-    def finish(lt, rt, a, b, found):
-        lc, rc = _struct(lt, "l").flatten(), _struct(rt, "r").flatten()
-        for i, j, area, contact in found:
-            for s in range(0, len(i), at_once):
-                p, q, v = i[s:s + at_once], j[s:s + at_once], pa.array(area[s:s + at_once])
-                cols = [c.take(pa.array(p)) for c in lc] + [c.take(pa.array(q)) for c in rc]
-                cols += [pa.array(a.area[p]), pa.array(b.area[q]), v, pa.array(contact[s:s + at_once])] if predicate == "meets" else [v]
-                yield pa.RecordBatch.from_arrays(cols, names)
-    return units.mapInArrow(_each(finish, plan.cell, predicate), schema)
+    area = [T.StructField("inter_area", T.DoubleType())] if with_area else []
+    if predicate == "meets":
+        # the shapes' areas are of use to the sums of pieces only
+        values = [T.StructField(c, T.DoubleType()) for c in ("l_area", "r_area", "inter_area")] + [T.StructField("edge_contact", T.BooleanType())]
+        take = (lambda a, b, i, j, area, contact: [a.area[i], b.area[j], area, contact])
+    else:
+        values, take = area, (lambda a, b, i, j, area, contact: [area] if with_area else [])
+    return _pair_rows(units, values, take, plan.cell, predicate, with_area=with_area)
 
 
 def matched_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, row: str, plan, predicate: str) -> DataFrame:
@@ -226,23 +250,14 @@ def matched_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         for i, _j, n, _area in found:
             seen[i if n is None else i[n > 0]] = True
         yield pa.RecordBatch.from_arrays([_struct(lt, "l").field(f"l_c_{row}").take(pa.array(np.flatnonzero(seen)))], [row])
-    return units.mapInArrow(_sums(finish, codes, plan.cell, predicate), T.StructType([T.StructField(row, T.LongType())]))
+    return units.mapInArrow(_sums(finish, codes, plan.cell, predicate, with_area=False), T.StructType([T.StructField(row, T.LongType())]))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_keep: list[str], right_keep: list[str], plan,
                distance: float) -> DataFrame:
     """One row per pair at most ``distance`` apart: ids, kept columns and ``distance``; the left boxes are grown by it already."""
     units = _units(left, right, left_id, right_id, left_keep, right_keep, plan)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for s in "lr" for f in _fields(units, s)] + [T.StructField("distance", T.DoubleType())])
-    names, at_once = schema.names, 1 << 16
-
-    def finish(lt, rt, a, b, found):
-        lc, rc = _struct(lt, "l").flatten(), _struct(rt, "r").flatten()
-        for i, j, far, _contact in found:
-            for s in range(0, len(i), at_once):
-                p, q = pa.array(i[s:s + at_once]), pa.array(j[s:s + at_once])
-                yield pa.RecordBatch.from_arrays([c.take(p) for c in lc] + [c.take(q) for c in rc] + [pa.array(far[s:s + at_once])], names)
-    return units.mapInArrow(_each(finish, plan.cell, "intersects", distance=distance), schema)
+    return _pair_rows(units, [T.StructField("distance", T.DoubleType())], lambda a, b, i, j, far, contact: [far], plan.cell, "intersects", distance=distance)
 
 
 def _codes(columns: list[pa.Array], rows: int) -> tuple[np.ndarray, np.ndarray]:

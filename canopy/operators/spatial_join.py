@@ -406,7 +406,7 @@ def _join_blocks(left, right, left_id, right_id, predicate, how, lcols, rcols, w
         left = _numbered(left, "_lrow")
     plan = plan or plan_grid(left, right, cell_size, lcols, rcols, coarse=by is not None and least is None and predicate == "intersects")
     if by is None:
-        pairs = block_pairs(left, right, left_id, right_id, lcols, rcols, plan, predicate)
+        pairs = block_pairs(left, right, left_id, right_id, lcols, rcols, plan, predicate, with_area)
         out = [*names, *(["inter_area"] if with_area else [])]
     else:
         pairs = block_totals(left, right, left_id, right_id, lcols, rcols, plan, predicate,

@@ -117,3 +117,18 @@ def test_tasks_and_units_follow_the_pairs(spark, monkeypatch):
     most = units.groupBy(*BJ._UNIT).agg(F.count_if("is_left").alias("l"), F.count_if(~F.col("is_left")).alias("r")).agg(F.max(F.col("l") * F.col("r"))).first()[0]
     assert most <= 4 * 16 * 16
     assert run() == want
+
+
+def test_pairs_leave_the_task_in_runs(spark, monkeypatch):
+    """Spark read a row from Python for every pair; now one for a run of pairs of a left row, with the same pairs and kept values."""
+    left = layer(spark, [(i if i % 5 else None, poly(rect(i % 20, i // 20, 6, 6))) for i in range(400)]).withColumn("a", F.struct("id", F.lit("x").alias("t")))
+    right = layer(spark, [(i, poly(rect(i % 20, i // 20, 5, 5))) for i in range(400)], "rid")
+    right = right.withColumn("b", F.when(F.col("rid") % 3 > 0, F.concat(F.lit("name "), "rid"))).withColumn("c", F.array("rid", F.lit(None)))
+    held, real = [], type(left).mapInArrow
+    monkeypatch.setattr(type(left), "mapInArrow", lambda df, *args, **more: held.append(real(df, *args, **more)) or held[-1])
+    run = lambda k: spatial_join(left, right, left_id="id", right_id="rid", left_cols=["a"], right_cols=["b", "c"], kernel=k)
+    got, want = run("blocks"), run("batched")
+    assert got.dtypes == want.dtypes and got.columns == want.columns
+    rows = _rows(got)
+    assert rows == _rows(want)
+    assert 4 * held[0].count() < len(rows)

@@ -161,3 +161,28 @@ def test_a_crowd_is_summed_without_its_pairs(spark):
     n = 20_000 ** 2
     assert _rows(t.groupBy("id", "rid").agg(pair_count(), F.sum("inter_area"))) == \
         [(0, 0, n, 36.0 * n), (0, 1, n, 0.0), (1, 0, n, 36.0 * n), (1, 1, n, 0.0)]
+
+
+def test_no_areas_where_none_are_asked_for(monkeypatch):
+    """A left join without areas took them all, for its pairs and again for the rows that have one."""
+    a, b = _stairs(random.Random(11), 300, 12), _stairs(random.Random(12), 200, 8)
+    l, r, group = np.arange(300), np.arange(200), np.arange(300) % 3
+    met = lambda **ask: sorted((i, j) for p in stairs.pairs(a, b, l, r, 2.0, -3.0, **ask) for i, j in zip(p[0].tolist(), p[1].tolist()))
+    want, n = met(), partners(a, b, l, r, group, 3, 2.0, -3.0)[0]
+    assert len(want) == n.sum() > 1000
+    monkeypatch.setattr(stairs, "_add_shared", None)
+    assert (partners(a, b, l, r, group, 3, 2.0, -3.0, with_area=False)[0] == n).all()
+    assert met(with_area=False) == want and all(np.isnan(p[2]).all() for p in stairs.pairs(a, b, l, r, 2.0, -3.0, with_area=False))
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_tiles_of_neighbours_on_either_side(monkeypatch, swap):
+    """Many tiles and portions, of the left or of the right: the same pairs, with a left row's pairs in runs."""
+    a, b = _stairs(random.Random(13), 300, 3), _stairs(random.Random(14), 200, 14)
+    a, b = (b, a) if swap else (a, b)
+    l, r = np.arange(len(a.n)), np.arange(len(b.n))
+    got = lambda: sorted(zip(*(np.concatenate(v).tolist() for v in zip(*stairs.pairs(a, b, l, r, 0.0, 0.0)))))
+    want = got()
+    monkeypatch.setattr(stairs, "TILE", 7)
+    monkeypatch.setattr(stairs, "TILE_PAIRS", 7 * 5)
+    assert got() == want and len(set(p[:2] for p in want)) == len(want) > 1000
