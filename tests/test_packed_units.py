@@ -92,3 +92,24 @@ def test_cells_of_a_plan_with_a_span(spark, span):
             size = 8.0 * 2 ** lvl
             want += [(r.id, lvl, cx, cy) for cx in range(int(r.x0 // size), int(r.x1 // size) + 1) for cy in range(int(r.y0 // size), int(r.y1 // size) + 1)]
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_a_left_join_deals_its_shapes_out_once(spark, sides, monkeypatch, large):  # noqa: F811
+    """Pairs and left rows with a partner each had a shuffle of both layers, and the numbered left rows held columns nobody asked for."""
+    from canopy.operators import spatial_join as SJ
+    if large:
+        monkeypatch.setattr(BJ, "PACKED_SHAPES", 0, raising=False)
+    left, right = sides
+    held, real, numbered = [], BJ._units, SJ._numbered
+    monkeypatch.setattr(BJ, "_units", lambda *args: held.append(real(*args)) or held[-1])
+    files = []
+    monkeypatch.setattr(SJ, "_numbered", lambda df, name: files.append(numbered(df, name)) or files[-1])
+    run = lambda k: spatial_join(left.withColumn("note", F.lit("long")), right, left_id="id", right_id="rid", how="left", left_cols=["x0"],
+                                 right_cols=[], with_area=False, kernel=k)
+    got = run("blocks")
+    rows = _rows(got)
+    assert len(held) == 1 and "note" not in files[0].columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+    assert rows == _rows(run("batched").select(got.columns))
