@@ -14,7 +14,7 @@ from test_block_join import _rows, sides  # noqa: F401
 @pytest.fixture
 def packed(monkeypatch):
     """Every layer counts as large, cells are cut into blocks, packs are small."""
-    for name, value in (("PACKED_SHAPES", 0), ("UNIT_PAIRS", 200), ("UNITS", 1 << 20), ("BLOCK_ROWS", 8), ("LEAST_PACK", 2), ("PACK_ROWS", 50), ("UNPACK_BYTES", 4000)):
+    for name, value in (("PACKED_SHAPES", 0), ("PACKED_PAIRS", 0), ("UNIT_PAIRS", 200), ("UNITS", 1 << 20), ("BLOCK_ROWS", 8), ("LEAST_PACK", 2), ("PACK_ROWS", 50), ("UNPACK_BYTES", 4000)):
         monkeypatch.setattr(BJ, name, value, raising=False)
 
 
@@ -43,7 +43,7 @@ def test_few_rows_are_dealt_out(spark, monkeypatch):
     """A shape went to a row for each level, cell and block, with its edges: 100 GB of shuffled rows at 360 times sf0.1."""
     held, units = [], BJ._units
     real, maps = type(spark.range(0)).mapInArrow, []
-    for name, value in (("PACKED_SHAPES", 0), ("UNIT_PAIRS", 1 << 12), ("BLOCK_ROWS", 1 << 9)):
+    for name, value in (("PACKED_SHAPES", 0), ("PACKED_PAIRS", 0), ("UNIT_PAIRS", 1 << 12), ("BLOCK_ROWS", 1 << 9)):
         monkeypatch.setattr(BJ, name, value, raising=False)
     monkeypatch.setattr(BJ, "_units", lambda *args: held.append(units(*args)) or held[-1])
     monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *args, **more: maps.append(real(df, *args, **more)) or maps[-1])
@@ -57,7 +57,7 @@ def test_few_rows_are_dealt_out(spark, monkeypatch):
 
 def test_blocks_of_a_cell_hold_a_bounded_share(spark, monkeypatch):
     """Everything in one spot is shared out, and found once."""
-    for name, value in (("PACKED_SHAPES", 0), ("UNIT_PAIRS", 10_000), ("LEAST_PACK", 8)):
+    for name, value in (("PACKED_SHAPES", 0), ("PACKED_PAIRS", 0), ("UNIT_PAIRS", 10_000), ("LEAST_PACK", 8)):
         monkeypatch.setattr(BJ, name, value, raising=False)
     left = layer(spark, [(i, poly(rect(0, 0, 4, 4))) for i in range(1000)]).repartition(4)
     right = layer(spark, [(i, poly(rect(1, 1, 4, 4))) for i in range(300)], "rid")
@@ -100,6 +100,7 @@ def test_a_left_join_deals_its_shapes_out_once(spark, sides, monkeypatch, large)
     from canopy.operators import spatial_join as SJ
     if large:
         monkeypatch.setattr(BJ, "PACKED_SHAPES", 0, raising=False)
+        monkeypatch.setattr(BJ, "PACKED_PAIRS", 0, raising=False)
     left, right = sides
     held, real, numbered = [], BJ._units, SJ._numbered
     monkeypatch.setattr(BJ, "_units", lambda *args: held.append(real(*args)) or held[-1])
@@ -113,3 +114,11 @@ def test_a_left_join_deals_its_shapes_out_once(spark, sides, monkeypatch, large)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan
     assert rows == _rows(run("batched").select(got.columns))
+
+
+def test_few_pairs_are_not_packed(spark, monkeypatch):
+    """Packing costs time; where shapes have few partners there is little to save."""
+    monkeypatch.setattr(BJ, "PACKED_SHAPES", 0)
+    few = layer(spark, [(i, poly(rect(10 * i, 0, 6, 6))) for i in range(200)]), layer(spark, [(1, poly(rect(0, 0, 2000, 50)))], "rid")
+    assert plan_grid(*few, packed=True) == plan_grid(*few)
+    assert plan_grid(*_dense(spark), packed=True).unit_pairs > 0
